@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import mixing, quality_rules, sharding, url_reputation
+from pagelathe.llm import binary_output, langid, mixing, quality_rules, sharding, topk, url_reputation
 from pagelathe.llm.common import load
 
 # ---------------------------------------------------------------- 1: mixing
@@ -52,6 +52,20 @@ o AS (SELECT slim.*, epochs, rest, sum(tokens) OVER (PARTITION BY slim.domain, s
     FROM slim JOIN q ON slim.domain = q.domain AND slim.lang = q.lang AND slim.source = q.source)
 SELECT doc_id, domain, lang, source, tokens, epochs AS whole_epochs, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS part_tokens FROM o"""
 
+# --------------------------------------------------------- 2: exact top-k
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
+
 # --------------------------------------------------------- 4: quality rules
 
 
@@ -137,13 +151,41 @@ WITH s AS (SELECT doc_id, source, text, CAST(CAST('0x' || substr(md5(coalesce(CA
 SELECT doc_id, source, slot, CAST('0x' || substr('{table}', slot * 2 + 1, 2) AS INTEGER) AS shard, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM s"""
 
 
+# ------------------------------------------------------------ 9: language ID
+
+
+def text_id_crc():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the filters are learned; tests hold it against a plain set-based version and held-out accuracy."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs.filter(text_id_crc() % 3 != 1))
+    return langid.predict(docs, model).select("doc_id", (text_id_crc() % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+# --------------------------------------------------- 10: token-ID binary output
+
+
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: encoding isn't expressible; tests hold it against the library's own encoding of whole texts."""
+    import public_tokenizers
+
+    manifest = binary_output.write_records(load(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return binary_output.read_records(spark, manifest, ids=False)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_exact_topk": op2_exact_topk,
     "op4_quality_rules": op4_quality_rules,
     "op6_url_reputation": op6_url_reputation,
     "op8_shard_placement": op8_shard_placement,
+    "op9_language_id": op9_language_id,
+    "op10_binary_records": op10_binary_records,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_quality_rules": OP4_SQL, "op6_url_reputation": OP6_SQL, "op8_shard_placement": op8_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_reputation": OP6_SQL, "op8_shard_placement": op8_sql()}
