@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import binary_output, langid, mixing, quality_rules, sharding, topk, url_reputation
+from pagelathe.llm import binary_output, langid, mixing, quality_rules, sharding, topk, toxicity, url_reputation
 from pagelathe.llm.common import load
 
 # ---------------------------------------------------------------- 1: mixing
@@ -66,6 +66,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5"""
 
+# ---------------------------------------------------------------- 3: toxicity
+
+
+def text_id_crc():
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Lexicon:
+    labels = load(spark, sf_dir, "labels", "doc_id", "toxic").filter(text_id_crc() % 5 != 0)
+    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the lexicon is learned; tests hold the automaton against edit distances and the scores against held-out labels."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).select("row.doc_id", "score")
+    return scored.select("doc_id", (text_id_crc() % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 # --------------------------------------------------------- 4: quality rules
 
 
@@ -154,10 +173,6 @@ SELECT doc_id, source, slot, CAST('0x' || substr('{table}', slot * 2 + 1, 2) AS
 # ------------------------------------------------------------ 9: language ID
 
 
-def text_id_crc():
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: the filters are learned; tests hold it against a plain set-based version and held-out accuracy."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -179,6 +194,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_topk": op2_exact_topk,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op6_url_reputation": op6_url_reputation,
     "op8_shard_placement": op8_shard_placement,
