@@ -42,12 +42,13 @@ def strip_word(token: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """words and prefixes: term to weight (log odds of a toxic text). kinds: weight of a kind of hit, plain and quoted. fuzzy: weight of misspellings of a term. context: weight of a word near a hit."""
+    """words and prefixes: term to weight (log likelihood ratio). base, prior: log odds of a text without hits, and of any. quoted: what a quotation leaves of a kind's weight. fuzzy: weight of misspellings of a term. context: weight of a word near a hit."""
 
     words: dict[str, float]
     prefixes: dict[str, float]
     base: float
-    kinds: dict[str, tuple[float, float]] = field(default_factory=dict)
+    prior: float
+    quoted: dict[str, float] = field(default_factory=dict)
     fuzzy: dict[str, float] = field(default_factory=dict)
     context: dict[str, float] = field(default_factory=dict)
 
@@ -168,7 +169,7 @@ def hits_of(text: str, matcher: Matcher) -> list[tuple[str, str, bool, list[str]
 
 
 def score_text(text: str | None, m: Lexicon, matcher: Matcher) -> float:
-    """Probability of label 1: base log odds, plus the three strongest terms, each once, and the strongest misspelling.
+    """Probability of label 1: prior log odds, plus the three strongest terms, each once, and the strongest misspelling.
 
     Only one misspelling counts: chance likenesses pile up in long texts.
     """
@@ -176,18 +177,20 @@ def score_text(text: str | None, m: Lexicon, matcher: Matcher) -> float:
     fuzzy = 0.0
     for kind, term, quoted, near in hits_of(text or "", matcher):
         w = m.prefixes.get(term, 0.0) if kind == "prefix" else m.words.get(term, 0.0)
-        w = min(w, m.fuzzy.get(term, 9.0) if kind == "fuzzy" else 9.0, m.kinds[kind][quoted])
+        w = min(w, m.fuzzy.get(term, 0.0)) if kind == "fuzzy" else w
+        w *= m.quoted[kind] if quoted else 1.0
         w += max(-1.0, min(1.0, sum(m.context.get(x, 0.0) for x in near)))
         if kind == "fuzzy":
             fuzzy = max(fuzzy, w)
         else:
             best[term] = max(best.get(term, -9.0), w)
-    z = m.base + fuzzy + sum(sorted(best.values())[-3:])
+    z = m.prior + fuzzy + sum(sorted(best.values())[-3:]) if best or fuzzy > 0 else m.base
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _log_odds(tox: float, clean: float, n_tox: float, n_clean: float) -> float:
-    return math.log((tox + 0.5) / (n_tox + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+    """With more doubt about absence from clean texts: near copies of one toxic text share their harmless words too."""
+    return math.log((tox + 0.5) / (n_tox + 1)) - math.log((clean + 2) / (n_clean + 4))
 
 
 def _counts(unit):
@@ -223,10 +226,11 @@ def sample_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
     return labelled.filter("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(max_rows).select("text", "toxic")
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.5) -> Lexicon:
+def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.0, rounds: int = 4) -> Lexicon:
     """labelled: doc_id, text, toxic. Bounds: max_rows texts, max_terms terms.
 
-    A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least.
+    A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least; it is sought
+    in so many rounds, the strongest terms first.
     """
     bound_batches(labelled.sparkSession, 128)
     rows = sample_rows(labelled, max_rows).repartition(16).persist()
@@ -240,17 +244,34 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, m
         n_tox = total["t"] or 0
         n_clean = (total["n"] or 0) - n_tox
         least = max(min_docs, math.ceil(min_share * n_tox))
-        strong = (F.col("tox") + 0.5) / (n_tox + 1) >= math.exp(min_odds) * (F.col("clean") + 0.5) / (n_clean + 1)
+        strong = (F.col("tox") + 0.5) / (n_tox + 1) >= math.exp(min_odds) * (F.col("clean") + 2) / (n_clean + 4)
         found = counted(_terms, lambda s: s.filter((F.col("tox") >= least) & strong & (F.col("unit") != "=")).orderBy(F.desc("tox"), "unit").limit(max_terms))
-        weight = {u: _log_odds(t, c, n_tox, n_clean) for u, t, c in found}
-        seen = {u: t for u, t, _ in found}
-        # A beginning stands for its words if it finds clearly more texts than each; the shortest such beginning wins.
+        candidates = {u for u, _, _ in found}
+        words: dict[str, float] = {}
         prefixes: dict[str, float] = {}
-        for u in sorted((u for u in weight if u[0] == "p"), key=lambda u: (len(u), u)):
-            own = [seen[w] for w in seen if w[0] == "w" and w[1:].startswith(u[1:])]
-            if seen[u] >= 1.25 * max(own, default=0) and not any(u[1:].startswith(p) for p in prefixes):
-                prefixes[u[1:]] = weight[u]
-        words = {u[1:]: w for u, w in weight.items() if u[0] == "w" and not any(u[1:].startswith(p) for p in prefixes)}
+        # Harmless words of toxic texts stand beside telling ones: after the strongest terms, a term counts only for
+        # texts that they leave unexplained.
+        for _ in range(rounds):
+            weight = {u: _log_odds(t, c, n_tox, n_clean) for u, t, c in found}
+            weight = {u: w for u, w in weight.items() if w >= min_odds}
+            if not weight:
+                break
+            strong = {u: t for u, t, _ in found if weight.get(u, 0) >= max(weight.values()) - 1}
+            # A beginning stands for its words if it finds clearly more texts than each; the shortest such beginning wins.
+            for u in sorted((u for u in strong if u[0] == "p"), key=lambda u: (len(u), u)):
+                own = [strong[w] for w in strong if w[0] == "w" and w[1:].startswith(u[1:])]
+                if strong[u] >= 1.25 * max(own, default=0) and not any(u[1:].startswith(p) for p in prefixes):
+                    prefixes[u[1:]] = weight[u]
+            words |= {u[1:]: weight[u] for u in strong if u[0] == "w" and not any(u[1:].startswith(p) for p in prefixes)}
+            told, wanted = (dict(words), dict(prefixes)), frozenset(candidates)
+
+            def unexplained(text: str, told=told, wanted=wanted) -> set[str]:
+                matcher = _matcher(*told)
+                if any(x and x[0] != "fuzzy" for x in (matcher[t] for t in set(text.split()))):
+                    return set()
+                return _terms(text) & wanted
+
+            found = counted(unexplained, lambda s: s.filter(F.col("tox") >= least))
         matcher_terms = (dict(words), dict(prefixes))
 
         def kinds_of(text: str) -> set[str]:
@@ -265,28 +286,24 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, m
         after = {u: (t, c) for u, t, c in counted(kinds_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | ~F.startswith("unit", F.lit("near "))).orderBy(F.desc(F.col("tox") + F.col("clean")), "unit").limit(max_terms))}
     finally:
         rows.unpersist()
+    prior = math.log((n_tox + 0.5) / (n_clean + 1))
     none = after.get("none", (0, n_clean))
     base = math.log((none[0] + 0.5) / (none[1] + 1))
-    prior = {"word": 6.0, "prefix": 5.0, "fuzzy": 5.0}
-    kinds = {}
+    # What a quotation leaves of a hit's weight: two pseudo texts say 0.4, texts whose only hits are quoted the rest.
+    quoted = {}
     for k in KINDS:
-        # Two pseudo texts hold the prior; a quotation starts at less than half of it.
-        each = []
-        for q in (0, 1):
-            t, c = after.get(f"{k}{q}", (0, 0))
-            p = prior[k] if not q else 0.4 * prior[k] if base > -6 else 0.3 * prior[k]
-            seen_odds = math.log((t + 0.5) / (c + 0.5)) - base
-            each.append((2 * p + (t + c) * seen_odds) / (2 + t + c))
-        # A misspelling's weight is its term's own, held below by how it fared; a quotation lowers all alike.
-        kinds[k] = (prior[k] if k == "fuzzy" else each[0], each[1])
+        (t, c), (qt, qc) = after.get(f"{k}0", (0, 0)), after.get(f"{k}1", (0, 0))
+        plain, said = (math.log((x + 0.5) / (y + 0.5)) - prior for x, y in ((t, c), (qt, qc)))
+        share = max(0.1, min(1.0, said / plain)) if plain > 0 and qt + qc else 0.4
+        quoted[k] = (2 * 0.4 + (qt + qc) * share) / (2 + qt + qc)
     fuzzy = {}
     for term in words:
         t, c = after.get(f"fuzzy {term}", (0, 0))
         # A term's misspellings start below the term itself, the further the shorter it is: short ones are met by chance.
-        fuzzy[term] = (2 * (words[term] - max(0.5, 6 - len(term) / 2)) + (t + c) * (math.log((t + 0.5) / (c + 0.5)) - base)) / (2 + t + c)
+        fuzzy[term] = (2 * (words[term] - max(0.5, 6 - len(term) / 2)) + (t + c) * (math.log((t + 0.5) / (c + 0.5)) - prior)) / (2 + t + c)
     hit = [sum(after.get(f"{k}{q}", (0, 0))[i] for k in KINDS for q in (0, 1)) for i in (0, 1)]
     context = {u[5:]: 0.25 * _log_odds(t, c, hit[0], hit[1]) for u, (t, c) in after.items() if u.startswith("near ") and hit[0] >= 20 and hit[1] >= 20}
-    return Lexicon(words, prefixes, base, kinds, fuzzy, context)
+    return Lexicon(words, prefixes, base, prior, quoted, fuzzy, context)
 
 
 _matchers: dict[tuple, Matcher] = {}
