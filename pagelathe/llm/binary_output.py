@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -60,24 +61,39 @@ def read_frame(f) -> bytes:
 class WordEncoder(dict):
     """Ids of words as packed bytes, by the tokenizers library, each distinct word encoded once while it is held.
 
-    Right for tokenizers whose pieces never span a blank or a line end and that drop those characters.
+    Right for tokenizers that lower-case, drop blanks and line ends, and take a run of letters and a full stop or comma
+    behind it as two pieces. The words held are of two generations: when the younger is full, it becomes the older, and
+    what is met again moves up; so frequent words stay, and memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        out = self.old.get(word)
+        if out is None:
+            if word[-1] in ".," and word[-2:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1]]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                out = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if len(word) <= 64:
+            self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
+        # Capital sigma and dotted I are lower-cased by context or to two characters; special tokens are left alone too.
+        if not any(c in text for c in "\u03a3\u0130<") and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ") if w])
 
 

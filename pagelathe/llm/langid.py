@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
+from pagelathe.llm.common import cut
 
 SIZES = (3, 4)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -105,13 +106,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = 1500, grams_per_language: int = 40_000, min_count: int = 3, share: float = 0.5, bits: int = 20) -> Model:
     """Learn from docs (doc_id, text, lang): rows with text and lang.
 
-    Bounds: per_language texts of each language (those with the smallest hashes) and grams_per_language n-grams of each.
+    Bounds: about per_language texts of each language (those that hash lowest) and grams_per_language n-grams of each.
     An n-gram belongs to a language if its rate there is at least ``share`` of its highest rate in any.
     """
     bound_batches(docs.sparkSession, 256)
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = rows.select("text", "lang", F.row_number().over(w).alias("r")).filter(F.col("r") <= per_language).select("text", "lang")
+    # One row a language; the share that gives the wanted number is compared with a row's hash, so nothing is sorted and
+    # no text but the sample's moves. Repeated rows hash alike and count once.
+    share = rows.groupBy("lang").agg((F.lit(per_language * (1 << 30)) / F.count(F.lit(1))).alias("share")).select(F.col("lang").alias("l"), "share")
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    sample = rows.select("doc_id", "text", "lang").join(share, F.col("lang") == F.col("l")).filter(h < F.col("share"))
+    sample = cut(sample.groupBy("lang", F.xxhash64("doc_id", "text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang").repartition(16), "langs")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = Window.partitionBy("lang")
     counts = counts.withColumn("rate", F.col("n") / F.sum("n").over(total))

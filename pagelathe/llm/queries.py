@@ -75,7 +75,7 @@ def text_id_crc():
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Lexicon:
     labels = load(spark, sf_dir, "labels", "doc_id", "toxic").filter(text_id_crc() % 5 != 0)
-    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train(docs, labels)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

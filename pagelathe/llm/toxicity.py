@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
+from pagelathe.llm.common import cut
 
 #: Marks that open or close a quotation, and words that report speech.
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
@@ -56,9 +57,9 @@ class Lexicon:
 class Matcher(dict):
     """Token to (kind, term, edits) or None; a dict, so that a known token costs one lookup."""
 
-    def __init__(self, words, prefixes, most: int = 300_000) -> None:
+    def __init__(self, words, prefixes, most: int = 200_000) -> None:
         super().__init__()
-        self.most = most
+        self.most, self.old = most, {}
         self.trie: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.prefix: list[str | None] = [None]
@@ -130,8 +131,13 @@ class Matcher(dict):
         return out
 
     def __missing__(self, token: str):
+        # Two generations: frequent tokens move up from the older one, memory stays bounded.
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
+        if token in self.old:
+            out = self[token] = self.old[token]
+            return out
         if len(self.sets) > 50_000:
             self._reset()
         state, begun = self.start, None
@@ -145,7 +151,8 @@ class Matcher(dict):
             out = end
         else:
             out = ("prefix", begun, 0) if begun else None
-        self[token] = out
+        if len(token) <= 64:
+            self[token] = out
         return out
 
 
@@ -221,71 +228,76 @@ def _terms(text: str) -> set[str]:
     return {"w" + w for w in words if len(w) > 2} | {f"p{w[:n]}" for w in words for n in PREFIXES if len(w) > n} | {"="}
 
 
-def sample_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
-    """At most max_rows labelled rows (text, toxic), those with the smallest hashes of doc_id and text."""
-    return labelled.filter("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(max_rows).select("text", "toxic")
+def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """About max_rows labelled documents (text, toxic): those whose doc_id hashes below the share that gives so many.
+
+    A doc_id is toxic if any of its labels says so, and stands for one text, the least. The sample is bounded by
+    max_rows, so its ids can be broadcast; no text is shuffled but the sample's.
+    """
+    labels = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = int(min(1.0, max_rows / max(1, labels.count())) * (1 << 30))
+    ids = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.0, rounds: int = 4) -> Lexicon:
-    """labelled: doc_id, text, toxic. Bounds: max_rows texts, max_terms terms.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.0, rounds: int = 4) -> Lexicon:
+    """docs: doc_id, text. labels: doc_id, toxic. Bounds: about max_rows texts, max_terms terms.
 
     A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least; it is sought
     in so many rounds, the strongest terms first.
     """
-    bound_batches(labelled.sparkSession, 128)
-    rows = sample_rows(labelled, max_rows).repartition(16).persist()
+    bound_batches(docs.sparkSession, 128)
+    rows = cut(sample_rows(docs, labels, max_rows).repartition(16), "labelled")
 
     def counted(unit, keep) -> list[tuple[str, int, int]]:
         sums = rows.mapInArrow(_counts(unit), "unit string, tox long, clean long").groupBy("unit").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
         return [tuple(r) for r in keep(sums).collect()]
 
-    try:
-        total = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
-        n_tox = total["t"] or 0
-        n_clean = (total["n"] or 0) - n_tox
-        least = max(min_docs, math.ceil(min_share * n_tox))
-        strong = (F.col("tox") + 0.5) / (n_tox + 1) >= math.exp(min_odds) * (F.col("clean") + 2) / (n_clean + 4)
-        found = counted(_terms, lambda s: s.filter((F.col("tox") >= least) & strong & (F.col("unit") != "=")).orderBy(F.desc("tox"), "unit").limit(max_terms))
-        candidates = {u for u, _, _ in found}
-        words: dict[str, float] = {}
-        prefixes: dict[str, float] = {}
-        # Harmless words of toxic texts stand beside telling ones: after the strongest terms, a term counts only for
-        # texts that they leave unexplained.
-        for _ in range(rounds):
-            weight = {u: _log_odds(t, c, n_tox, n_clean) for u, t, c in found}
-            weight = {u: w for u, w in weight.items() if w >= min_odds}
-            if not weight:
-                break
-            strong = {u: t for u, t, _ in found if weight.get(u, 0) >= max(weight.values()) - 1}
-            # A beginning stands for its words if it finds clearly more texts than each; the shortest such beginning wins.
-            for u in sorted((u for u in strong if u[0] == "p"), key=lambda u: (len(u), u)):
-                own = [strong[w] for w in strong if w[0] == "w" and w[1:].startswith(u[1:])]
-                if strong[u] >= 1.25 * max(own, default=0) and not any(u[1:].startswith(p) for p in prefixes):
-                    prefixes[u[1:]] = weight[u]
-            words |= {u[1:]: weight[u] for u in strong if u[0] == "w" and not any(u[1:].startswith(p) for p in prefixes)}
-            told, wanted = (dict(words), dict(prefixes)), frozenset(candidates)
-
-            def unexplained(text: str, told=told, wanted=wanted) -> set[str]:
-                matcher = _matcher(*told)
-                if any(x and x[0] != "fuzzy" for x in (matcher[t] for t in set(text.split()))):
-                    return set()
-                return _terms(text) & wanted
-
-            found = counted(unexplained, lambda s: s.filter(F.col("tox") >= least))
-        matcher_terms = (dict(words), dict(prefixes))
-
-        def kinds_of(text: str) -> set[str]:
-            hits = hits_of(text, _matcher(*matcher_terms))
-            kinds = {(k, q) for k, _, q, _ in hits}
-            # A kind counts only where no surer kind or plainer use of the term is there too.
-            order = [(k, q) for q in (False, True) for k in ("word", "prefix", "fuzzy")]
-            first = next((x for x in order if x in kinds), None)
-            fuzzy = {f"fuzzy {t}" for k, t, _, _ in hits} if first and first[0] == "fuzzy" else set()
-            return fuzzy | ({f"{first[0]}{int(first[1])}"} if first else {"none"}) | {f"near {w}" for _, _, _, near in hits for w in near if len(w) > 1}
-
-        after = {u: (t, c) for u, t, c in counted(kinds_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | ~F.startswith("unit", F.lit("near "))).orderBy(F.desc(F.col("tox") + F.col("clean")), "unit").limit(max_terms))}
-    finally:
-        rows.unpersist()
+    total = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    n_tox = total["t"] or 0
+    n_clean = (total["n"] or 0) - n_tox
+    least = max(min_docs, math.ceil(min_share * n_tox))
+    strong = (F.col("tox") + 0.5) / (n_tox + 1) >= math.exp(min_odds) * (F.col("clean") + 2) / (n_clean + 4)
+    found = counted(_terms, lambda s: s.filter((F.col("tox") >= least) & strong & (F.col("unit") != "=")).orderBy(F.desc("tox"), "unit").limit(max_terms))
+    candidates = {u for u, _, _ in found}
+    words: dict[str, float] = {}
+    prefixes: dict[str, float] = {}
+    # Harmless words of toxic texts stand beside telling ones: after the strongest terms, a term counts only for
+    # texts that they leave unexplained.
+    for _ in range(rounds):
+        weight = {u: _log_odds(t, c, n_tox, n_clean) for u, t, c in found}
+        weight = {u: w for u, w in weight.items() if w >= min_odds}
+        if not weight:
+            break
+        strong = {u: t for u, t, _ in found if weight.get(u, 0) >= max(weight.values()) - 1}
+        # A beginning stands for its words if it finds clearly more texts than each; the shortest such beginning wins.
+        for u in sorted((u for u in strong if u[0] == "p"), key=lambda u: (len(u), u)):
+            own = [strong[w] for w in strong if w[0] == "w" and w[1:].startswith(u[1:])]
+            if strong[u] >= 1.25 * max(own, default=0) and not any(u[1:].startswith(p) for p in prefixes):
+                prefixes[u[1:]] = weight[u]
+        words |= {u[1:]: weight[u] for u in strong if u[0] == "w" and not any(u[1:].startswith(p) for p in prefixes)}
+        told, wanted = (dict(words), dict(prefixes)), frozenset(candidates)
+
+        def unexplained(text: str, told=told, wanted=wanted) -> set[str]:
+            matcher = _matcher(*told)
+            if any(x and x[0] != "fuzzy" for x in (matcher[t] for t in set(text.split()))):
+                return set()
+            return _terms(text) & wanted
+
+        found = counted(unexplained, lambda s: s.filter(F.col("tox") >= least))
+    matcher_terms = (dict(words), dict(prefixes))
+
+    def kinds_of(text: str) -> set[str]:
+        hits = hits_of(text, _matcher(*matcher_terms))
+        kinds = {(k, q) for k, _, q, _ in hits}
+        # A kind counts only where no surer kind or plainer use of the term is there too.
+        order = [(k, q) for q in (False, True) for k in ("word", "prefix", "fuzzy")]
+        first = next((x for x in order if x in kinds), None)
+        fuzzy = {f"fuzzy {t}" for k, t, _, _ in hits} if first and first[0] == "fuzzy" else set()
+        return fuzzy | ({f"{first[0]}{int(first[1])}"} if first else {"none"}) | {f"near {w}" for _, _, _, near in hits for w in near if len(w) > 1}
+
+    after = {u: (t, c) for u, t, c in counted(kinds_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | ~F.startswith("unit", F.lit("near "))).orderBy(F.desc(F.col("tox") + F.col("clean")), "unit").limit(max_terms))}
     prior = math.log((n_tox + 0.5) / (n_clean + 1))
     none = after.get("none", (0, n_clean))
     base = math.log((none[0] + 0.5) / (none[1] + 1))
