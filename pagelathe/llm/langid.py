@@ -113,9 +113,9 @@ def train(docs: DataFrame, per_language: int = 1500, grams_per_language: int = 4
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
     # One row a language; the share that gives the wanted number is compared with a row's hash, so nothing is sorted and
     # no text but the sample's moves. Repeated rows hash alike and count once.
-    share = rows.groupBy("lang").agg((F.lit(per_language * (1 << 30)) / F.count(F.lit(1))).alias("share")).select(F.col("lang").alias("l"), "share")
+    wanted = rows.groupBy("lang").agg((F.lit(per_language * (1 << 30)) / F.count(F.lit(1))).alias("most")).select(F.col("lang").alias("l"), "most")
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    sample = rows.select("doc_id", "text", "lang").join(share, F.col("lang") == F.col("l")).filter(h < F.col("share"))
+    sample = rows.select("doc_id", "text", "lang").join(wanted, F.col("lang") == F.col("l")).filter(h < F.col("most"))
     sample = cut(sample.groupBy("lang", F.xxhash64("doc_id", "text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang").repartition(16), "langs")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = Window.partitionBy("lang")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import binary_output, langid, mixing, quality_rules, sharding, topk, toxicity, url_reputation
+from pagelathe.llm import binary_output, jaccard_join, langid, mixing, quality_rules, sentencepieces, sharding, topk, toxicity, url_reputation
 from pagelathe.llm.common import load
 
 # ---------------------------------------------------------------- 1: mixing
@@ -116,6 +116,21 @@ quality AS (SELECT *, NOT base_failed AND words_left >= 20 AND 100 * words_left
 
 OP4_SQL = f"WITH {quality_sql('documents')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left FROM quality"
 
+# ------------------------------------------------------------- 5: SentencePiece
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tests hold it against all segmentations by brute force, and every text against its decoding."""
+    out = sentencepieces.encode(load(spark, sf_dir, "documents", "doc_id", "text"), piece_model(), n=4, ids=False)
+    return out.select("row.doc_id", "encoded.n_tokens", "encoded.ids_crc32", F.transform("encoded.nbest", lambda x: x["score"]).alias("nbest_scores"), "encoded.round_trip")
+
+
 # ------------------------------------------------------------------- 6: urls
 
 RULES = [url_reputation.Rule("allow", "com/"), url_reputation.Rule("block", "example.com/en/"), url_reputation.Rule("allow", "www.example.com/en/"), url_reputation.Rule("block", "net/es/"), url_reputation.Rule("block", "net/fr/")]
@@ -153,6 +168,14 @@ f AS (SELECT page_id, arg_max(pattern, length(pattern)) AS rule, arg_max(verdict
 SELECT h.page_id, h.host, path, rule, coalesce(ruled, CASE WHEN bound >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict, n AS host_labelled, round(bound, 6) AS posterior_bound
 FROM h JOIN b ON h.host = b.host LEFT JOIN f ON h.page_id = f.page_id"""
 
+# ------------------------------------------------------------ 7: Jaccard join
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL within reach on whole tables (all pairs): tests hold it against brute force."""
+    return jaccard_join.join_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 # --------------------------------------------------------------- 8: sharding
 
 SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(96)], 65537
@@ -196,7 +219,9 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_url_reputation": op6_url_reputation,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_shard_placement": op8_shard_placement,
     "op9_language_id": op9_language_id,
     "op10_binary_records": op10_binary_records,
