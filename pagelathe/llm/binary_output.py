@@ -58,6 +58,10 @@ def read_frame(f) -> bytes:
     return payload
 
 
+#: Words by which a tokenizer shows whether its model may be asked directly.
+PROBES = "the strange tokenizer extraordinarily zq a ion".split()
+
+
 class WordEncoder(dict):
     """Ids of words as packed bytes, by the tokenizers library, each distinct word encoded once while it is held.
 
@@ -66,7 +70,10 @@ class WordEncoder(dict):
     what is met again moves up; so frequent words stay, and memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    #: Code points of lower-case Latin letters end below; the bytes of each in the byte-level alphabet.
+    LATIN = 0x250
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -74,6 +81,15 @@ class WordEncoder(dict):
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.dtype == "<u2" else "I"
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.spelled = str.maketrans({chr(i): "".join(alphabet[b] for b in chr(i).encode()) for i in range(self.LATIN)})
+        probes = [w for w in PROBES for w in (w, w + "ñ", "ß" + w[1:], w[::-1] + "éè")]
+        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word of lower-case Latin letters from the library's model alone: normalising and splitting leave it as it is."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.spelled))]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
@@ -84,7 +100,8 @@ class WordEncoder(dict):
             if word[-1] in ".," and word[-2:-1].isalpha():
                 out = self[word[:-1]] + self[word[-1]]
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                plain = self.direct and word.isalpha() and max(word) < chr(self.LATIN) and word == word.lower()
+                ids = self._letters(word) if plain else self.tokenizer.encode(word, add_special_tokens=False).ids
                 out = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(word) <= 64:
             self[word] = out
