@@ -60,21 +60,21 @@ def linked(inter, a, b):
 
 
 def _survey(size: int):
-    """doc_id, text to doc_id, n, fp; and per task how many documents hold a shingle of each bucket."""
+    """doc_id, text, key to doc_id, key, n, fp; and per task how many documents hold a shingle of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKETS, np.uint32)
-        names = ["doc_id", "n", "fp", "block", "counts"]
+        names = ["doc_id", "key", "n", "fp", "block", "counts"]
         for b in batches:
             n, fp = [], []
             for s in shingle_sets(b.column(1).to_pylist(), size):
                 n.append(len(s))
                 fp.append(fingerprint(s))
                 np.add.at(counts, (s >> np.uint64(64 - BUCKETS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         for i, part in enumerate(np.split(counts, BLOCKS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
 
     return run
 
@@ -266,13 +266,17 @@ def _split(cells: DataFrame, sets: DataFrame, pivots: int, small: int, last: boo
     return links, far.unionByName(apart).unionByName(across), deeper
 
 
-def join_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int = 3) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_shingles, component_id: the least doc_id that links reach, its own included."""
+def group_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int = 3) -> DataFrame:
+    """docs (doc_id, text) to doc_id, key (hash of the text), n_shingles, component_id and root (the component's key; null for an empty set).
+
+    component_id is the least doc_id that links reach, the document's own included.
+    """
     spark = docs.sparkSession
     bound_batches(spark, 256)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = cut(rows.mapInArrow(_survey(size), "doc_id long, n long, fp long, block int, counts binary"), "survey")
-    points = survey.filter("block IS NULL").select("doc_id", "n", "fp")
+    survey = rows.withColumn("key", F.xxhash64("text")).mapInArrow(_survey(size), "doc_id long, key long, n long, fp long, block int, counts binary")
+    survey = cut(survey, "survey")
+    points = survey.filter("block IS NULL").select("doc_id", "key", "n", "fp")
     classes = spark.sparkContext.broadcast(rarity(survey))
     first = rows.mapInArrow(_first_pivots(size, classes), "key long, fp long, at long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -308,7 +312,30 @@ def join_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int
     links.append(measured(pairs.distinct() if level else pairs, sets).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
-    whole = points.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    joined = points.filter("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(points.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root")
+    return joined.unionByName(points.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+
+
+def join_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text) to doc_id, n_shingles, component_id."""
+    return group_documents(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, but one document only of each component: that of the least doc_id (null last), then text hash.
+
+    Documents without words stay. Repeated rows of the one that stays are reduced to one.
+    """
+    groups = cut(group_documents(docs, **options).filter("root IS NOT NULL").select("doc_id", "key", "root"), "groups")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    ids = groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
+    best = ids.groupBy("root").agg(F.min(one).alias("best"))
+    ids = ids.join(best, "root").select(F.col("doc_id").alias("gid"), F.col("key").alias("gkey"), (one != F.col("best")).alias("out"), "c")
+    ids = cut(ids.filter("out OR c > 1"), "leave")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("gid0"), F.xxhash64("text").alias("gkey0"))
+    same = F.col("gid0").eqNullSafe(F.col("gid")) & (F.col("gkey0") == F.col("gkey"))
+    stay = rows.join(ids.select("gid", "gkey").distinct(), same, "left_anti").select("row")
+    again = rows.join(ids.filter("NOT out").select("gid", "gkey").distinct(), same, "left_semi").groupBy("gid0", "gkey0").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return stay.unionByName(again).select("row.*")
