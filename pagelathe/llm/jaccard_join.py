@@ -41,7 +41,7 @@ from pagelathe.llm.shingles import fingerprint, shingle_sets
 
 #: Threshold as a fraction: similarity of NUM / DEN at least.
 NUM, DEN = 80, 100
-BUCKETS, BLOCKS = 20, 16
+BUCKETS, BLOCKS = 21, 16
 #: Ids up to which the documents to fetch are told to the scan in an array of eight bytes each.
 SHIPPED = 4_000_000
 
@@ -99,8 +99,9 @@ def rarity(survey: DataFrame) -> np.ndarray:
     for row in some.repartition(BLOCKS, "block").mapInArrow(_add_up, "block int, counts binary").collect():
         width = (1 << BUCKETS) // BLOCKS
         total[row["block"] * width : (row["block"] + 1) * width] += np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    mean = max(1.0, total.mean())
-    return np.minimum(15, np.log2(1 + total / (4 * mean + 8)).astype(np.uint64) * 2).astype(np.uint8)
+    # A bucket also counts the many rare shingles that fall into it: only what stands out of their chance spread tells.
+    mean = total.mean()
+    return np.minimum(15, np.log2(1 + np.maximum(0.0, total - mean - 4 * np.sqrt(mean)) / 4)).astype(np.uint8)
 
 
 def _first_pivots(size: int, classes):
