@@ -4,8 +4,8 @@ A text is a lattice of vocabulary pieces; a segmentation's score is the sum of i
 character without a piece becomes its UTF-8 bytes' pieces, at ten below the lowest score). Forward Viterbi scores of all
 places are the exact heuristic of a backward A* search from the end, which so pops segmentations best first.
 
-No piece reaches over a blank or a line end, so a text's lattice is a chain of independent units (a blank and the word
-behind it). Units are solved once and kept; new ones are solved together, in arrays. The N best of a text change none
+No piece reaches over a blank or a line end, or from a letter to a mark, so a text's lattice is a chain of independent
+units (a blank and the word behind it). Units are solved once and kept; new ones are solved together, in arrays. The N best of a text change none
 but the N - 1 units whose second-best segmentations cost least: those gaps come exactly from forward and backward scores,
 and only those units are searched by A*. All scores are whole numbers, so nothing is lost to rounding.
 
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from pagelathe.llm.common import batches as bound_batches
 
 BLANK = "▁"
-UNIT = re.compile(f"{BLANK}?[^{BLANK}\n]+|{BLANK}|\n")
+LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:|]"
+#: Units: a blank and the word behind it, or a line end; also cut between a letter and a mark, where no piece joins them.
+WORDS = re.compile(f"{BLANK}?[^{BLANK}\n]+|{BLANK}|\n")
+FINER = re.compile(f"{BLANK}?[^{BLANK}\n.,!?;:|]*{LETTER}(?={MARK})|{WORDS.pattern}")
 #: Pieces with such scores (runs of blanks) take no part; a single character of that kind scores like one without a piece.
 UNUSED = -1e8
 NONE = -(1 << 60)
@@ -41,7 +44,7 @@ WIDEST = 24
 class Pieces:
     """The pieces of a model file, and the solved units."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,6 +58,8 @@ class Pieces:
                 self.surface[i] = piece.replace(BLANK, " ").encode()
                 if (score > UNUSED or len(piece) == 1) and BLANK not in piece[1:] and "\n" not in piece:
                     self.ids[piece], self.scores[piece] = i, int(score)
+        self.unit = WORDS if any(re.search(LETTER + MARK, x) for x in self.ids) else FINER
+        self.known = frozenset(x for x in self.ids if len(x) == 1)
         self.longest = max(map(len, self.ids))
         self.unknown = min(x for x in self.scores.values() if x > UNUSED) - 10
         self.scores = {x: s if s > UNUSED else self.unknown for x, s in self.scores.items()}
@@ -199,7 +204,7 @@ class Pieces:
             self.clear()
         by: dict[int, list[str]] = {}
         for u in units - self.at.keys():
-            plain = len(u) > WIDEST or any(c not in self.scores for c in u)
+            plain = len(u) > WIDEST or not self.known.issuperset(u)
             by.setdefault(0 if plain else len(u), []).append(u)
         new: list[tuple[bytes, int, int]] = []
         for width, own in sorted(by.items()):
@@ -214,9 +219,8 @@ class Pieces:
 
     # ------------------------------------------------------------ texts
 
-    @staticmethod
-    def units(text: str | None) -> list[str]:
-        return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    def units(self, text: str | None) -> list[str]:
+        return self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
     def nbest(self, units: list[str], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Best ids as two-byte numbers; then for each of the n best: score and changes (at token, tokens dropped, ids put)."""
@@ -233,7 +237,7 @@ class Pieces:
                 choices = [(0, None), *((own[0][0] - score, seq) for score, seq in other)]
                 tops = heapq.nsmallest(n, ((cost + more, [*changes, (u, seq)] if seq else changes) for cost, changes in tops for more, seq in choices), key=lambda x: x[0])
         changed = {u for _, changes in tops for u, _ in changes}
-        place = {u: sum(len(x) for x in ids[:u]) // 2 for u in changed}
+        place = {u: len(b"".join(ids[:u])) // 2 for u in changed}
         return b"".join(ids), [(total - cost, [(place[u], len(ids[u]) // 2, seq) for u, seq in changes]) for cost, changes in tops]
 
     def decode(self, ids) -> str:
@@ -277,7 +281,7 @@ def _encode_texts(texts: list[str | None], p: Pieces, n: int, ids_out: bool) ->
     for text in texts:
         part.append(p.units(text))
         held += len(text or "")
-        if held > 1 << 20:
+        if held > 1 << 21:
             flush()
             held = 0
     flush()
@@ -291,7 +295,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids: bool = True) -> DataFra
 
     round_trip: decoding the ids gives the text again (with its own blank signs, U+2581, as blanks).
     """
-    bound_batches(docs.sparkSession, 128)
+    bound_batches(docs.sparkSession, 512)
 
     @F.arrow_udf(ENCODED_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
