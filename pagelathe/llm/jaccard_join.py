@@ -31,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
@@ -46,8 +46,10 @@ BUCKETS, BLOCKS = 21, 16
 SHIPPED = 4_000_000
 
 
-#: Levels of document pivots; what is left then is compared outright.
-LEVELS = 6
+#: Pairs up to which they are told to a scan, in 24 bytes each; classes of a sketch and bits of a bitmap.
+SHIPPED_PAIRS, SKETCH, BITS = 1_000_000, 512, 2048
+#: Levels of document pivots, and the most pivots of a cell; what is left then is compared outright.
+LEVELS, PIVOTS = 3, 64
 
 
 def prefix_size(n: np.ndarray | int):
@@ -185,7 +187,7 @@ def _regions(small: int):
 
 
 def _fetch(size: int, wanted=None):
-    """doc_id, text to fp, n, shingles of the documents that are wanted (sorted ids), or of all given ones."""
+    """doc_id, text to fp, sketch, bits, shingles of the documents that are wanted (sorted ids), or of all given ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wanted.value if wanted is not None else None
@@ -196,30 +198,73 @@ def _fetch(size: int, wanted=None):
                 there = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
                 b = b.filter(pc.or_(pa.array(there), b.column(0).is_null()))
             sets = list(shingle_sets(b.column(1).to_pylist(), size))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([bits(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "sketch", "bits", "shingles"])
 
     return run
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of SKETCH classes, in a byte each, and their number. Sums of lesser counts bound an intersection from above."""
+    counts = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.array([len(shingles)], "<u8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def bits(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS classes of shingles. Each bit that two bitmaps don't share stands for a shingle that the sets don't share."""
+    full = np.zeros(BITS, np.uint8)
+    full[((shingles >> np.uint64(11)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(full).view(np.int64)
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, x, y (sketches) to the pairs a, b that may be linked."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH + 8) for i in (2, 3))
+        n = [v[:, :8].copy().view("<u8")[:, 0].astype(np.int64) for v in (x, y)]
+        least = np.minimum(x[:, 8:], y[:, 8:])
+        most = np.where((least == 255).any(axis=1), np.minimum(*n), least.sum(axis=1, dtype=np.int64))
+        keep = pa.array(linked(np.minimum(most, np.minimum(*n)), *n))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, sa, sb to a, b, na, nb, inter."""
+    """a, b, x, y (sets) to a, b, na, nb, inter; which of the sets is a's doesn't matter."""
     for batch in batches:
         na, nb, inter = [], [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             x, y = (x, y) if len(x) <= len(y) else (y, x)
             at = np.searchsorted(y, x)
+            na.append(len(x))
+            nb.append(len(y))
             inter.append(int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)))
-        na = [len(v.as_buffer()) // 8 for v in batch.column(2)]
-        nb = [len(v.as_buffer()) // 8 for v in batch.column(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (na, nb, inter))], names=["a", "b", "na", "nb", "inter"])
 
 
+def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Distinct pairs a, b with both ends' column of sets as x, y (in either order).
+
+    Up to SHIPPED_PAIRS pairs are told to the scan of sets, and only the columns asked for move; more meet by joins.
+    """
+    own = sets.select("fp", F.col(column).alias("v"))
+    if pairs.count() <= SHIPPED_PAIRS:
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+        met = own.join(F.broadcast(ends), "fp").groupBy("a", "b").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count(F.lit(1)).alias("c"))
+        return met.filter("c = 2").select("a", "b", "x", "y")
+    return pairs.join(own.select(F.col("fp").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with their sets' sizes and intersection."""
+    """Distinct pairs (a, b; a table) with their sets' sizes and intersection."""
     bound_batches(pairs.sparkSession, 256)
-    sa, sb = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
+    return _side_by_side(pairs, sets, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
+
+
+def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct pairs (a table) those whose sketches allow a link."""
+    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune, "a long, b long")
 
 
 #: The distance that a link spans at most, with room for rounding.
@@ -227,47 +272,56 @@ T = 1 - NUM / DEN + 1e-9
 LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 
 
-def _alike(x, y):
-    """Whether the distances to each pivot differ by t at most: needed of a link by the triangle inequality."""
-    return F.forall(F.map_values(F.map_zip_with(x, y, lambda _, v, w: F.abs(v - w) <= T)), lambda ok: ok)
-
+def _may_link():
+    """Whether a (n, to, bits, root) and b (nb, tb, bitsb, rootb) can be linked and that would tell anything.
 
-def _split(cells: DataFrame, sets: DataFrame, pivots: int, small: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """cells: cell, a, n. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
-    fits = f"{DEN} * least(n, nb) >= {NUM} * greatest(n, nb)"
-    # Candidates for pivots: about eight times the pivots of each cell, those that hash lowest, and the cell's least member.
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
-    lot = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(1 << 30)) < F.lit(8 * pivots * (1 << 30)) / F.col("c")
-    some = cells.join(sizes, "cell").groupBy("cell").agg(F.array_union(F.collect_set(F.when(lot, F.col("a"))), F.array(F.min("a"))).alias("p"))
-    picked = cut(some.select("cell", F.explode(F.slice(F.array_sort("p"), 1, pivots)).alias("p")), "pivots")
-    asked = cells.select("cell", "a").join(picked, "cell").filter("a <> p").select("a", F.col("p").alias("b")).distinct()
+    They aren't connected yet; their sizes fit; their distances to each pivot differ by t at most, as the triangle
+    inequality needs of a link; and their bitmaps differ in no more bits than linked sets in shingles.
+    """
+    near = F.forall(F.map_values(F.map_zip_with("to", "tb", lambda _, v, w: F.abs(v - w) <= T)), lambda ok: ok)
+    apart = F.aggregate(F.zip_with("bits", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = F.expr(f"{DEN} * least(n, nb) >= {NUM} * greatest(n, nb)")
+    return (F.col("root") != F.col("rootb")) & sizes & (apart * (NUM + DEN) <= (DEN - NUM) * (F.col("n") + F.col("nb"))) & near
+
+
+def _split(cells: DataFrame, sets: DataFrame, links: list[DataFrame], small: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cells: cell, a, n, bits, shared. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
+    # Pivots: the square root of the cell's size, of the members that share most of its first pivots, so in its middle.
+    sizes = cells.groupBy("cell").agg(F.least(F.lit(PIVOTS), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"))
+    order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
+    picked = cells.select("cell", "a", "shared").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).join(sizes, "cell").filter("r <= few").select("cell", F.col("a").alias("p"))
+    picked = cut(picked, "pivots")
+    asked = cut(cells.select("cell", "a").join(picked, "cell").filter("a <> p").select("a", F.col("p").alias("b")).distinct(), "asked")
     found = cut(measured(asked, sets), "distances")
+    own = found.filter(LINKED).select("a", "b")
+    roots = components(reduce(DataFrame.unionByName, [*links, own])).select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
-    near = cells.join(picked, "cell").join(found.select("a", F.col("b").alias("p"), d), ["a", "p"], "left")
+    near = cells.select("cell", "a").join(picked, "cell").join(found.select("a", F.col("b").alias("p"), d), ["a", "p"], "left")
     near = near.withColumn("d", F.when(F.col("a") == F.col("p"), 0.0).otherwise(F.col("d")))
-    by = near.groupBy("cell", "a", "n").agg(F.min(F.struct("d", "p")).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "d")))).alias("to"))
-    by = cut(by.select("cell", "a", "n", "to", F.when(F.col("m.d") <= T, F.col("m.p")).alias("home")), "homes")
-    links = found.filter(LINKED).select("a", "b")
-    # Outside of all regions: compared with whatever of the regions the triangle inequality leaves.
-    outer = by.filter("home IS NULL").select("cell", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("to").alias("tb"))
-    far = by.filter("home IS NOT NULL").join(outer, "cell").filter(_alike(F.col("to"), F.col("tb"))).filter(fits).select("a", "b")
+    by = near.groupBy("cell", "a").agg(F.min(F.struct("d", "p")).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "d")))).alias("to"))
+    by = by.select("cell", "a", "to", F.when(F.col("m.d") <= T, F.col("m.p")).alias("home")).join(cells, ["cell", "a"]).join(roots, "a", "left")
+    by = cut(by.withColumn("root", F.coalesce("root", "a")), "homes")
+    as_b = {"a": "b", "n": "nb", "to": "tb", "bits": "bitsb", "root": "rootb"}
+    second = lambda df, *more: df.select("cell", *[F.col(k).alias(v) for k, v in as_b.items()], *more)
+    outer = by.filter("home IS NULL")
+    # Outside of all regions: compared with whatever of the regions may be linked.
+    far = by.filter("home IS NOT NULL").join(second(outer), ["cell"]).filter(_may_link()).select("a", "b")
     # Among themselves: outright where they are few, else as a cell of the next level.
     rest = outer.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
     few = rest if last else rest.filter(F.col("c") <= small)
-    x = outer.join(few.select("cell"), "cell").select("cell", F.col("b").alias("a"), F.col("nb").alias("n"), F.col("tb").alias("to"))
-    apart = x.join(outer, "cell").filter("a < b").filter(_alike(F.col("to"), F.col("tb"))).filter(fits).select("a", "b")
-    deeper = outer.join(rest.filter(F.lit(not last) & (F.col("c") > small)).select("cell"), "cell").select("cell", F.col("b").alias("a"), F.col("nb").alias("n"))
-    # The windows of two regions: within 2t of the other's pivot, on both sides; not where the pivots are linked.
-    edge = by.filter("home IS NOT NULL").select("cell", "a", "n", "home", "to", F.explode("to").alias("p", "dp")).filter((F.col("p") != F.col("home")) & (F.col("dp") <= 2 * T))
-    ties = found.filter(LINKED).select(F.col("a").alias("home"), F.col("b").alias("p"))
-    ties = ties.unionByName(ties.select(F.col("p").alias("home"), F.col("home").alias("p")))
-    edge = edge.join(ties, ["home", "p"], "left_anti")
-    other = edge.select("cell", F.col("home").alias("p"), F.col("p").alias("home"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("to").alias("tb"))
-    across = edge.filter("home < p").join(other, ["cell", "home", "p"]).filter(_alike(F.col("to"), F.col("tb"))).filter(fits).select("a", "b")
-    return links, far.unionByName(apart).unionByName(across), deeper
-
-
-def group_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int = 3) -> DataFrame:
+    apart = outer.join(few.select("cell"), "cell", "left_semi").join(second(outer), ["cell"]).filter((F.col("a") < F.col("b")) & _may_link()).select("a", "b")
+    deeper = outer.join(rest.filter(F.lit(not last) & (F.col("c") > small)).select("cell"), "cell", "left_semi").select("cell", "a", "n", "bits", "shared")
+    # The windows of two regions: within 2t of the other's pivot, on both sides.
+    edge = by.filter("home IS NOT NULL").select("*", F.explode("to").alias("p", "dp")).filter((F.col("p") != F.col("home")) & (F.col("dp") <= 2 * T))
+    # Regions whose pivots are connected already have nothing left to say to each other.
+    linked_to = by.select(F.col("a").alias("p"), F.col("root").alias("proot")).distinct()
+    edge = edge.join(linked_to, "p").filter("proot <> root")
+    other = second(edge, F.col("home").alias("p"), F.col("p").alias("home"))
+    across = edge.filter("home < p").join(other, ["cell", "home", "p"]).filter(_may_link()).select("a", "b")
+    return own, far.unionByName(apart).unionByName(across), deeper
+
+
+def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFrame:
     """docs (doc_id, text) to doc_id, key (hash of the text), n_shingles, component_id and root (the component's key; null for an empty set).
 
     component_id is the least doc_id that links reach, the document's own included.
@@ -288,7 +342,7 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int
     pairs = found.filter("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = "(o + least(na - pa, nb - pb))"
     pairs = pairs.filter(f"{DEN} * {most} >= {NUM} * (na + nb - {most})").select("a", "b")
-    cells = found.filter("kind = 1").select("a", F.col("b").alias("cell"), F.col("na").alias("n")).distinct()
+    cells = found.filter("kind = 1").groupBy("a", F.col("b").alias("cell"), F.col("na").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
     pairs, cells = cut(pairs, "pairs"), cut(cells, "cells")
     # The sets of all documents that take part in any of it, one for each point.
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(cells.select("a")).distinct()
@@ -298,19 +352,20 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24, pivots: int
     count = wanted.count()
     if count <= SHIPPED:
         ids = np.sort(np.array(wanted.filter("doc_id IS NOT NULL").toArrow().column("doc_id"), np.int64))
-        sets = rows.mapInArrow(_fetch(size, spark.sparkContext.broadcast(ids)), "fp long, n long, shingles binary")
+        sets = rows.mapInArrow(_fetch(size, spark.sparkContext.broadcast(ids)), "fp long, sketch binary, bits array<long>, shingles binary")
     else:
-        sets = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(_fetch(size), "fp long, n long, shingles binary")
-    sets = cut(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")), "sets")
+        sets = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(_fetch(size), "fp long, sketch binary, bits array<long>, shingles binary")
+    sets = cut(sets.dropDuplicates(["fp"]), "sets")
     links, left, level = [], [pairs], 0
+    cells = cells.join(sets.select(F.col("fp").alias("a"), "bits"), "a")
     while cells.head(1):
         level += 1
-        near, rest, cells = _split(cells, sets, pivots, small, level == LEVELS)
+        near, rest, cells = _split(cells, sets, links, small, level == LEVELS)
         links.append(near)
         left.append(cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left"))
         cells = cut(cells, "cells")
-    pairs = reduce(DataFrame.unionByName, left)
-    links.append(measured(pairs.distinct() if level else pairs, sets).filter(LINKED).select("a", "b"))
+    pairs = cut(reduce(DataFrame.unionByName, left).distinct(), "candidates") if level else pairs
+    links.append(measured(cut(pruned(pairs, sets), "likely"), sets).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
     whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
