@@ -38,13 +38,14 @@ FINER = re.compile(f"{BLANK}?[^{BLANK}\n.,!?;:|]*{LETTER}(?={MARK})|{WORDS.patte
 UNUSED = -1e8
 NONE = -(1 << 60)
 BASE = np.uint64(0x100000001B3 * 2 + 1)
-WIDEST = 24
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+WIDEST, SLOT_BITS = 24, 18
 
 
 class Pieces:
     """The pieces of a model file, and the solved units."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,21 +64,41 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.unknown = min(x for x in self.scores.values() if x > UNUSED) - 10
         self.scores = {x: s if s > UNUSED else self.unknown for x, s in self.scores.items()}
-        pieces = list(self.ids)
-        self.hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        order = np.argsort(self.hashes)
-        self.hashes = self.hashes[order]
-        self.hash_ids = np.array([self.ids[p] for p in pieces])[order]
-        self.hash_scores = np.array([self.scores[p] for p in pieces])[order]
+        # Pieces by their hashes in a table of slots; a full slot passes a piece on to the next.
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.hashes = np.array([self._hash(x) for x in self.ids], np.uint64)
+        self.hash_ids, self.hash_scores = (np.array(list(x.values())) for x in (self.ids, {x: self.scores[x] for x in self.ids}))
+        self.probes = 1
+        for i, h in enumerate(self.hashes):
+            at, n = int(h >> np.uint64(64 - SLOT_BITS)), 1
+            while self.slots[at] >= 0:
+                at, n = (at + 1) % len(self.slots), n + 1
+            self.slots[at], self.probes = i, max(self.probes, n)
         self.clear()
 
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
         for c in piece:
-            h = (h * int(BASE) + ord(c)) & (1 << 64) - 1
+            h = (h * int(BASE) + ord(c) * int(SPREAD)) & (1 << 64) - 1
         return h
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and the places of those pieces."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = self.slots[slot]
+        found = (at >= 0) & (self.hashes[at] == h)
+        open_ = np.flatnonzero((at >= 0) & ~found)
+        for n in range(1, self.probes):
+            if not len(open_):
+                break
+            here = self.slots[(slot[open_] + n) % len(self.slots)]
+            hit = (here >= 0) & (self.hashes[here] == h[open_])
+            at[open_[hit]], found[open_[hit]] = here[hit], True
+            open_ = open_[(here >= 0) & ~hit]
+        rows = np.flatnonzero(found)
+        return rows, at[rows]
+
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.best: list[bytes] = []
@@ -162,11 +183,10 @@ class Pieces:
         for start in range(width):
             h = np.zeros(m, np.uint64)
             for n in range(1, min(reach, width - start) + 1):
-                h = h * BASE + codes[:, start + n - 1]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                found = self.hashes[at] == h
-                score[n, start, found] = self.hash_scores[at[found]]
-                ids[n, start, found] = self.hash_ids[at[found]]
+                h = h * BASE + codes[:, start + n - 1] * SPREAD
+                rows, at = self._find(h)
+                score[n, start, rows] = self.hash_scores[at]
+                ids[n, start, rows] = self.hash_ids[at]
         ahead = np.full((width + 1, m), NONE, np.int64)
         step = np.zeros((width + 1, m), np.int64)
         ahead[0] = 0
@@ -198,10 +218,21 @@ class Pieces:
         gap = ahead[width] - np.maximum(second, NONE)
         return [(path[r, width - size[r] :].tobytes(), int(ahead[width, r]), int(gap[r])) for r in range(m)]
 
+    def places(self, texts: list[list[str]]) -> list[list[int]]:
+        """Where the units of texts are held, solving those that aren't yet."""
+        out = [list(map(self.at.get, units)) for units in texts]
+        lost = [i for i, own in enumerate(out) if None in own]
+        new = {u for i in lost for u, place in zip(texts[i], out[i], strict=True) if place is None}
+        if len(self.at) + len(new) > self.most:
+            self.clear()
+            lost, new = range(len(texts)), set(itertools.chain.from_iterable(texts))
+        self.learn(new)
+        for i in lost:
+            out[i] = [self.at[u] for u in texts[i]]
+        return out
+
     def learn(self, units: set[str]) -> None:
         """Solve those units that aren't held."""
-        if len(self.at) + len(units) > self.most:
-            self.clear()
         by: dict[int, list[str]] = {}
         for u in units - self.at.keys():
             plain = len(u) > WIDEST or not self.known.issuperset(u)
@@ -222,10 +253,10 @@ class Pieces:
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def nbest(self, units: list[str], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+    def nbest(self, units: list[str], places: list[int], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Best ids as two-byte numbers; then for each of the n best: score and changes (at token, tokens dropped, ids put)."""
-        at = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        ids = [self.best[i] for i in at.tolist()]
+        at = np.array(places, np.int64)
+        ids = [self.best[i] for i in places]
         total = int(self.score[at].sum())
         gaps = self.gap[at]
         least = np.argsort(gaps, kind="stable") if len(gaps) <= n else np.argpartition(gaps, n - 1)[: n - 1]
@@ -264,9 +295,8 @@ def _encode_texts(texts: list[str | None], p: Pieces, n: int, ids_out: bool) ->
     part: list[list[str]] = []
 
     def flush() -> None:
-        p.learn(set(itertools.chain.from_iterable(part)))
-        for units in part:
-            raw, best = p.nbest(units, n)
+        for units, places in zip(part, p.places(part), strict=True):
+            raw, best = p.nbest(units, places, n)
             ids = np.frombuffer(raw, "<u2")
             sizes.append(len(ids))
             crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
