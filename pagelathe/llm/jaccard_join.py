@@ -46,8 +46,8 @@ BUCKETS, BLOCKS = 21, 16
 SHIPPED = 4_000_000
 
 
-#: Pairs up to which they are told to a scan, in 24 bytes each; classes of a sketch and bits of a bitmap.
-SHIPPED_PAIRS, SKETCH, BITS = 1_000_000, 512, 2048
+#: Pairs up to which they are told to a scan, in 24 bytes each; bits of a bitmap.
+SHIPPED_PAIRS, BITS = 1_000_000, 2048
 #: Levels of document pivots, and the most pivots of a cell; what is left then is compared outright.
 LEVELS, PIVOTS = 3, 64
 
@@ -204,9 +204,20 @@ def _fetch(size: int, wanted=None):
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of SKETCH classes, in a byte each, and their number. Sums of lesser counts bound an intersection from above."""
-    counts = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-    return np.array([len(shingles)], "<u8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """How many shingles fall into each of about as many classes, in a byte each, behind their number. Sums of the lesser counts bound an intersection from above."""
+    k = min(max(len(shingles).bit_length() - 1, 6), 16)
+    counts = np.bincount((shingles & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
+    return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """The sets' sizes, and a bound on what they share, from their sketches; the finer one is folded to the coarser."""
+    na, nb = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
+    c, d = sorted((np.frombuffer(v, np.uint8, offset=8) for v in (x, y)), key=len)
+    if (c == 255).any() or (d == 255).any():
+        return na, nb, min(na, nb)
+    d = d.reshape(-1, len(c)).sum(axis=0, dtype=np.int64)
+    return na, nb, min(na, nb, int(np.minimum(c, d).sum(dtype=np.int64)))
 
 
 def bits(shingles: np.ndarray) -> np.ndarray:
@@ -216,17 +227,19 @@ def bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(full).view(np.int64)
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, x, y (sketches) to the pairs a, b that may be linked."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH + 8) for i in (2, 3))
-        n = [v[:, :8].copy().view("<u8")[:, 0].astype(np.int64) for v in (x, y)]
-        least = np.minimum(x[:, 8:], y[:, 8:])
-        most = np.where((least == 255).any(axis=1), np.minimum(*n), least.sum(axis=1, dtype=np.int64))
-        keep = pa.array(linked(np.minimum(most, np.minimum(*n)), *n))
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+def _prune(num: int):
+    """a, b, x, y (sketches) to the pairs a, b whose similarity may be num / DEN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                na, nb, most = most_shared(x, y)
+                keep.append(DEN * most >= num * (na + nb - most))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +264,9 @@ def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     own = sets.select("fp", F.col(column).alias("v"))
     if pairs.count() <= SHIPPED_PAIRS:
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
-        met = own.join(F.broadcast(ends), "fp").groupBy("a", "b").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count(F.lit(1)).alias("c"))
-        return met.filter("c = 2").select("a", "b", "x", "y")
+        met = own.join(F.broadcast(ends), "fp").groupBy("a", "b").agg(F.min("v").alias("x"), F.max("v").alias("y"), (F.min("fp") < F.max("fp")).alias("two"))
+        return met.filter("two").select("a", "b", "x", "y")
+    own = own.groupBy("fp").agg(F.min("v").alias("v"))
     return pairs.join(own.select(F.col("fp").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
 
@@ -262,9 +276,9 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _side_by_side(pairs, sets, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
 
 
-def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct pairs (a table) those whose sketches allow a link."""
-    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune, "a long, b long")
+def pruned(pairs: DataFrame, sets: DataFrame, num: int = NUM) -> DataFrame:
+    """Of distinct pairs (a table) those whose sketches allow a similarity of num / DEN."""
+    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune(num), "a long, b long")
 
 
 #: The distance that a link spans at most, with room for rounding.
@@ -272,14 +286,19 @@ T = 1 - NUM / DEN + 1e-9
 LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 
 
+def _bits_apart(x: str, y: str):
+    return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
+
+
 def _may_link():
     """Whether a (n, to, bits, root) and b (nb, tb, bitsb, rootb) can be linked and that would tell anything.
 
     They aren't connected yet; their sizes fit; their distances to each pivot differ by t at most, as the triangle
     inequality needs of a link; and their bitmaps differ in no more bits than linked sets in shingles.
     """
-    near = F.forall(F.map_values(F.map_zip_with("to", "tb", lambda _, v, w: F.abs(v - w) <= T)), lambda ok: ok)
-    apart = F.aggregate(F.zip_with("bits", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # A distance that wasn't worth measuring is above 2t: then the other is above t.
+    near = F.forall(F.map_values(F.map_zip_with("to", "tb", lambda _, v, w: F.coalesce(F.abs(v - w) <= T, F.coalesce(v, w) >= T - 3e-9))), lambda ok: ok)
+    apart = _bits_apart("bits", "bitsb")
     sizes = F.expr(f"{DEN} * least(n, nb) >= {NUM} * greatest(n, nb)")
     return (F.col("root") != F.col("rootb")) & sizes & (apart * (NUM + DEN) <= (DEN - NUM) * (F.col("n") + F.col("nb"))) & near
 
@@ -291,14 +310,19 @@ def _split(cells: DataFrame, sets: DataFrame, links: list[DataFrame], small: int
     order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
     picked = cells.select("cell", "a", "shared").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).join(sizes, "cell").filter("r <= few").select("cell", F.col("a").alias("p"))
     picked = cut(picked, "pivots")
-    asked = cut(cells.select("cell", "a").join(picked, "cell").filter("a <> p").select("a", F.col("p").alias("b")).distinct(), "asked")
+    # Distances above 2t decide nothing but that: bitmaps, then sketches tell most of them.
+    two = cells.join(picked, "cell").filter("a <> p").select("cell", "a", "p", "n", "bits")
+    two = two.join(cells.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits")), ["cell", "p"])
+    asked = two.filter(_bits_apart("bits", "pbits") * (2 * NUM) <= 2 * (DEN - NUM) * (F.col("n") + F.col("np"))).select("a", F.col("p").alias("b")).distinct()
+    asked = cut(pruned(cut(asked, "asked"), sets, 2 * NUM - DEN), "near")
     found = cut(measured(asked, sets), "distances")
     own = found.filter(LINKED).select("a", "b")
     roots = components(reduce(DataFrame.unionByName, [*links, own])).select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
     near = cells.select("cell", "a").join(picked, "cell").join(found.select("a", F.col("b").alias("p"), d), ["a", "p"], "left")
     near = near.withColumn("d", F.when(F.col("a") == F.col("p"), 0.0).otherwise(F.col("d")))
-    by = near.groupBy("cell", "a").agg(F.min(F.struct("d", "p")).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "d")))).alias("to"))
+    known = F.when(F.col("d").isNotNull(), F.struct("p", "d"))
+    by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(known))).alias("to"))
     by = by.select("cell", "a", "to", F.when(F.col("m.d") <= T, F.col("m.p")).alias("home")).join(cells, ["cell", "a"]).join(roots, "a", "left")
     by = cut(by.withColumn("root", F.coalesce("root", "a")), "homes")
     as_b = {"a": "b", "n": "nb", "to": "tb", "bits": "bitsb", "root": "rootb"}
@@ -355,9 +379,9 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
         sets = rows.mapInArrow(_fetch(size, spark.sparkContext.broadcast(ids)), "fp long, sketch binary, bits array<long>, shingles binary")
     else:
         sets = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(_fetch(size), "fp long, sketch binary, bits array<long>, shingles binary")
-    sets = cut(sets.dropDuplicates(["fp"]), "sets")
+    sets = cut(sets, "sets")
     links, left, level = [], [pairs], 0
-    cells = cells.join(sets.select(F.col("fp").alias("a"), "bits"), "a")
+    cells = cells.join(sets.select(F.col("fp").alias("a"), "bits"), "a").dropDuplicates(["cell", "a"])
     while cells.head(1):
         level += 1
         near, rest, cells = _split(cells, sets, links, small, level == LEVELS)
