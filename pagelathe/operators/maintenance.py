@@ -27,7 +27,7 @@ def protection_flags(runs: DataFrame, documents: DataFrame, pages: DataFrame, ev
     return r
 
 
-def prune_plan(targets: DataFrame, runs: DataFrame, flags: DataFrame, artifacts: DataFrame, document_id: str, keep: str) -> DataFrame:
+def prune_plan(targets: DataFrame, runs: DataFrame, flags: DataFrame, artifacts: DataFrame, document_id, keep) -> DataFrame:
     """targets: pos, id. Of each distinct target in order: why it is refused (null: it may go), and the bytes it frees."""
     first = targets.groupBy("id").agg(F.min("pos").alias("pos"))
     df = first.join(runs.select("id", F.col("document_id").alias("_doc"), "status", F.coalesce("artifact_state", F.lit("available")).alias("_state")), "id", "left")

@@ -1,2 +1,516 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the driver's tables: each puts an operator to work on the tables nearest to its own in shape, and has the SQL to hold it against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagelathe.functions import geometry, ids, text
+from pagelathe.operators import evaluate, knowledge, maintenance, manifest, pages, regression, reviews, runs
+from pagelathe.sources import readers
+from pagelathe.sources.schemas import BLOCK, EVIDENCE
+from pagelathe.streaming import jobs
+
+QUERIES, ORACLES = {}, {}
+
+#: Python's white space as DuckDB's regular expressions write it, without and with the line end.
+PY = "\\t\\x0b-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+STATES = "CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' ELSE 'needs_review' END"
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.selectExpr(*columns) if columns else df
+
+
+def _pages(spark, d):
+    """Line items as a run's pages."""
+    return table(spark, d, "lineitem", "l_orderkey AS run_id", "l_linenumber AS page_no", f"{STATES} AS review_status")
+
+
+@query(f"""
+SELECT l_orderkey AS run_id, count(*) AS page_count, min(l_linenumber) AS first_page, max(l_linenumber) AS last_page, count(*) FILTER ({STATES} = 'accepted') AS accepted_count,
+    count(*) FILTER ({STATES} = 'rejected') AS rejected_count, count(*) FILTER ({STATES} = 'needs_review') AS needs_review_count FROM lineitem GROUP BY l_orderkey""")
+def run_page_stats(spark, d):
+    return runs.page_stats(_pages(spark, d))
+
+
+KIND = "CASE WHEN doc_id % 7 = 0 THEN 'parse_manifest' ELSE 'page_json' END"
+
+
+@query(f"""
+SELECT source AS run_id, count(*) AS artifact_count, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS artifact_bytes, max(CASE WHEN {KIND} = 'parse_manifest' THEN sha256(text) END) AS manifest_hash
+FROM documents GROUP BY source""")
+def artifact_totals(spark, d):
+    return runs.artifact_totals(table(spark, d, "documents", "source AS run_id", f"{KIND} AS kind", "sha2(text, 256) AS content_hash", "n_chars AS size_bytes"))
+
+
+@query("SELECT source AS run_id, lang AS kind, count(*) AS count, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS size_bytes FROM documents GROUP BY source, lang")
+def artifact_summary_by_kind(spark, d):
+    return runs.artifacts_by_kind(table(spark, d, "documents", "source AS run_id", "lang AS kind", "n_chars AS size_bytes"), "run_id")
+
+
+@query(f"""
+WITH p AS (SELECT l_orderkey AS id, count(*) AS page_count, min(l_linenumber) AS first_page, max(l_linenumber) AS last_page, count(*) FILTER ({STATES} = 'accepted') AS a, count(*) FILTER ({STATES} = 'rejected') AS r,
+    count(*) FILTER ({STATES} = 'needs_review') AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS b, max(CASE WHEN l_linenumber = 1 THEN sha256(CAST(l_partkey AS VARCHAR)) END) AS h FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT o_custkey, max(o_orderkey) AS cur FROM orders GROUP BY o_custkey)
+SELECT o_orderkey AS id, o.o_custkey AS document_id, coalesce(cur = o_orderkey, false) AS is_current,
+    CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE coalesce(page_count, 0) END AS page_count, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE first_page END AS first_page, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE last_page END AS last_page,
+    CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE coalesce(a, 0) END AS accepted_count, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE coalesce(r, 0) END AS rejected_count, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE coalesce(n, 0) END AS needs_review_count,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE coalesce(page_count, 0) END AS artifact_count, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE coalesce(b, 0) END AS artifact_bytes, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE h END AS manifest_hash
+FROM orders o LEFT JOIN p ON o_orderkey = p.id LEFT JOIN c ON o.o_custkey = c.o_custkey""")
+def run_summary_joined(spark, d):
+    orders = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS document_id", "o_orderdate AS created_at", "CASE WHEN o_orderkey % 5 = 0 THEN 'pruned' END AS artifact_state", """'{"page_count":3,"accepted_count":2}' AS prune_summary""")
+    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("current_parse_run_id"))
+    artifacts = table(spark, d, "lineitem", "l_orderkey AS run_id", "CASE WHEN l_linenumber = 1 THEN 'parse_manifest' ELSE 'page_json' END AS kind", "sha2(CAST(l_partkey AS STRING), 256) AS content_hash", "CAST(l_quantity AS BIGINT) AS size_bytes")
+    return runs.run_summaries(orders, docs, _pages(spark, d), artifacts).drop("created_at", "artifact_state", "prune_summary")
+
+
+@query("""
+SELECT sha256(text) AS content_hash, min(CAST(doc_id AS VARCHAR)) AS path, min(strlen(text)) AS size_bytes FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 11 = 0) GROUP BY sha256(text)""")
+def content_hash_dedup(spark, d):
+    files = table(spark, d, "documents", "CAST(doc_id AS STRING) AS path", "CAST(text AS BINARY) AS content")
+    known = table(spark, d, "documents").filter("doc_id % 11 = 0").selectExpr("sha2(text, 256) AS content_hash").distinct()
+    return readers.import_files(files, known)[0].select("content_hash", "path", "size_bytes")
+
+
+@query("""
+WITH r AS (SELECT user_id AS aggregate_id, event_type AS kind, CAST(day(ts) AS VARCHAR) AS input_version, min(event_id) AS seq FROM events GROUP BY ALL),
+a AS (SELECT DISTINCT user_id, event_type, CAST(day(ts) AS VARCHAR) AS v FROM events WHERE event_id % 5 = 0 AND event_id % 10 <> 0)
+SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = r.aggregate_id AND a.event_type = r.kind AND a.v = r.input_version)""")
+def idempotent_enqueue(spark, d):
+    keys = ("user_id AS aggregate_id", "event_type AS kind", "CAST(day(ts) AS STRING) AS input_version", "event_id")
+    e = table(spark, d, "events", *keys)
+    active = e.filter("event_id % 5 = 0").withColumn("status", F.when(F.col("event_id") % 10 == 0, "succeeded").otherwise("running"))
+    return jobs.enqueue_absent(active, e.withColumnRenamed("event_id", "seq"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT source AS document_id, lang AS kind, 'd/' || (doc_id % 60) AS path, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 4 END AS run_id FROM documents),
+k AS (SELECT DISTINCT source AS document_id, lang AS kind, 'd/' || (doc_id % 50) AS path, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 4 END AS run_id FROM documents WHERE doc_id % 2 = 0)
+SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.document_id = n.document_id AND k.kind = n.kind AND k.path = n.path AND k.run_id IS NOT DISTINCT FROM n.run_id)""")
+def register_if_absent(spark, d):
+    cols = lambda m: ("source AS document_id", "lang AS kind", f"concat('d/', doc_id % {m}) AS path", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 4 END AS run_id")
+    old = table(spark, d, "documents").filter("doc_id % 2 = 0").selectExpr(*cols(50))
+    return manifest.register_absent(old, table(spark, d, "documents", *cols(60)))
+
+
+@query("SELECT conv_id, turn, role, sha256(text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
+def latest_review(spark, d):
+    c = table(spark, d, "conversations").withColumn("seq", F.col("turn"))
+    return reviews.fold(c, "conv_id").select("conv_id", "turn", "role", F.sha2("text", 256).alias("hash"))
+
+
+@query("""
+WITH l AS (SELECT o_custkey, o_orderkey AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 1)
+SELECT o_orderkey AS id, o.o_custkey AS document_id FROM orders o LEFT JOIN l ON o.o_custkey = l.o_custkey WHERE latest IS NULL OR latest = o_orderkey""")
+def latest_success_scoped(spark, d):
+    o = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS document_id", "o_orderkey AS extraction_run_id", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status", "o_orderdate AS created_at")
+    return runs.latest_scoped(o.select("id", "document_id", "extraction_run_id"), o).select("id", "document_id")
+
+
+@query("SELECT event_id AS id, user_id AS document_id, event_type AS selected_run_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_run_id FROM events")
+def selection_history(spark, d):
+    e = table(spark, d, "events", "event_id AS id", "user_id AS document_id", "event_type AS selected_run_id", "ts AS created_at")
+    return runs.selection_history(e).drop("created_at")
+
+
+PAGE_KIND = "CASE WHEN lang = 'fr' THEN 'reference' WHEN lang = 'es' THEN 'blank' ELSE 'content' END"
+
+
+@query(f"SELECT d.doc_id AS page_no, source AS document_id, {PAGE_KIND} AS page_kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 AND {PAGE_KIND} NOT IN ('reference', 'visualization')")
+def accepted_pages(spark, d):
+    p = table(spark, d, "documents", "doc_id AS page_no", "source AS document_id", f"{PAGE_KIND} AS page_kind")
+    state = table(spark, d, "labels", "doc_id AS page_no", "CASE quality WHEN 1 THEN 'accepted' ELSE 'rejected' END AS review_status")
+    return reviews.accepted_pages(p.join(state, "page_no")).drop("review_status")
+
+
+def _graph(spark, d):
+    nodes = table(spark, d, "customer", "c_custkey AS id", "c_nationkey AS document_id", "c_name AS title", "CASE WHEN c_acctbal > 0 THEN 'accepted' ELSE 'rejected' END AS review_status")
+    edges = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS source_id", "o_custkey * 7 % 1601 AS target_id", "CASE o_orderstatus WHEN 'O' THEN 'accepted' ELSE 'needs_review' END AS review_status", "o_orderpriority AS relation")
+    return nodes, edges
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0)
+SELECT o_orderkey AS id, o_custkey AS source_id, o_custkey * 7 % 1601 AS target_id FROM orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT id FROM n) AND o_custkey * 7 % 1601 IN (SELECT id FROM n)""")
+def accepted_snapshot(spark, d):
+    return knowledge.accepted_snapshot(*_graph(spark, d))[1].select("id", "source_id", "target_id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) OR o_custkey * 7 % 1601 NOT IN (SELECT c_custkey FROM customer)")
+def dangling_edges(spark, d):
+    return knowledge.dangling_edges(*_graph(spark, d)).select("id")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS relation, a.c_name AS source_title, b.c_name AS target_title FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN customer b ON o_custkey * 7 % 1601 = b.c_custkey")
+def graph_view(spark, d):
+    return knowledge.graph_view(*_graph(spark, d))
+
+
+@query("""
+WITH n AS (SELECT c_nationkey AS document_id, c_acctbal > 0 AS ok FROM customer), e AS (SELECT c_nationkey AS document_id, o_orderstatus = 'O' AS ok, o_custkey * 7 % 1601 AS t FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT document_id, 'nodes not accepted' AS flaw FROM n GROUP BY document_id HAVING NOT bool_and(ok)
+UNION ALL SELECT document_id, 'edges not accepted' FROM e GROUP BY document_id HAVING NOT bool_and(ok)
+UNION ALL SELECT DISTINCT document_id, 'dangling edges' FROM e WHERE t NOT IN (SELECT c_custkey FROM customer)""")
+def publish_flaws(spark, d):
+    nodes, edges = _graph(spark, d)
+    return knowledge.publish_flaws(nodes, edges.join(nodes.select(F.col("id").alias("source_id"), "document_id"), "source_id"))
+
+
+@query("""
+WITH t AS (SELECT n_regionkey AS document_id, substr(n_name, 1, 3) AS title, min(n_nationkey) AS pos FROM nation GROUP BY ALL),
+e AS (SELECT n_regionkey AS document_id, n_nationkey AS pos, substr(n_name, 1, 3) AS s, substr(lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 1, 3) AS x, CASE WHEN n_nationkey % 2 = 0 THEN 'USES' ELSE 'RELATED_TO' END AS relation FROM nation)
+SELECT e.document_id, s AS source_title, x AS target_title, relation, coalesce((SELECT min(n_nationkey) FROM nation WHERE n_regionkey = e.document_id AND contains(n_name, e.s)), -1) AS page_no
+FROM e JOIN t a ON a.document_id = e.document_id AND a.title = s JOIN t b ON b.document_id = e.document_id AND b.title = x""")
+def title_resolution(spark, d):
+    n = table(spark, d, "nation", "n_regionkey AS document_id", "n_nationkey AS pos", "n_name AS name")
+    # A region is a document, its nations the titles, in the order of their keys.
+    each = F.array_sort(F.collect_list(F.struct("pos", "name")))
+    doc = n.groupBy("document_id").agg(each.alias("x"))
+    title = lambda e: F.left(e["name"], F.lit(3))
+    none = F.lit(None).cast("string")
+    nodes = F.transform("x", lambda e: F.struct(none.alias("kind"), title(e).alias("title"), none.alias("content"), title(e).alias("evidence_quote")))
+    edges = F.transform("x", lambda e, i: F.struct(title(e).alias("source_title"), title(F.get("x", i + 1)).alias("target_title"), F.when(e["pos"] % 2 == 0, "USES").otherwise("SEES").alias("relation"), title(e).alias("evidence_quote")))
+    made, linked = knowledge.candidates_of(doc.select("document_id", nodes.alias("nodes"), edges.alias("edges")), n.select("document_id", F.col("pos").alias("page_no"), F.col("name").alias("markdown")), "run-1")
+    view = knowledge.graph_view(made, linked).join(linked.select("id", "document_id", F.col("evidence")[0]["page_no"].alias("page_no")), "id")
+    return view.select("document_id", "source_title", "target_title", "relation", "page_no")
+
+
+@query("""
+WITH q AS (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY conv_id), w AS (SELECT c.conv_id AS document_id, c.turn AS quote_id, substr(c.text, 5, 9) AS quote FROM conversations c JOIN q ON c.conv_id = q.conv_id AND c.turn = q.t)
+SELECT document_id, quote_id, quote, min(p.turn) AS hit FROM w LEFT JOIN conversations p ON p.conv_id = document_id AND quote <> '' AND contains(p.text, quote) GROUP BY ALL""")
+def evidence_first_match(spark, d):
+    c = table(spark, d, "conversations").withColumn("seq", F.col("turn"))
+    last = reviews.fold(c, "conv_id").selectExpr("conv_id AS document_id", "turn AS quote_id", "substr(text, 5, 9) AS quote")
+    return knowledge.first_match(last, c.selectExpr("conv_id AS document_id", "turn", "text"), ["document_id"], "text", "turn")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS id, o_custkey AS document_id FROM orders), v AS (SELECT o_orderkey AS id, o_custkey AS document_id, '{"run":"' || CAST(o_orderkey AS VARCHAR) || '"}' AS j FROM orders WHERE o_orderpriority LIKE '1%'),
+l AS (SELECT o_orderkey AS revision_id FROM orders WHERE o_orderkey % 3 = 0)
+SELECT id, document_id, id IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey) AS is_current,
+    id IN (SELECT l_orderkey FROM lineitem JOIN events ON l_orderkey * 10 + l_linenumber = event_id * 13 WHERE event_type = (SELECT min(event_type) FROM events)) AS has_reviews,
+    id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS has_extractions, EXISTS (SELECT 1 FROM v WHERE v.document_id = r.document_id AND contains(v.j, CAST(r.id AS VARCHAR))) AS in_workbooks,
+    EXISTS (SELECT 1 FROM v JOIN l ON v.id = l.revision_id WHERE v.document_id = r.document_id AND contains(v.j, CAST(r.id AS VARCHAR))) AS in_releases FROM r""")
+def protection_flags(spark, d):
+    o = table(spark, d, "orders")
+    documents = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("current_parse_run_id"))
+    events = table(spark, d, "events")
+    first = events.agg(F.min("event_type").alias("t"))
+    events = events.join(first, F.col("event_type") == F.col("t"), "left_semi").selectExpr("'page' AS target_type", "event_id * 13 AS target_id")
+    revisions = o.filter("o_orderpriority LIKE '1%'").selectExpr("o_orderkey AS id", "o_custkey AS document_id", """concat('{"run":"', o_orderkey, '"}') AS snapshot_json""")
+    released = revisions.filter("id % 3 = 0").selectExpr("id AS revision_id", "document_id", "snapshot_json")
+    return maintenance.protection_flags(
+        o.selectExpr("o_orderkey AS id", "o_custkey AS document_id"), documents, table(spark, d, "lineitem", "l_orderkey * 10 + l_linenumber AS id", "l_orderkey AS run_id"), events,
+        table(spark, d, "lineitem").filter("l_returnflag = 'R'").selectExpr("l_orderkey AS parse_run_id"), revisions, released,
+    )
+
+
+@query("""
+SELECT c_custkey AS id, o_orderkey AS current_parse_run_id FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey AND n = 1""")
+def backfill_latest(spark, d):
+    o = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS document_id", "CASE o_orderstatus WHEN 'F' THEN 'parsed' ELSE 'failed' END AS status", "o_orderdate AS created_at")
+    return maintenance.backfill_current(table(spark, d, "customer", "c_custkey AS id", "CAST(NULL AS BIGINT) AS current_parse_run_id"), o).select("id", "current_parse_run_id")
+
+
+@query("""
+WITH i AS (SELECT source AS run_id, doc_id AS page_no, 'content' AS page_kind, CASE WHEN doc_id % 3 = 0 THEN 'accepted' ELSE 'needs_review' END AS review_status, CASE WHEN n_chars > 3000 THEN 'long' ELSE 'needs_review' END AS quality_status,
+    CAST((n_chars > 3000)::INT + contains(text, '|')::INT AS INTEGER) AS issue_count FROM documents)
+SELECT * FROM i WHERE issue_count > 0 AND contains(lower(page_no || ' ' || page_kind || ' ' || review_status || ' ' || quality_status), 'acc')""")
+def page_index(spark, d):
+    issues = F.array_compact(F.array(F.when(F.col("n_chars") > 3000, F.lit("long")), F.when(F.col("text").contains("|"), F.lit("bar"))))
+    state = F.when(F.col("n_chars") > 3000, "long")
+    p = table(spark, d, "documents").select(
+        F.col("source").alias("run_id"), F.col("doc_id").alias("page_no"), F.lit("content").alias("page_kind"), F.when(F.col("doc_id") % 3 == 0, "accepted").otherwise("needs_review").alias("review_status"), F.struct(state.alias("status"), issues.alias("issues")).alias("quality")
+    )
+    return runs.search_index(runs.page_index(p), " ACC ", only_issues=True)
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS id, p_size AS page_count, CAST(p_partkey % 9 AS INTEGER) AS s, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey % 9 + p_partkey % 13 AS INTEGER) END AS e FROM part),
+v AS (SELECT *, coalesce(e, page_count) AS x, s >= 1 AND coalesce(e, page_count) >= s AND coalesce(e, page_count) <= page_count AS ok FROM r)
+SELECT id, CAST(unnest(CASE WHEN ok THEN range(s, x + 1) ELSE [NULL] END) AS INTEGER) AS page_no, CASE WHEN ok THEN NULL ELSE 'page range' END AS error FROM v""")
+def page_range(spark, d):
+    r = table(spark, d, "part", "p_partkey AS id", "p_size AS page_count", "CAST(p_partkey % 9 AS INT) AS page_start", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey % 9 + p_partkey % 13 AS INT) END AS page_end")
+    return pages.page_range(r).select("id", "page_no", "error")
+
+
+NORMAL = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(x), '\\r\\n?', chr(10), 'g'), '[{PY}]+(\\n|\\z)', '\\1', 'g'), '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', '')"
+
+
+@query(f"WITH t AS (SELECT doc_id, '  ' || replace(coalesce(text, ''), '. ', '. ' || chr(13) || chr(10)) || chr(12288) AS x FROM documents) SELECT doc_id, sha256({NORMAL}) AS hash, length({NORMAL}) AS n FROM t")
+def normalize_text(spark, d):
+    t = table(spark, d, "documents", "doc_id", "concat('  ', replace(coalesce(text, ''), '. ', concat('. ', chr(13), chr(10))), '　') AS x")
+    out = t.select("doc_id", text.normalize_text(F.col("x")).alias("y"))
+    return out.select("doc_id", F.sha2("y", 256).alias("hash"), F.length("y").cast("long").alias("n"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(replace(CASE WHEN doc_id % 5 = 0 THEN '1.2 Title' || chr(10) || text WHEN doc_id % 5 = 1 THEN '$$x$$' || chr(10) || text ELSE text END, chr(10), chr(10) || chr(10)), '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', ''), '\\n\\s*\\n')) AS c FROM documents),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(c, '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', '') AS c FROM p),
+k AS (SELECT doc_id, CASE WHEN length(c) <= 100 AND regexp_matches(c, '^\\d+(\\.\\d+)+\\s+\\S+') THEN 'heading' WHEN starts_with(c, '$$') AND ends_with(c, '$$') OR starts_with(c, '$') AND ends_with(c, '$') AND NOT contains(c, chr(10)) THEN 'formula' ELSE 'paragraph' END AS kind, left(c, 240) AS q FROM s WHERE c <> '')
+SELECT doc_id, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'formula') AS formulas, count(*) FILTER (kind = 'paragraph') AS paragraphs, CAST(sum(length(q)) AS BIGINT) AS quoted FROM k GROUP BY doc_id""")
+def paragraph_blocks(spark, d):
+    head = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("1.2 Title\n"), "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("$$x$$\n"), "text")).otherwise(F.col("text"))
+    t = table(spark, d, "documents").select("doc_id", text.markdown_blocks(F.replace(head, F.lit("\n"), F.lit("\n\n"))).alias("b")).filter(F.size("b") > 0)
+    count = lambda k: F.size(F.filter("b", lambda b: b["kind"] == k)).cast("long")
+    return t.select("doc_id", count("heading").alias("headings"), count("formula").alias("formulas"), count("paragraph").alias("paragraphs"), F.aggregate("b", F.lit(0).cast("long"), lambda s, b: s + F.length(b["quote"])).alias("quoted"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(u, '^[{PY}]+', ''), '[{PY}]+\\z', '') AS u FROM (SELECT doc_id, unnest(string_split(text || chr(10) || '| a | b |' || chr(10) || '| --- | :-: |', chr(10))) AS u FROM documents) WHERE contains(u, '|')),
+c AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(u, '^\\|+', ''), '\\|+\\z', ''), '|'), lambda v: regexp_replace(regexp_replace(v, '^[{PY}]+', ''), '[{PY}]+\\z', '')) AS cells FROM l),
+k AS (SELECT doc_id, cells FROM c WHERE len(list_filter(cells, lambda v: NOT regexp_full_match(v, ':?-{{3,}}:?'))) > 0)
+SELECT doc_id, count(*) AS n_rows, CAST(sum(len(cells)) AS BIGINT) AS n_cells, CAST(sum(list_sum(list_transform(cells, lambda v: length(v)))) AS BIGINT) AS n_chars FROM k GROUP BY doc_id""")
+def table_matrix(spark, d):
+    t = table(spark, d, "documents").select("doc_id", text.table_matrix(F.concat("text", F.lit("\n| a | b |\n| --- | :-: |"))).alias("m")).filter("m IS NOT NULL")
+    total = lambda f: F.aggregate("m", F.lit(0).cast("long"), lambda s, r: s + f(r))
+    return t.select("doc_id", F.size("m").cast("long").alias("n_rows"), total(F.size).alias("n_cells"), total(lambda r: F.aggregate(r, F.lit(0), lambda s, c: s + F.length(c))).alias("n_chars"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, sha256(text) AS h, source || ' v.' || lang || '?' || CAST(doc_id AS VARCHAR) || '.pdf' AS title FROM documents)
+SELECT doc_id, source_id AS case_id, 'comparison-' || substr(sha256(source_id || chr(0) || 'a' || chr(0) || 'b'), 1, 16) AS comparison_id, lab || '-' || substr(h, 1, 12) || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS snapshot_id,
+    h || ':m:1-' || CAST(doc_id % 30 + 1 AS VARCHAR) || ':v2:8192:3:' || CAST(least(60, (doc_id % 30 + 1) * 3) AS VARCHAR) AS input_version
+FROM (SELECT *, regexp_replace(regexp_replace(replace(replace(title, '?', ''), '.pdf', ''), ' ', '-', 'g'), '-+', '-', 'g') || '--' || substr(h, 1, 12) AS source_id, 'run-' || CAST(doc_id AS VARCHAR) AS lab FROM t)""")
+def stable_ids(spark, d):
+    t = table(spark, d, "documents", "doc_id", "sha2(text, 256) AS h", "concat(source, ' v.', lang, '?', doc_id, '.pdf') AS title")
+    t = t.withColumn("case_id", ids.case_id(F.col("title"), F.col("h")))
+    n = lambda x: F.lit(x)
+    return t.select(
+        "doc_id", "case_id", ids.comparison_id(F.col("case_id"), n("a"), n("b")).alias("comparison_id"), ids.snapshot_id(F.concat(n(" run "), F.col("doc_id").cast("string")), F.col("h"), F.col("doc_id").cast("string")).alias("snapshot_id"),
+        ids.input_version(F.col("h"), n("m"), n(1), F.col("doc_id") % 30 + 1, n("v2"), n(8192), n(3), n(60)).alias("input_version"),
+    )
+
+
+def _page(markdown, kind=None):
+    """A page of one block, and evidence of it."""
+    block = F.struct(F.coalesce(kind if kind is not None else F.lit("paragraph"), F.lit("paragraph")), markdown, F.lit(None).cast("string"), F.left(markdown, F.lit(240)), F.lit(0), F.lit(None).cast("array<double>"), F.lit(1.0), F.lit("vision")).cast(BLOCK)
+    evidence = F.struct(F.lit("text_quote"), F.lit(1), F.left(markdown, F.lit(300)), F.array(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0))).cast(EVIDENCE)
+    return F.struct(F.lit(1).alias("schema_version"), F.lit(1).alias("page_no"), F.lit("content").alias("page_kind"), markdown.alias("markdown"), F.array(block).alias("blocks"), F.array(evidence).alias("evidence"), F.array().cast("array<string>").alias("content_images"))
+
+
+@query("""
+WITH b AS (SELECT source AS comparison_id, doc_id // 2 AS page_no, any_value(text) AS t, any_value(lang) AS k FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), c AS (SELECT source AS comparison_id, doc_id // 2 AS page_no, any_value(text) AS t, any_value(lang) AS k FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL),
+w AS (SELECT DISTINCT source AS comparison_id, doc_id // 2 AS page_no FROM documents)
+SELECT comparison_id, page_no, CASE WHEN b.t IS NULL OR c.t IS NULL THEN 'availability' WHEN trim(b.t) = trim(c.t) AND b.k = c.k THEN '' ELSE
+    array_to_string(list_filter([CASE WHEN trim(b.t) <> trim(c.t) THEN 'text' END, 'structure', CASE WHEN trim(left(b.t, 300)) <> trim(left(c.t, 300)) THEN 'evidence' END], lambda v: v IS NOT NULL), ',') END AS dims
+FROM w LEFT JOIN b USING (comparison_id, page_no) LEFT JOIN c USING (comparison_id, page_no)""")
+def page_alignment(spark, d):
+    t = table(spark, d, "documents").select(F.col("source").alias("comparison_id"), F.expr("doc_id div 2").alias("page_no"), (F.col("doc_id") % 2).alias("side"), _page(F.col("text"), F.col("lang")).alias("page"))
+    out = evaluate.compare_pages(t.select("comparison_id", "page_no").distinct(), t.filter("side = 0"), t.filter("side = 1"), diff=False)
+    return out.select("comparison_id", "page_no", F.array_join("changed_dimensions", ",").alias("dims"))
+
+
+@query("""
+WITH t AS (SELECT page_id, html IS NOT NULL AND page_id % 10 <> 0 AS has_json, page_id % 3 <> 0 AS image, CASE WHEN page_id % 4 = 0 THEN '' ELSE html END AS m, page_id % 5 = 0 AS bad FROM pages)
+SELECT page_id AS run_id, array_to_string(list_filter([CASE WHEN NOT has_json THEN 'page_json' END, CASE WHEN NOT image THEN 'page_image' END, CASE WHEN NOT has_json OR m = '' THEN 'markdown' END, CASE WHEN NOT has_json THEN 'blocks' END,
+    CASE WHEN NOT has_json THEN 'evidence' END, CASE WHEN NOT has_json OR bad THEN 'evidence_bounds' END], lambda v: v IS NOT NULL), ',') AS failed FROM t""")
+def inspect_pages(spark, d):
+    t = table(spark, d, "pages", "page_id AS run_id", "CASE WHEN page_id % 4 = 0 THEN '' ELSE html END AS m")
+    page = _page(F.col("m"))
+    shifted = F.transform(page["evidence"], lambda e: e.withField("page_no", F.when(F.col("run_id") % 5 == 0, 2).otherwise(1)))
+    p = t.select("run_id", F.lit(1).alias("page_no"), F.when(F.col("run_id") % 10 != 0, page.withField("evidence", shifted)).alias("page"))
+    images = t.filter("run_id % 3 <> 0").select("run_id", F.lit(1).alias("page_no"))
+    return pages.inspect_pages(p, images).select("run_id", F.array_join("failed_checks", ",").alias("failed"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 50 AS DOUBLE) AS x0, CAST(l_suppkey % 40 AS DOUBLE) AS y0, CAST(l_partkey % 50 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 40 + l_linenumber * 5 AS DOUBLE) AS y1 FROM lineitem),
+i AS (SELECT *, greatest(0, least(x1, 60) - greatest(x0, 10)) * greatest(0, least(y1, 50) - greatest(y0, 10)) AS n FROM b)
+SELECT l_orderkey, l_linenumber, x1 <= 90 AND y1 <= 60 AS fits, round(n / ((x1 - x0) * (y1 - y0) + 2000 - n), 6) AS iou FROM i""")
+def bbox_iou(spark, d):
+    box = F.expr("array(CAST(l_partkey % 50 AS DOUBLE), CAST(l_suppkey % 40 AS DOUBLE), CAST(l_partkey % 50 + l_quantity AS DOUBLE), CAST(l_suppkey % 40 + l_linenumber * 5 AS DOUBLE))")
+    other = F.array(*[F.lit(float(v)) for v in (10, 10, 60, 50)])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", geometry.is_page_box(box, F.lit(90), F.lit(60)).alias("fits"), F.round(geometry.overlap(box, other), 6).alias("iou"))
+
+
+@query("""
+WITH r AS (SELECT source AS a, d.doc_id AS p, quality + 1 AS f, 2 - toxic AS t, CASE WHEN toxic = 1 AND quality = 0 THEN 0 ELSE 2 END AS e FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE source <> 'src3'),
+s AS (SELECT a, sum(f + t + e) / (3.0 * count(*)) AS avg, count(*) FILTER (e = 0) AS crit FROM r GROUP BY a)
+SELECT d.source AS assessment_id, CASE WHEN d.source = 'src3' THEN 'review_required' WHEN avg >= 1.5 AND coalesce(crit, 0) = 0 THEN 'passed' ELSE 'failed' END AS quality_status, coalesce(round(round(avg, 3), 1), 0.0) AS average, coalesce(crit, 0) AS criticals
+FROM (SELECT DISTINCT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id) d LEFT JOIN s ON d.source = s.a""")
+def scorecard(spark, d):
+    both = table(spark, d, "documents", "doc_id", "source").join(table(spark, d, "labels"), "doc_id")
+    a = both.groupBy(F.col("source").alias("assessment_id")).agg(F.lit("formal_scorecard").alias("profile"), F.collect_list(F.col("doc_id").cast("int")).alias("pages"), F.lit(1.5).alias("minimum_average"))
+    scores = F.create_map(F.lit("text"), F.col("quality") + 1, F.lit("structure"), 2 - F.col("toxic"), F.lit("source_evidence"), F.when((F.col("toxic") == 1) & (F.col("quality") == 0), 0).otherwise(2))
+    r = both.filter("source <> 'src3'").select(F.col("source").alias("assessment_id"), F.col("doc_id").cast("int").alias("page_no"), F.lit("pass").alias("verdict"), scores.alias("scores"), F.array().cast("array<string>").alias("critical_errors"), F.col("doc_id").alias("seq"))
+    return evaluate.scorecard(a, r).select("assessment_id", "quality_status", F.round("average_score", 1).alias("average"), F.size("critical_failures").cast("long").alias("criticals"))
+
+
+@query("""
+WITH l AS (SELECT source, d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), c AS (SELECT source, count(*) FILTER (doc_id % 40 = 0) AS changed, count(*) FILTER (doc_id % 40 = 0 AND quality IS NULL) AS pending, bool_or(quality = 0 AND doc_id % 80 = 0) AS open FROM l GROUP BY source)
+SELECT source AS comparison_id, changed AS changed_count, pending AS pending_count, CASE WHEN changed = 0 THEN 'no_regression_detected' WHEN pending > 0 OR coalesce(open, false) THEN 'review_required' ELSE 'changed' END AS conclusion FROM c""")
+def report_conclusion(spark, d):
+    t = table(spark, d, "documents", "source AS comparison_id", "doc_id AS page_no", "doc_id % 40 = 0 AS changed")
+    r = t.join(table(spark, d, "labels", "doc_id AS page_no", "quality"), "page_no").select("comparison_id", "page_no", F.when((F.col("quality") == 0) & (F.col("page_no") % 80 == 0), "needs_review").otherwise("equivalent").alias("verdict"), F.lit(1).alias("seq"))
+    return evaluate.comparison_conclusion(t, r).select("comparison_id", "changed_count", F.size("pending_review_pages").cast("long").alias("pending_count"), "conclusion")
+
+
+@query("""
+WITH t AS (SELECT conv_id // 2 AS p, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations), e AS (SELECT * FROM t WHERE side = 0), a AS (SELECT * FROM t WHERE side = 1)
+SELECT CAST(e.p AS BIGINT) AS page_no, e.n AS block, e.role = a.role AS kind_ok, trim(e.text) = trim(a.text) AS content_ok FROM e JOIN a ON e.p = a.p AND e.n = a.n""")
+def positional_blocks(spark, d):
+    c = table(spark, d, "conversations").select(F.expr("conv_id div 2").alias("page_no"), (F.col("conv_id") % 2).alias("side"), F.struct("turn", "role", "text").alias("x"))
+    c = c.groupBy("page_no", "side").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    block = F.transform("x", lambda x: F.struct(x["role"], x["text"], F.lit(None).cast("string"), x["text"], x["turn"].cast("int"), F.lit(None).cast("array<double>"), F.lit(1.0), F.lit("vision")).cast(BLOCK))
+    page = F.struct(F.lit(1).alias("schema_version"), F.lit(1).alias("page_no"), F.lit("content").alias("page_kind"), F.lit("").alias("markdown"), block.alias("blocks"), F.array().cast(f"array<{EVIDENCE}>").alias("evidence"))
+    p = c.select("page_no", "side", page.alias("page"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    checks = regression.compare_pages(p.filter("side = 0"), p.filter("side = 1"))
+    at = lambda g: F.regexp_extract("name", r"^page-(\d+)\.block-(\d+)\.", g)
+    rows = checks.filter("name LIKE '%.kind' OR name LIKE '%.content'").filter("name LIKE '%block%'").select(at(1).cast("long").alias("page_no"), at(2).cast("long").alias("block"), "name", "passed")
+    ok = lambda s: F.bool_and(F.when(F.endswith("name", F.lit(s)), F.col("passed")))
+    return rows.groupBy("page_no", "block").agg(ok(".kind").alias("kind_ok"), ok(".content").alias("content_ok"))
+
+
+@query("""
+SELECT source AS run_id, state, count(*) AS n FROM (SELECT source, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents) GROUP BY ALL""")
+def manifest_verify(spark, d):
+    t = table(spark, d, "documents", "source AS run_id", "doc_id", "concat('pages/', doc_id, '.md') AS path", "sha2(text, 256) AS sha256")
+    actual = t.filter("doc_id % 9 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))).drop("doc_id")
+    return manifest.verify(t, actual, "run_id").groupBy("run_id", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def job_fold(spark, d):
+    """A user's events as commands to the job queue. A state machine in order: no SQL."""
+    kinds = F.create_map(*[F.lit(x) for pair in ((0, "enqueue"), (1, "claim"), (2, "heartbeat"), (3, "fail"), (4, "complete"), (5, "cancel"), (6, "tick")) for x in pair])
+    e = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("queue_key"), F.col("event_id").alias("seq"), "ts", kinds[(F.col("event_id") % 7).cast("int")].alias("event"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("j"), "event_id")).alias("job_id"), F.lit("w1").alias("worker"),
+        F.lit(3600).alias("lease_seconds"), (F.col("event_id") % 2 == 0).alias("retryable"), F.lit(1).alias("progress_current"), F.lit(2).alias("progress_total"), F.lit(3).alias("max_attempts"),
+    )
+    return jobs.fold(e)
+
+
+@query("""SELECT conv_id, sha256(string_agg('## 第 ' || CAST(turn AS VARCHAR) || ' 页' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY conv_id""")
+def document_concat(spark, d):
+    t = table(spark, d, "conversations", "conv_id", "turn AS page_no", "text AS markdown")
+    return pages.document_text(t, "conv_id").select("conv_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS id, o_orderkey AS pos FROM orders WHERE o_orderkey % 4 = 0), b AS (SELECT l_orderkey AS id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT t.pos, t.id, CASE WHEN o.o_custkey > 700 THEN 'document' WHEN o.o_orderstatus = 'P' THEN 'parsing' WHEN o.o_orderkey % 5 = 0 THEN 'artifacts' WHEN t.id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'protected: has_extractions' END AS refusal, coalesce(n, 0) AS reclaimable_bytes
+FROM t JOIN orders o ON t.id = o.o_orderkey LEFT JOIN b ON t.id = b.id""")
+def prune_plan(spark, d):
+    o = table(spark, d, "orders")
+    r = o.selectExpr("o_orderkey AS id", "CASE WHEN o_custkey > 700 THEN 'other' ELSE 'doc' END AS document_id", "CASE o_orderstatus WHEN 'P' THEN 'parsing' ELSE 'parsed' END AS status", "CASE WHEN o_orderkey % 5 = 0 THEN 'pruned' END AS artifact_state")
+    flags = r.select("id", "document_id").join(table(spark, d, "lineitem").filter("l_returnflag = 'R'").selectExpr("l_orderkey AS id", "true AS has_extractions").distinct(), "id", "left").na.fill(False)
+    artifacts = table(spark, d, "lineitem", "l_orderkey AS run_id", "'page_json' AS kind", "'' AS content_hash", "CAST(l_quantity AS BIGINT) AS size_bytes")
+    return maintenance.prune_plan(o.filter("o_orderkey % 4 = 0").selectExpr("o_orderkey AS id", "o_orderkey AS pos"), r, flags, artifacts, "doc", -1)
+
+
+@query("""
+WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT doc_id, count(*) AS blocks, CAST(sum(length(left(left(l, 240), 1000))) AS BIGINT) AS quoted FROM b GROUP BY doc_id""")
+def page_fanout(spark, d):
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("paragraph"), x, F.lit(None).cast("string"), F.left(x, F.lit(240)), i.cast("int"), F.lit(None).cast("array<double>"), F.lit(1.0), F.lit("vision")).cast(BLOCK))
+    quality = F.struct(F.lit("needs_review").alias("status"), F.array().cast("array<string>").alias("issues"), F.lit("content").alias("page_kind"), F.lit(0).alias("native_text_chars"), F.lit(0.0).alias("ink_ratio"), F.lit(None).cast("string").alias("provider"))
+    p = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), F.lit(1).alias("page_no"), made.alias("blocks"), quality.alias("quality"))
+    rows = pages.child_rows(p)
+    spans = rows["source_spans"].select("block_id", F.length("quoted_text").alias("n"))
+    return rows["content_blocks"].select(F.col("page_id").cast("long").alias("doc_id"), F.col("id").alias("block_id")).join(spans, "block_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("quoted"))
+
+
+TABLES = ("nation", "region", "orders", "labels")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
+def table_counts(spark, d):
+    for t in TABLES:
+        table(spark, d, t).createOrReplaceTempView(t)
+    return readers.table_counts(spark, views=list(TABLES))
+
+
+@query("""
+SELECT k AS key, any_value(v) AS value FROM (SELECT doc_id % 300 AS k, 'runtime-' || min(lang) AS v, 0 AS r FROM documents WHERE doc_id % 3 = 0 GROUP BY 1 UNION ALL SELECT doc_id % 400, 'versioned-' || min(lang), 1 FROM documents GROUP BY 1) t
+WHERE r = 0 OR k NOT IN (SELECT doc_id % 300 FROM documents WHERE doc_id % 3 = 0) GROUP BY k""")
+def overlay_cases(spark, d):
+    part = lambda m, name, df: df.groupBy((F.col("doc_id") % m).alias("key")).agg(F.concat(F.lit(f"{name}-"), F.min("lang")).alias("value"))
+    t = table(spark, d, "documents")
+    return readers.overlay(part(300, "runtime", t.filter("doc_id % 3 = 0")), part(400, "versioned", t), "key")
+
+
+@query("SELECT source AS run_id, CASE WHEN bool_and(doc_id % 50 <> 0) THEN 'complete' ELSE 'incomplete' END AS execution_status FROM documents GROUP BY source")
+def execution_status(spark, d):
+    t = table(spark, d, "documents", "source AS run_id", "CASE WHEN doc_id % 50 = 0 THEN 'failed' ELSE 'passed' END AS automatic_status")
+    return evaluate.execution_status(t)
+
+
+@query("""
+SELECT n.doc_id AS id, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN o.lang IS NOT DISTINCT FROM n.lang AND o.q = n.q THEN 'existing' ELSE 'conflict' END AS outcome
+FROM (SELECT doc_id, lang, doc_id % 4 AS q FROM documents) n LEFT JOIN (SELECT doc_id, lang, CASE WHEN doc_id % 6 = 0 THEN 9 ELSE doc_id % 4 END AS q FROM documents WHERE doc_id % 2 = 0) o ON n.doc_id = o.doc_id""")
+def idempotent_append(spark, d):
+    new = table(spark, d, "documents", "doc_id AS id", "lang", "doc_id % 4 AS q")
+    old = table(spark, d, "documents").filter("doc_id % 2 = 0").selectExpr("doc_id AS id", "lang", "CASE WHEN doc_id % 6 = 0 THEN 9 ELSE doc_id % 4 END AS q")
+    return evaluate.append_idempotent(old, new, "id", ["lang", "q"]).select("id", "outcome")
+
+
+@query("SELECT source AS document_id, doc_id % 5 AS page_no FROM documents GROUP BY ALL HAVING count(DISTINCT lang) > 1")
+def asset_conflicts(spark, d):
+    return manifest.asset_conflicts(table(spark, d, "documents", "source AS document_id", "doc_id % 5 AS page_no", "lang AS content_hash"))
+
+
+@query("""
+SELECT d.doc_id AS page_no, CASE WHEN l.doc_id IS NULL THEN 'page' WHEN l.quality = 1 AND l.toxic = 1 THEN 'scores' WHEN l.quality = 0 AND d.doc_id % 2 = 0 THEN 'scores' END AS error FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def review_checks(spark, d):
+    contracts = table(spark, d, "labels", "doc_id AS page_no", "quality", "toxic")
+    q = table(spark, d, "documents", "doc_id AS page_no").join(contracts, "page_no", "left")
+    scores = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), F.create_map(F.lit("text"), F.lit(1))).when((F.col("quality") == 0) & (F.col("page_no") % 2 == 0), F.create_map(F.lit("text"), F.lit(3), F.lit("source_evidence"), F.lit(1))).otherwise(F.create_map(F.lit("text"), F.lit(2), F.lit("source_evidence"), F.lit(1)))
+    r = q.select("page_no", F.lit("pass").alias("verdict"), scores.alias("scores"), F.array().cast("array<string>").alias("critical_errors"))
+    dims = contracts.select("page_no", F.array(F.lit("text"), F.lit("source_evidence")).alias("dimensions"))
+    return reviews.check_reviews(r, dims, "formal_scorecard").select("page_no", "error")
+
+
+@query("SELECT o_custkey AS run_id, min(o_orderkey % 40) = 1 AND max(o_orderkey % 40) = count(*) AND count(DISTINCT o_orderkey % 40) = count(*) AS contiguous FROM orders GROUP BY o_custkey")
+def contiguous_pages(spark, d):
+    return manifest.pages_are_contiguous(table(spark, d, "orders", "o_custkey AS run_id", "o_orderkey % 40 AS page_no"))
+
+
+@query("SELECT l_orderkey AS page, round(count(*) FILTER (least(l_partkey % 256, l_suppkey % 256, l_linenumber * 60) < 245) / count(*), 6) AS ink_ratio FROM lineitem GROUP BY l_orderkey")
+def ink_ratio(spark, d):
+    p = table(spark, d, "lineitem", "l_orderkey AS page", "l_partkey % 256 AS r", "l_suppkey % 256 AS g", "l_linenumber * 60 AS b")
+    return pages.ink_ratio(p, "page").select("page", F.round("ink_ratio", 6).alias("ink_ratio"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def newest_jobs(spark, d):
+    """The limit is the feature: the newest hundred."""
+    o = table(spark, d, "orders", "o_orderkey AS id", "o_orderdate AS created_at")
+    return runs.newest_first(o, 100).select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN n = 1 THEN f ELSE lpad(CAST(doc_id AS VARCHAR), 4, '0') || '-' || f END AS snapshot_path FROM (SELECT doc_id, lang || '.md' AS f, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""")
+def snapshot_paths(spark, d):
+    t = table(spark, d, "documents", "doc_id", "doc_id AS pos", "source AS snapshot_id", "concat('x/', lang, '.md') AS path")
+    return manifest.unique_paths(t).select("doc_id", "snapshot_path")
+
+
+@query("""
+WITH a AS (SELECT source AS s, doc_id % 5 AS p, min(lang) AS h, count(DISTINCT lang) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT doc_id AS id, CASE WHEN n > 1 OR h <> lang THEN 'image conflict' END AS error, CASE WHEN n = 1 AND h = lang THEN 'shared/' || h ELSE 'own' END AS image_path FROM documents LEFT JOIN a ON source = s AND doc_id % 5 = p""")
+def shared_images(spark, d):
+    t = table(spark, d, "documents", "doc_id AS id", "source AS document_id", "doc_id % 5 AS page_no", "'own' AS image_path", "lang AS image_hash")
+    assets = t.filter("id % 2 = 0").selectExpr("document_id", "page_no", "concat('shared/', image_hash) AS path", "image_hash AS content_hash")
+    return runs.share_page_images(t, assets).select("id", "error", "image_path")
+
+
+@query("""
+SELECT doc_id AS run_id, CASE WHEN doc_id % 5 = 0 THEN 'reason' WHEN doc_id % 4 = 0 THEN 'status' WHEN doc_id % 6 = 0 THEN 'artifacts' ELSE '' END AS error FROM documents""")
+def select_current(spark, d):
+    t = table(spark, d, "documents")
+    r = t.selectExpr("doc_id AS id", "source AS document_id", "CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE 'parsed' END AS status", "CASE WHEN doc_id % 6 = 0 THEN 'pruned' END AS artifact_state")
+    q = t.selectExpr("source AS document_id", "doc_id AS run_id", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'better' END AS reason", "true AS manifest_ok")
+    docs = t.groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("current_parse_run_id"))
+    return runs.select_current(q, r, docs).select("run_id", F.coalesce("error", F.lit("")).alias("error"))
