@@ -151,7 +151,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text), append end_id to each, write the files; return the manifest: part, file, dtype, docs, tokens, start (ids in earlier parts)."""
     spark = docs.sparkSession
-    bound_batches(spark, 256)
+    bound_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")

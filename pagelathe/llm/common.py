@@ -65,6 +65,12 @@ def content_key(*columns: str):
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts don't gather in one."""
+def batches(spark: SparkSession, rows: int = 20_000, size: int = 4 << 20) -> None:
+    """Bound Arrow batches by rows and bytes, so that very long texts don't gather in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df (a table of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -48,8 +48,9 @@ SHIPPED = 4_000_000
 
 #: Pairs up to which they are told to a scan, in 24 bytes each; bits of a bitmap.
 SHIPPED_PAIRS, BITS = 1_000_000, 2048
-#: Levels of document pivots, and the most pivots of a cell; what is left then is compared outright.
-LEVELS, PIVOTS = 3, 64
+#: The most pivots of a cell on each level; what is left of the last is compared outright. The first few connect most of
+#: a group of near copies, the more are for what those leave.
+PIVOTS = (4, 16, 64)
 
 
 def prefix_size(n: np.ndarray | int):
@@ -228,16 +229,17 @@ def bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prune(num: int):
-    """a, b, x, y (sketches) to the pairs a, b whose similarity may be num / DEN."""
+    """a, b, x, y (sketches) to the pairs a, b whose similarity may be num / DEN, and whether it may be that of a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, link = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 na, nb, most = most_shared(x, y)
                 keep.append(DEN * most >= num * (na + nb - most))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+                link.append(bool(linked(most, na, nb)))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "likely"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -272,13 +274,13 @@ def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b; a table) with their sets' sizes and intersection."""
-    bound_batches(pairs.sparkSession, 256)
+    bound_batches(pairs.sparkSession)
     return _side_by_side(pairs, sets, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
 
 
 def pruned(pairs: DataFrame, sets: DataFrame, num: int = NUM) -> DataFrame:
-    """Of distinct pairs (a table) those whose sketches allow a similarity of num / DEN."""
-    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune(num), "a long, b long")
+    """Of distinct pairs (a table) those whose sketches allow a similarity of num / DEN; likely: also that of a link."""
+    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune(num), "a long, b long, likely boolean")
 
 
 #: The distance that a link spans at most, with room for rounding.
@@ -286,6 +288,12 @@ T = 1 - NUM / DEN + 1e-9
 LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """As connected as links, with one link for each document a and a few between pivots b: a's pivots hang on its least."""
+    both = links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
+    return both.select("a", F.col("m").alias("b")).unionByName(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+
+
 def _bits_apart(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v)
 
@@ -296,33 +304,35 @@ def _may_link():
     They aren't connected yet; their sizes fit; their distances to each pivot differ by t at most, as the triangle
     inequality needs of a link; and their bitmaps differ in no more bits than linked sets in shingles.
     """
-    # A distance that wasn't worth measuring is above 2t: then the other is above t.
-    near = F.forall(F.map_values(F.map_zip_with("to", "tb", lambda _, v, w: F.coalesce(F.abs(v - w) <= T, F.coalesce(v, w) >= T - 3e-9))), lambda ok: ok)
+    # A distance that is left out is above 2t: then the other is above t. One of -1 is between t and anything.
+    one = lambda v, w: F.when((v < 0) | (w < 0), F.lit(True)).otherwise(F.coalesce(F.abs(v - w) <= T, F.coalesce(v, w) >= T - 3e-9, F.lit(True)))
+    near = F.forall(F.map_values(F.map_zip_with("to", "tb", lambda _, v, w: one(v, w))), lambda ok: ok)
     apart = _bits_apart("bits", "bitsb")
     sizes = F.expr(f"{DEN} * least(n, nb) >= {NUM} * greatest(n, nb)")
     return (F.col("root") != F.col("rootb")) & sizes & (apart * (NUM + DEN) <= (DEN - NUM) * (F.col("n") + F.col("nb"))) & near
 
 
-def _split(cells: DataFrame, sets: DataFrame, links: list[DataFrame], small: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _split(cells: DataFrame, sets: DataFrame, links: list[DataFrame], small: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cells: cell, a, n, bits, shared. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
     # Pivots: the square root of the cell's size, of the members that share most of its first pivots, so in its middle.
-    sizes = cells.groupBy("cell").agg(F.least(F.lit(PIVOTS), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"))
+    sizes = cells.groupBy("cell").agg(F.least(F.lit(most), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"))
     order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
-    picked = cells.select("cell", "a", "shared").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).join(sizes, "cell").filter("r <= few").select("cell", F.col("a").alias("p"))
+    picked = cells.select("cell", "a", "shared").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).join(sizes, "cell").filter("r <= few").select("cell", F.col("a").alias("p"))
     picked = cut(picked, "pivots")
-    # Distances above 2t decide nothing but that: bitmaps, then sketches tell most of them.
+    # Bitmaps, then sketches, tell which distances are surely above 2t (left out), above t (-1), or have to be measured.
     two = cells.join(picked, "cell").filter("a <> p").select("cell", "a", "p", "n", "bits")
     two = two.join(cells.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits")), ["cell", "p"])
     asked = two.filter(_bits_apart("bits", "pbits") * (2 * NUM) <= 2 * (DEN - NUM) * (F.col("n") + F.col("np"))).select("a", F.col("p").alias("b")).distinct()
     asked = cut(pruned(cut(asked, "asked"), sets, 2 * NUM - DEN), "near")
-    found = cut(measured(asked, sets), "distances")
-    own = found.filter(LINKED).select("a", "b")
+    found = cut(measured(asked.filter("likely"), sets), "distances")
+    own = cut(_thinned(found.filter(LINKED).select("a", "b")), "own")
     roots = components(reduce(DataFrame.unionByName, [*links, own])).select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
-    near = cells.select("cell", "a").join(picked, "cell").join(found.select("a", F.col("b").alias("p"), d), ["a", "p"], "left")
+    told = found.select("a", F.col("b").alias("p"), d).unionByName(asked.filter("NOT likely").select("a", F.col("b").alias("p"), F.lit(-1.0).alias("d")))
+    near = cells.select("cell", "a").join(picked, "cell").join(told, ["a", "p"], "left")
     near = near.withColumn("d", F.when(F.col("a") == F.col("p"), 0.0).otherwise(F.col("d")))
     known = F.when(F.col("d").isNotNull(), F.struct("p", "d"))
-    by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(known))).alias("to"))
+    by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d") >= 0, F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(known))).alias("to"))
     by = by.select("cell", "a", "to", F.when(F.col("m.d") <= T, F.col("m.p")).alias("home")).join(cells, ["cell", "a"]).join(roots, "a", "left")
     by = cut(by.withColumn("root", F.coalesce("root", "a")), "homes")
     as_b = {"a": "b", "n": "nb", "to": "tb", "bits": "bitsb", "root": "rootb"}
@@ -351,7 +361,7 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     component_id is the least doc_id that links reach, the document's own included.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 256)
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = rows.withColumn("key", F.xxhash64("text")).mapInArrow(_survey(size), "doc_id long, key long, n long, fp long, block int, counts binary")
     survey = cut(survey, "survey")
@@ -359,7 +369,6 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     classes = spark.sparkContext.broadcast(rarity(survey))
     first = rows.mapInArrow(_first_pivots(size, classes), "key long, fp long, at long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     found = first.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_regions(small), REGION)
     found = cut(found, "regions")
     # Shared pivots of a pair, and their last places, bound the intersection; most chance meetings end here.
@@ -372,7 +381,7 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(cells.select("a")).distinct()
     one = points.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(nodes.join(one, "fp").select("doc_id"), "wanted")
-    bound_batches(spark, 256)
+    bound_batches(spark)
     count = wanted.count()
     if count <= SHIPPED:
         ids = np.sort(np.array(wanted.filter("doc_id IS NOT NULL").toArrow().column("doc_id"), np.int64))
@@ -384,12 +393,12 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     cells = cells.join(sets.select(F.col("fp").alias("a"), "bits"), "a").dropDuplicates(["cell", "a"])
     while cells.head(1):
         level += 1
-        near, rest, cells = _split(cells, sets, links, small, level == LEVELS)
+        near, rest, cells = _split(cells, sets, links, small, PIVOTS[level - 1], level == len(PIVOTS))
         links.append(near)
         left.append(cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left"))
         cells = cut(cells, "cells")
     pairs = cut(reduce(DataFrame.unionByName, left).distinct(), "candidates") if level else pairs
-    links.append(measured(cut(pruned(pairs, sets), "likely"), sets).filter(LINKED).select("a", "b"))
+    links.append(measured(cut(pruned(pairs, sets).select("a", "b"), "likely"), sets).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
     whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut
+from pagelathe.llm.common import cut, small_side
 
 SIZES = (3, 4)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -109,13 +109,13 @@ def train(docs: DataFrame, per_language: int = 1500, grams_per_language: int = 4
     Bounds: about per_language texts of each language (those that hash lowest) and grams_per_language n-grams of each.
     An n-gram belongs to a language if its rate there is at least ``share`` of its highest rate in any.
     """
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
     # One row a language; the share that gives the wanted number is compared with a row's hash, so nothing is sorted and
     # no text but the sample's moves. Repeated rows hash alike and count once.
     wanted = rows.groupBy("lang").agg((F.lit(per_language * (1 << 30)) / F.count(F.lit(1))).alias("most")).select(F.col("lang").alias("l"), "most")
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    sample = rows.select("doc_id", "text", "lang").join(wanted, F.col("lang") == F.col("l")).filter(h < F.col("most"))
+    sample = rows.select("doc_id", "text", "lang").join(small_side(cut(wanted, "rates")), F.col("lang") == F.col("l")).filter(h < F.col("most"))
     sample = cut(sample.groupBy("lang", F.xxhash64("doc_id", "text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang").repartition(16), "langs")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = Window.partitionBy("lang")
@@ -163,7 +163,7 @@ def predict_text(text: str | None, m: Model) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) to doc_id, lang_pred, score. The model is of fixed size: two to the power of its bits, times its languages' bits."""
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import SPACE, cut
+from pagelathe.llm.common import cut, small_side
 
 #: Slices of a seeded epoch: token sums are taken by slice, and only the slice that holds the quota's end is sorted.
 SLICES = 4096
@@ -75,7 +75,7 @@ def plan(slim: DataFrame, mix: Mix) -> DataFrame:
     leaves = _share(leaves.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", mix)
     leaves = leaves.withColumn("epochs", F.coalesce(F.expr("quota div nullif(supply, 0)"), F.lit(0)))
     leaves = cut(leaves.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("supply")).select(*LEVELS, "supply", "quota", "epochs", "rest"), "quotas")
-    sums = slim.join(leaves.filter("rest > 0"), list(LEVELS)).withColumn("slice", _slice(mix)).groupBy(*LEVELS, "rest", "slice").agg(F.sum("tokens").alias("t"))
+    sums = slim.join(small_side(leaves.filter("rest > 0")), list(LEVELS)).withColumn("slice", _slice(mix)).groupBy(*LEVELS, "rest", "slice").agg(F.sum("tokens").alias("t"))
     upto = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = sums.withColumn("upto", upto).filter("upto >= rest").groupBy(*LEVELS).agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("t")).alias("at")), F.col("slice")).alias("e"))
     return cut(leaves.join(edge, list(LEVELS), "left").select(*leaves.columns, F.col("e.slice").alias("edge"), F.col("e.at").alias("edge_at")), "mix")
@@ -100,7 +100,7 @@ def take(base: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
 
     Only the edge slices are sorted, each a few thousandths of its leaf, so a hot leaf is no single task.
     """
-    df = base.join(leaves.drop("quota", "supply"), list(LEVELS)).withColumn("h", _order_hash(mix)).withColumn("slice", _slice(mix))
+    df = base.join(small_side(leaves.drop("quota", "supply")), list(LEVELS)).withColumn("h", _order_hash(mix)).withColumn("slice", _slice(mix))
     inner = df.filter(F.col("edge").isNull() | (F.col("slice") != F.col("edge"))).withColumn("part", F.when(F.col("slice") < F.col("edge"), F.col("tokens")).otherwise(F.lit(0)))
     w = Window.partitionBy(*LEVELS).orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("edge_at") + F.coalesce(F.sum("tokens").over(w), F.lit(0))

@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids: bool = True) -> DataFra
 
     round_trip: decoding the ids gives the text again (with its own blank signs, U+2581, as blanks).
     """
-    bound_batches(docs.sparkSession, 512)
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf(ENCODED_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import batches as bound_batches
+
 TILE = "dim int, n int, uids binary, ids binary, wide boolean, mat binary"
 FIELDS = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("uids", pa.binary()), ("ids", pa.binary()), ("wide", pa.bool_()), ("mat", pa.binary())])
 
@@ -107,7 +109,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, tile_r
     session's shuffle partitions.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    bound_batches(spark)
     groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     v = vectors.mapInArrow(_pack(tile_rows, scale), TILE)

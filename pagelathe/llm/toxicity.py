@@ -57,7 +57,7 @@ class Lexicon:
 class Matcher(dict):
     """Token to (kind, term, edits) or None; a dict, so that a known token costs one lookup."""
 
-    def __init__(self, words, prefixes, most: int = 200_000) -> None:
+    def __init__(self, words, prefixes, most: int = 120_000) -> None:
         super().__init__()
         self.most, self.old = most, {}
         self.trie: list[dict[str, int]] = [{}]
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least; it is sought
     in so many rounds, the strongest terms first.
     """
-    bound_batches(docs.sparkSession, 128)
+    bound_batches(docs.sparkSession)
     rows = cut(sample_rows(docs, labels, max_rows).repartition(16), "labelled")
 
     def counted(unit, keep) -> list[tuple[str, int, int]]:
@@ -331,7 +331,7 @@ def _matcher(words: dict[str, float], prefixes: dict[str, float]) -> Matcher:
 
 def score(docs: DataFrame, m: Lexicon) -> DataFrame:
     """docs in full, in a struct row, with score. The lexicon is bounded by max_terms of training."""
-    bound_batches(docs.sparkSession, 256)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     @F.arrow_udf("double")
