@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.functions.text import normalize_latex, normalize_text, table_matrix
+from pagelathe.functions.text import composed, normalize_latex, normalize_text, table_matrix
 from pagelathe.operators.reviews import fold
 
 DIMENSIONS = ("text", "structure", "formulas", "tables", "figures", "evidence")
@@ -140,18 +140,18 @@ def execution_status(inspected: DataFrame, key: str = "run_id") -> DataFrame:
     return inspected.groupBy(key).agg(F.when(F.coalesce(F.bool_and(F.col("automatic_status") == "passed"), F.lit(True)), "complete").otherwise("incomplete").alias("execution_status"))
 
 
-def signatures(page: Column, nfc_form: bool = False) -> dict[str, Column]:
-    """What of a page counts in each dimension."""
-    text = lambda c: normalize_text(c, nfc_form)
+def signatures(page: Column) -> dict[str, Column]:
+    """What of a page counts in each dimension, its texts being composed."""
+    text = lambda c: normalize_text(c, nfc_form=False)
     blocks = F.filter(F.coalesce(page["blocks"], F.array().cast("array<struct<kind:string,content:string,latex:string,quote:string,order_no:int,bbox:array<double>,confidence:double,source:string>>")), lambda b: b.isNotNull())
     evidence = F.filter(page["evidence"], lambda e: e.isNotNull())
     of = lambda *kinds: F.filter(blocks, lambda b: F.coalesce(b["kind"].isin(*kinds), F.lit(False)))
-    formula = lambda b: normalize_latex(F.coalesce(F.nullif(b["latex"], F.lit("")), b["content"]), nfc_form)
+    formula = lambda b: normalize_latex(F.coalesce(F.nullif(b["latex"], F.lit("")), b["content"]), nfc_form=False)
     return {
         "text": text(page["markdown"]),
         "structure": F.transform(blocks, lambda b, i: F.struct(F.coalesce(b["order_no"], i.cast("int")), b["kind"], text(b["content"]))),
         "formulas": F.transform(of("formula"), formula),
-        "tables": F.transform(of("table"), lambda b: table_matrix(b["content"], nfc_form)),
+        "tables": F.transform(of("table"), lambda b: table_matrix(b["content"])),
         "figures": F.struct(F.transform(of(*FIGURES), lambda b: F.struct(b["kind"], text(b["content"]), b["bbox"])), F.coalesce(page["content_images"], F.array().cast("array<string>"))),
         "evidence": F.transform(F.coalesce(evidence, F.array().cast("array<struct<kind:string,page_no:int,quote:string,bbox:array<double>>>")), lambda e: F.struct(e["kind"], e["page_no"], text(e["quote"]), e["bbox"])),
     }
@@ -170,12 +170,14 @@ def compare_pages(wanted: DataFrame, baseline: DataFrame, candidate: DataFrame,
     """wanted: comparison_id, page_no; sides: comparison_id, page_no, page. Per page: changed, changed_dimensions, review_status, text_diff.
 
     A page that a side lacks has changed in availability only, even where both lack it. nfc_form: for texts that may not be
-    composed; compose them before, once per text, if they are many.
+    composed.
     """
     keys = ["comparison_id", "page_no"]
+    if nfc_form:
+        baseline, candidate = composed(baseline, "page"), composed(candidate, "page")
     df = wanted.join(baseline.select(*keys, F.col("page").alias("b")), keys, "left").join(candidate.select(*keys, F.col("page").alias("c")), keys, "left")
     lost = F.col("b").isNull() | F.col("c").isNull()
-    left, right = signatures(F.col("b"), nfc_form), signatures(F.col("c"), nfc_form)
+    left, right = signatures(F.col("b")), signatures(F.col("c"))
     differ = F.array_compact(F.array(*[F.when(~left[d].eqNullSafe(right[d]), F.lit(d)) for d in DIMENSIONS]))
     df = df.withColumn("changed_dimensions", F.when(lost, F.array(F.lit("availability"))).otherwise(differ)).withColumn("changed", F.size("changed_dimensions") > 0)
     df = df.withColumn("review_status", F.when(F.col("changed"), "pending").otherwise("not_required"))

@@ -29,7 +29,7 @@ def test_normalize_text_like_python(spark):
 
 
 def test_table_matrix(spark):
-    t = "before\n| a | b |\n|---|:-:|\n|  c||  d |\nno bars\n|:--|"
+    t = "before\n| a | b |\n|---|:----:|\n|  c||  d |\nno bars\n|:--|"
     assert one(spark, text.table_matrix(F.col("t")), t=t) == [["a", "b"], ["c", "", "d"], [":--"]]
     assert one(spark, text.table_matrix(F.col("t")), t="|--|") == [["--"]]
 
