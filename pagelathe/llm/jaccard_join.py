@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut
+from pagelathe.llm.common import cut, small_side
 from pagelathe.llm.components import components
 from pagelathe.llm.shingles import fingerprint, shingle_sets
 
@@ -50,7 +50,7 @@ SHIPPED = 4_000_000
 SHIPPED_PAIRS, BITS = 1_000_000, 2048
 #: The most pivots of a cell on each level; what is left of the last is compared outright. The first few connect most of
 #: a group of near copies, the more are for what those leave.
-PIVOTS = (4, 16, 64)
+PIVOTS = (3, 12, 64)
 
 
 def prefix_size(n: np.ndarray | int):
@@ -119,7 +119,7 @@ def _first_pivots(size: int, classes):
                 n = len(s)
                 if n == 0 or (fp := fingerprint(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(fp)
                 k = np.sort(rank[(s >> np.uint64(64 - BUCKETS)).astype(np.int64)] | (s >> np.uint64(4)))[: prefix_size(n)]
                 keys.append(k)
@@ -187,23 +187,40 @@ def _regions(small: int):
     return run
 
 
-def _fetch(size: int, wanted=None):
-    """doc_id, text to fp, sketch, bits, shingles of the documents that are wanted (sorted ids), or of all given ones."""
+def _fetch(size: int, whole: bool):
+    """Texts to fp and the shingles (whole), or else fp, sketch and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = wanted.value if wanted is not None else None
         for b in batches:
-            if ids is not None:
-                own = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-                there = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-                b = b.filter(pc.or_(pa.array(there), b.column(0).is_null()))
-            sets = list(shingle_sets(b.column(1).to_pylist(), size))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([bits(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "sketch", "bits", "shingles"])
+            sets = list(shingle_sets(b.column(0).to_pylist(), size))
+            fps = pa.array([fingerprint(s) for s in sets], pa.int64())
+            if whole:
+                yield pa.RecordBatch.from_arrays([fps, pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "v"])
+            else:
+                yield pa.RecordBatch.from_arrays([fps, pa.array([sketch(s) for s in sets], pa.binary()), pa.array([bits(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "sketch", "bits"])
 
     return run
 
 
+class Points:
+    """The documents that stand for the sets in play. Sketches are kept in a table; whole sets, far larger, are made from the texts whenever some are asked for."""
+
+    def __init__(self, rows: DataFrame, wanted: DataFrame, size: int) -> None:
+        self.rows, self.wanted, self.size = rows, wanted, size
+        self.sketches = cut(self._texts(wanted).mapInArrow(_fetch(size, False), "fp long, sketch binary, bits array<long>"), "sketches")
+
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """Texts of documents by id; up to SHIPPED ids are told to the scan, more meet the texts in a shuffle."""
+        ids = small_side(ids.select(F.col("doc_id").alias("wanted")).distinct(), SHIPPED)
+        return self.rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """fp and v (the set) of both ends of pairs."""
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        ids = cut(self.wanted.join(small_side(ends, SHIPPED), "fp", "left_semi"), "ids")
+        return self._texts(ids).mapInArrow(_fetch(self.size, True), "fp long, v binary")
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """How many shingles fall into each of about as many classes, in a byte each, behind their number. Sums of the lesser counts bound an intersection from above."""
     k = min(max(len(shingles).bit_length() - 1, 6), 16)
@@ -258,12 +275,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (na, nb, inter))], names=["a", "b", "na", "nb", "inter"])
 
 
-def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Distinct pairs a, b with both ends' column of sets as x, y (in either order).
+def _side_by_side(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Distinct pairs a, b with both ends' v of own (fp, v) as x, y, in either order.
 
-    Up to SHIPPED_PAIRS pairs are told to the scan of sets, and only the columns asked for move; more meet by joins.
+    Up to SHIPPED_PAIRS pairs are told to the side of own, and only what they ask for moves; more meet by joins.
     """
-    own = sets.select("fp", F.col(column).alias("v"))
     if pairs.count() <= SHIPPED_PAIRS:
         ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
         met = own.join(F.broadcast(ends), "fp").groupBy("a", "b").agg(F.min("v").alias("x"), F.max("v").alias("y"), (F.min("fp") < F.max("fp")).alias("two"))
@@ -272,15 +288,15 @@ def _side_by_side(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(own.select(F.col("fp").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("v").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, points: Points) -> DataFrame:
     """Distinct pairs (a, b; a table) with their sets' sizes and intersection."""
-    bound_batches(pairs.sparkSession)
-    return _side_by_side(pairs, sets, "shingles").mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
+    return _side_by_side(pairs, points.sets(pairs)).mapInArrow(_measure, "a long, b long, na long, nb long, inter long")
 
 
-def pruned(pairs: DataFrame, sets: DataFrame, num: int = NUM) -> DataFrame:
+def pruned(pairs: DataFrame, points: Points, num: int = NUM) -> DataFrame:
     """Of distinct pairs (a table) those whose sketches allow a similarity of num / DEN; likely: also that of a link."""
-    return _side_by_side(pairs, sets, "sketch").mapInArrow(_prune(num), "a long, b long, likely boolean")
+    own = points.sketches.select("fp", F.col("sketch").alias("v"))
+    return _side_by_side(pairs, own).mapInArrow(_prune(num), "a long, b long, likely boolean")
 
 
 #: The distance that a link spans at most, with room for rounding.
@@ -312,24 +328,25 @@ def _may_link():
     return (F.col("root") != F.col("rootb")) & sizes & (apart * (NUM + DEN) <= (DEN - NUM) * (F.col("n") + F.col("nb"))) & near
 
 
-def _split(cells: DataFrame, sets: DataFrame, links: list[DataFrame], small: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cells: cell, a, n, bits, shared. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
     # Pivots: the square root of the cell's size, of the members that share most of its first pivots, so in its middle.
     sizes = cells.groupBy("cell").agg(F.least(F.lit(most), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"))
     order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
-    picked = cells.select("cell", "a", "shared").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).join(sizes, "cell").filter("r <= few").select("cell", F.col("a").alias("p"))
-    picked = cut(picked, "pivots")
+    picked = cells.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).join(sizes, "cell").filter("r <= few")
+    picked = small_side(cut(picked.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits")), "pivots"))
     # Bitmaps, then sketches, tell which distances are surely above 2t (left out), above t (-1), or have to be measured.
-    two = cells.join(picked, "cell").filter("a <> p").select("cell", "a", "p", "n", "bits")
-    two = two.join(cells.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits")), ["cell", "p"])
-    asked = two.filter(_bits_apart("bits", "pbits") * (2 * NUM) <= 2 * (DEN - NUM) * (F.col("n") + F.col("np"))).select("a", F.col("p").alias("b")).distinct()
-    asked = cut(pruned(cut(asked, "asked"), sets, 2 * NUM - DEN), "near")
-    found = cut(measured(asked.filter("likely"), sets), "distances")
+    two = cells.join(picked, "cell").filter("a <> p").withColumn("off", _bits_apart("bits", "pbits")).withColumn("both", F.col("n") + F.col("np"))
+    two = two.filter(f"off * {2 * NUM} <= {2 * (DEN - NUM)} * both").withColumn("likely", F.expr(f"off * {NUM + DEN} <= {DEN - NUM} * both"))
+    two = cut(two.select("a", F.col("p").alias("b"), "likely").distinct(), "asked")
+    asked = cut(pruned(two.filter("likely").select("a", "b"), points, 2 * NUM - DEN), "near")
+    asked = asked.unionByName(two.filter("NOT likely"))
+    found = cut(measured(asked.filter("likely"), points), "distances")
     own = cut(_thinned(found.filter(LINKED).select("a", "b")), "own")
     roots = components(reduce(DataFrame.unionByName, [*links, own])).select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
     told = found.select("a", F.col("b").alias("p"), d).unionByName(asked.filter("NOT likely").select("a", F.col("b").alias("p"), F.lit(-1.0).alias("d")))
-    near = cells.select("cell", "a").join(picked, "cell").join(told, ["a", "p"], "left")
+    near = cells.select("cell", "a").join(picked.select("cell", "p"), "cell").join(told, ["a", "p"], "left")
     near = near.withColumn("d", F.when(F.col("a") == F.col("p"), 0.0).otherwise(F.col("d")))
     known = F.when(F.col("d").isNotNull(), F.struct("p", "d"))
     by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d") >= 0, F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(known))).alias("to"))
@@ -377,28 +394,29 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     pairs = pairs.filter(f"{DEN} * {most} >= {NUM} * (na + nb - {most})").select("a", "b")
     cells = found.filter("kind = 1").groupBy("a", F.col("b").alias("cell"), F.col("na").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
     pairs, cells = cut(pairs, "pairs"), cut(cells, "cells")
-    # The sets of all documents that take part in any of it, one for each point.
+    # One document for each set that takes part in any of it.
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(cells.select("a")).distinct()
     one = points.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(nodes.join(one, "fp").select("doc_id"), "wanted")
-    bound_batches(spark)
-    count = wanted.count()
-    if count <= SHIPPED:
-        ids = np.sort(np.array(wanted.filter("doc_id IS NOT NULL").toArrow().column("doc_id"), np.int64))
-        sets = rows.mapInArrow(_fetch(size, spark.sparkContext.broadcast(ids)), "fp long, sketch binary, bits array<long>, shingles binary")
-    else:
-        sets = rows.join(wanted.distinct(), rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(_fetch(size), "fp long, sketch binary, bits array<long>, shingles binary")
-    sets = cut(sets, "sets")
+    near_points = Points(rows, cut(nodes.join(one, "fp"), "wanted"), size)
     links, left, level = [], [pairs], 0
-    cells = cells.join(sets.select(F.col("fp").alias("a"), "bits"), "a").dropDuplicates(["cell", "a"])
+    cells = cells.join(near_points.sketches.select(F.col("fp").alias("a"), "bits"), "a").dropDuplicates(["cell", "a"])
     while cells.head(1):
         level += 1
-        near, rest, cells = _split(cells, sets, links, small, PIVOTS[level - 1], level == len(PIVOTS))
+        near, rest, cells = _split(cells, near_points, links, small, PIVOTS[level - 1], level == len(PIVOTS))
         links.append(near)
         left.append(cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left"))
         cells = cut(cells, "cells")
     pairs = cut(reduce(DataFrame.unionByName, left).distinct(), "candidates") if level else pairs
-    links.append(measured(cut(pruned(pairs, sets).select("a", "b"), "likely"), sets).filter(LINKED).select("a", "b"))
+    # In two steps: each document and its least neighbour first, then only pairs that those links leave apart.
+    likely = cut(pruned(pairs, near_points).select("a", "b"), "likely")
+    ends = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
+    first = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
+    links.append(cut(measured(first, near_points).filter(LINKED).select("a", "b"), "firstlinks"))
+    roots = components(reduce(DataFrame.unionByName, links))
+    rest = likely.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    links.append(measured(cut(rest.filter("ra <> rb").select("a", "b"), "second"), near_points).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
     whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

@@ -340,5 +340,7 @@ def score(docs: DataFrame, m: Lexicon) -> DataFrame:
         matcher = _matcher(lexicon.words, lexicon.prefixes)
         for texts in batches:
             yield pa.array([score_text(t.as_py(), lexicon, matcher) for t in texts], pa.float64())
+        # The worker lives on, for other work: it doesn't keep this task's tokens.
+        _matchers.clear()
 
     return docs.select(F.struct("*").alias("row"), scores(F.col("text")).alias("score"))
