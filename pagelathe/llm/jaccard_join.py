@@ -222,8 +222,8 @@ class Points:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each of about as many classes, in a byte each, behind their number. Sums of the lesser counts bound an intersection from above."""
-    k = min(max(len(shingles).bit_length() - 1, 6), 16)
+    """How many shingles fall into each of about half as many classes, in a byte each, behind their number. Sums of the lesser counts bound an intersection from above."""
+    k = min(max(len(shingles).bit_length() - 2, 6), 16)
     counts = np.bincount((shingles & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
     return len(shingles).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
