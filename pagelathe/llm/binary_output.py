@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
 from pagelathe.llm.common import cut, new_path
 
@@ -115,6 +116,7 @@ class WordEncoder(dict):
 
 
 _encoders: dict[str, WordEncoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -125,6 +127,7 @@ def encoder(path: str) -> WordEncoder:
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_encoders)
         enc, task = encoder(tokenizer), TaskContext.get()
         end = np.array([end_id], enc.dtype).tobytes()
         width, store, at, rows, tokens = np.dtype(enc.dtype).itemsize, None, 0, [], 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -74,3 +75,17 @@ def batches(spark: SparkSession, rows: int = 20_000, size: int = 4 << 20) -> Non
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df (a table of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: What operators keep in a Python worker between tasks.
+CACHES: list[dict] = []
+
+
+def release(keep: dict | None = None) -> None:
+    """Drop what other operators have left in this worker, and give the memory back: workers outlive an operator's tasks."""
+    full = [c for c in CACHES if c and c is not keep]
+    for c in full:
+        c.clear()
+    if full:
+        with contextlib.suppress(Exception):
+            ctypes.CDLL(None).malloc_trim(0)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut, small_side
+from pagelathe.llm.common import cut, release, small_side
 from pagelathe.llm.components import components
 from pagelathe.llm.shingles import fingerprint, shingle_sets
 
@@ -66,6 +66,7 @@ def _survey(size: int):
     """doc_id, text, key to doc_id, key, n, fp; and per task how many documents hold a shingle of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << BUCKETS, np.uint32)
         names = ["doc_id", "key", "n", "fp", "block", "counts"]
         for b in batches:
@@ -111,6 +112,7 @@ def _first_pivots(size: int, classes):
     """doc_id, text to the document's first pivots: key, fp, at (n and place in the order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rank = classes.value.astype(np.uint64) << np.uint64(60)
         seen: set[int] = set()
         for b in batches:
@@ -159,6 +161,7 @@ def _regions(small: int):
         return out(1, fp, np.full(len(fp), cell), n, n, n, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = [np.zeros(0, np.int64)] * 3
         cell: tuple[int, int] | None = None  # the key and first member of a large region that is being read
         for b in batches:

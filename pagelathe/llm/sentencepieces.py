@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
 
 BLANK = "▁"
@@ -277,6 +278,7 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+CACHES.append(_loaded)
 
 
 def pieces(path: str) -> Pieces:
@@ -329,6 +331,7 @@ def encode(docs: DataFrame, model: str, n: int = 4, ids: bool = True) -> DataFra
 
     @F.arrow_udf(ENCODED_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release(_loaded)
         p = pieces(model)
         for texts in batches:
             yield _encode_texts(texts.to_pylist(), p, n, ids)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
 from pagelathe.llm.common import cut
 
@@ -319,6 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
 
 
 _matchers: dict[tuple, Matcher] = {}
+CACHES.append(_matchers)
 
 
 def _matcher(words: dict[str, float], prefixes: dict[str, float]) -> Matcher:
@@ -336,6 +338,7 @@ def score(docs: DataFrame, m: Lexicon) -> DataFrame:
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release(_matchers)
         lexicon = shared.value
         matcher = _matcher(lexicon.words, lexicon.prefixes)
         for texts in batches:
