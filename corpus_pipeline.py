@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are depleted without their host's common lines, go."""
-    return quality_rules.keep_good(docs)
+    """Documents that fail the base rules, or are depleted without their host's common lines, go; so do those lines of the others."""
+    return quality_rules.clean_good(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: measures of each text, and the frequency of its lines across the documents of its host.
 
 DataFrame functions only. Defined results: a null text is an empty one; a null source is a host of its own; repeated
-rows are documents of their own; extra columns are ignored or, in ``keep_good``, returned as they came.
+rows are documents of their own; extra columns are ignored or, in ``keep_good`` and ``clean_good``, returned as they came.
 """
 
 from __future__ import annotations
@@ -51,14 +51,8 @@ def measure(docs: DataFrame) -> DataFrame:
     return a.select(*keep, covered.cast("long").alias("n_repeat_words"))
 
 
-def judge_quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_min_docs: int = 10, line_max_pct: int = 10, min_left_pct: int = 30) -> DataFrame:
-    """One row a document: base measures, base_failed, words_left after common lines go, kept; with doc_id and key.
-
-    A line is too common on its host when more than line_min_docs documents and more than line_max_pct percent of the
-    host's documents hold it. A document is depleted when fewer than min_words words, or fewer than min_left_pct percent
-    of its words, are left. Both limits are shares of the host, so verdicts don't drift as a corpus grows.
-    The hot host or line costs nothing special: counts are summed before the shuffle.
-    """
+def _judged(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_min_docs: int = 10, line_max_pct: int = 10, min_left_pct: int = 30) -> DataFrame:
+    """judge_quality's rows, and common: the hashes of the document's common lines (null if it has none)."""
     a = cut(measure(docs).withColumn("rid", F.monotonically_increasing_id()), "quality")
     # A host's null is a value of its own; the count of documents is small, one row a host.
     hosts = a.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -66,11 +60,22 @@ def judge_quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30
     common = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_min_docs).alias("c")
     common = common.join(hosts.alias("t"), F.expr("c.host <=> t.host")).filter(F.col("docs") * 100 > F.col("host_docs") * line_max_pct).select(F.col("c.host").alias("chost"), F.col("hash").alias("chash"))
     each = a.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lost = each.join(common, (F.col("host").eqNullSafe(F.col("chost"))) & (F.col("hash") == F.col("chash"))).groupBy("rid").agg(F.sum("words").alias("lost"))
+    lost = each.join(common, (F.col("host").eqNullSafe(F.col("chost"))) & (F.col("hash") == F.col("chash"))).groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("common"))
     out = a.drop("lines").join(lost, "rid", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     good = (F.col("words_left") >= min_words) & (100 * F.col("words_left") >= min_left_pct * F.col("n_words"))
-    return out.select("doc_id", "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_left", failed.alias("base_failed"), (~failed & good).alias("kept"))
+    return out.select("doc_id", "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "words_left", failed.alias("base_failed"), (~failed & good).alias("kept"), "common")
+
+
+def judge_quality(docs: DataFrame, **limits) -> DataFrame:
+    """One row a document: base measures, base_failed, words_left after common lines go, kept; with doc_id and key.
+
+    A line is too common on its host when more than line_min_docs documents and more than line_max_pct percent of the
+    host's documents hold it. A document is depleted when fewer than min_words words, or fewer than min_left_pct percent
+    of its words, are left. Both limits are shares of the host, so verdicts don't drift as a corpus grows.
+    The hot host or line costs nothing special: counts are summed before the shuffle.
+    """
+    return _judged(docs, **limits).drop("common")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
@@ -78,3 +83,19 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     out = judge_quality(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), content_key("doc_id", "source", "text").alias("key"))
     return rows.join(out, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")
+
+
+def clean_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of docs that judge_quality keeps, with all their columns, but without their host's common lines.
+
+    The other lines stay as they are, blank ones too; n_chars, where docs has it, follows the text.
+    """
+    out = _judged(docs, **limits).filter(~F.col("kept") | F.col("common").isNotNull())
+    out = out.select(F.col("doc_id").alias("told_id"), F.col("key").alias("told_key"), "kept", "common").dropDuplicates(["told_id", "told_key"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), content_key("doc_id", "source", "text").alias("key"))
+    rows = rows.join(out, F.col("id").eqNullSafe(F.col("told_id")) & (F.col("key") == F.col("told_key")), "left").filter(F.coalesce("kept", F.lit(True)))
+    stays = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("common", F.xxhash64(normal_line(x)))
+    text = F.when(F.col("common").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), stays), "\n"))
+    rows = rows.select("row", "common", text.alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("common").isNull(), F.col("row")["n_chars"]).otherwise(F.length("clean")) if "n_chars" in docs.columns else None}
+    return rows.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Mixing, quality rules, URL reputation, sharding: against SQL, plain Python and small cases."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -111,6 +112,36 @@ def test_common_lines_deplete(spark):
     assert out == {i: bool(i % 2) for i in range(40)}
 
 
+def test_common_lines_leave_the_text(spark):
+    import corpus_pipeline
+
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    own = lambda i: " ".join(f"{name(i)}{name(j)}" for j in range(40))
+    rows = [(i, f"{own(i)}\n\n  All  rights RESERVED 201{i % 10}\nown {name(i)}\n", None if i % 2 else "host", 0) for i in range(60)]
+    rows += [(100, own(100) + "\nall rights reserved 2010", "elsewhere", 7)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, source string, n_chars int")
+    for made in (quality_rules.clean_good(docs), corpus_pipeline.drop_poor(spark, docs, DATA)):
+        assert made.schema == docs.schema
+        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in made.collect()}
+        text = {i: f"{own(i)}\n\nown {name(i)}\n" for i in range(60)}
+        assert made.count() == 62 and got == {i: (t, len(t)) for i, t in text.items()} | {100: (rows[-1][1], 7)}
+
+
+def test_clean_texts_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    space = " \t\n\x0b\x0c\r"
+    words = lambda x: [w for w in re.split(f"[{space}]+", x) if w]
+    normal = lambda x: re.sub("[0-9]", "0", re.sub("^ | $", "", re.sub(f"[{space}]+", " ", x))).lower()
+    rows = docs.collect()
+    hosts = Counter(r["source"] for r in rows)
+    held = Counter((r["source"], x) for r in rows for x in {normal(x) for x in r["text"].split("\n") if words(x)})
+    kept = {r["doc_id"] for r in quality_rules.judge_quality(docs, line_min_docs=3, line_max_pct=2).filter("kept").collect()}
+    common = lambda h, x: held[h, normal(x)] > 3 and held[h, normal(x)] * 100 > 2 * hosts[h]
+    want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not words(x) or not common(r["source"], x)) for r in rows if r["doc_id"] in kept}
+    got = {r["doc_id"]: r["text"] for r in quality_rules.clean_good(docs, line_min_docs=3, line_max_pct=2).collect()}
+    assert got == want and sum(r["text"] != want.get(r["doc_id"], r["text"]) for r in rows) > 10
+
+
 def test_quality_odd_rows(spark):
     df = odd_documents(spark)
     out = quality_rules.judge_quality(df)
