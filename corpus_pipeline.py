@@ -10,6 +10,10 @@ from pagelathe.llm.common import load, new_path
 from pagelathe.llm.queries import MIX, domain_column, piece_model, toxicity_model
 
 
+#: A line is common above 10 documents and 1 % of its host's, or above 100 documents on any host (figures in the README).
+LINES = {"line_min_docs": 10, "line_max_pct": 1, "line_max_docs": 100}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned lexicon finds likelier toxic than not go."""
     return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).filter("score < 0.5").select("row.*")
@@ -17,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or are depleted without their host's common lines, go; so do those lines of the others."""
-    return quality_rules.clean_good(docs)
+    return quality_rules.clean_good(docs, **LINES)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

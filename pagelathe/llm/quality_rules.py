@@ -51,14 +51,16 @@ def measure(docs: DataFrame) -> DataFrame:
     return a.select(*keep, covered.cast("long").alias("n_repeat_words"))
 
 
-def _judged(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_min_docs: int = 10, line_max_pct: int = 10, min_left_pct: int = 30) -> DataFrame:
+def _judged(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_min_docs: int = 10, line_max_pct: int = 10, min_left_pct: int = 30, line_max_docs: int | None = None) -> DataFrame:
     """judge_quality's rows, and common: the hashes of the document's common lines (null if it has none)."""
     a = cut(measure(docs).withColumn("rid", F.monotonically_increasing_id()), "quality")
     # A host's null is a value of its own; the count of documents is small, one row a host.
     hosts = a.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = a.select("host", F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
     common = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_min_docs).alias("c")
-    common = common.join(hosts.alias("t"), F.expr("c.host <=> t.host")).filter(F.col("docs") * 100 > F.col("host_docs") * line_max_pct).select(F.col("c.host").alias("chost"), F.col("hash").alias("chash"))
+    over = F.col("docs") * 100 > F.col("host_docs") * line_max_pct
+    over = over if line_max_docs is None else over | (F.col("docs") > line_max_docs)
+    common = common.join(hosts.alias("t"), F.expr("c.host <=> t.host")).filter(over).select(F.col("c.host").alias("chost"), F.col("hash").alias("chash"))
     each = a.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     lost = each.join(common, (F.col("host").eqNullSafe(F.col("chost"))) & (F.col("hash") == F.col("chash"))).groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("common"))
     out = a.drop("lines").join(lost, "rid", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
@@ -71,8 +73,9 @@ def judge_quality(docs: DataFrame, **limits) -> DataFrame:
     """One row a document: base measures, base_failed, words_left after common lines go, kept; with doc_id and key.
 
     A line is too common on its host when more than line_min_docs documents and more than line_max_pct percent of the
-    host's documents hold it. A document is depleted when fewer than min_words words, or fewer than min_left_pct percent
-    of its words, are left. Both limits are shares of the host, so verdicts don't drift as a corpus grows.
+    host's documents hold it; or, with line_max_docs, when more than so many do (and line_min_docs), however large the
+    host is. A document is depleted when fewer than min_words words, or fewer than min_left_pct percent of its words, are
+    left. Without line_max_docs both limits are shares, so verdicts don't drift as a corpus grows.
     The hot host or line costs nothing special: counts are summed before the shuffle.
     """
     return _judged(docs, **limits).drop("common")

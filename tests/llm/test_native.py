@@ -127,6 +127,20 @@ def test_common_lines_leave_the_text(spark):
         assert made.count() == 62 and got == {i: (t, len(t)) for i, t in text.items()} | {100: (rows[-1][1], 7)}
 
 
+def test_lines_are_common_on_large_hosts_too(spark):
+    import corpus_pipeline
+
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    words = lambda i: " ".join(f"{name(i)}{name(j)}" for j in range(30))
+    # The host's 12,000 documents: a line in 101 of them is common, one in 100 isn't.
+    rows = [(i, words(i) + ("\nall rights reserved" if i < 101 else "\nsome rights reserved" if i < 201 else ""), "hot") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_poor(spark, docs, DATA).collect()}
+    assert got == {i: words(i) if i < 101 else t for i, t, _ in rows}
+    small = docs.filter("doc_id < 11 OR doc_id BETWEEN 201 AND 600")
+    assert corpus_pipeline.drop_poor(spark, small, DATA).filter("text LIKE '%reserved'").count() == 0
+
+
 def test_clean_texts_by_brute_force(spark):
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
     space = " \t\n\x0b\x0c\r"
