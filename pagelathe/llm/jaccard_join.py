@@ -376,7 +376,7 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
 
 
 def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFrame:
-    """docs (doc_id, text) to doc_id, key (hash of the text), n_shingles, component_id and root (the component's key; null for an empty set).
+    """docs (doc_id, text) to doc_id, key (hash of the text), n_shingles, component_id, root (the component's key) and fp (the set's); both are null for an empty set.
 
     component_id is the least doc_id that links reach, the document's own included.
     """
@@ -424,8 +424,8 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     roots = components(all_links)
     whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root")
-    return joined.unionByName(points.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+    joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
+    return joined.unionByName(points.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("fp")))
 
 
 def join_documents(docs: DataFrame, **options) -> DataFrame:
@@ -433,6 +433,83 @@ def join_documents(docs: DataFrame, **options) -> DataFrame:
     return group_documents(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
+#: Sets of a component that are compared with as many at a time; columns of the matrices that count what they share.
+BLOCK, WIDTH = 128, 4096
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    shingles, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = held[column] > 1
+    row, column = row[many], (np.cumsum(held > 1) - 1)[column[many]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        lo, hi = np.searchsorted(column, (start, start + WIDTH))
+        m = np.zeros((len(sets), WIDTH), np.float32)  # sums stay below 2 ** 24, so they are exact
+        m[row[lo:hi], column[lo:hi] - start] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def _count_links(size: int):
+    """Rows sorted by root, lo, hi (own: the row's block, one of the two; copies; text) to fp and the documents of other sets that it is linked to, of those two blocks."""
+
+    def links(within: bool, rows: list[tuple]) -> pa.RecordBatch:
+        sets = dict.fromkeys(t for _, _, t in rows)
+        found = {}
+        for (own, copies, _), s in zip({t: (o, c, t) for o, c, t in rows}.values(), shingle_sets(list(sets), size), strict=True):
+            found[fingerprint(s)] = (own, copies, s)
+        own, copies = (np.array([v[i] for v in found.values()], np.int64) for i in (0, 1))
+        n = np.array([len(v[2]) for v in found.values()], np.int64)
+        ok = linked(shared_counts([v[2] for v in found.values()]), n[:, None], n[None, :])
+        np.fill_diagonal(ok, False)
+        if not within:  # each block with itself is a group of its own
+            ok &= own[:, None] != own[None, :]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(ok.astype(np.int64) @ copies, pa.int64())], names=["fp", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at, rows = None, []
+        for b in batches:
+            for *group, own, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != at and rows:
+                    yield links(at[1] == at[2], rows)
+                    rows = []
+                at = group
+                rows.append((own, copies, text))
+        if rows:
+            yield links(at[1] == at[2], rows)
+
+    return run
+
+
+def count_links(docs: DataFrame, size: int = 5, **options) -> DataFrame:
+    """docs (doc_id, text) to doc_id, n_shingles, component_id and n_links: how many other documents are linked to it, copies included.
+
+    Links don't leave components, so the distinct sets of each are compared with each other, in blocks: that takes the
+    square of their number, but only within a component, and no pair is ever a row.
+    """
+    groups = cut(group_documents(docs, size=size, **options), "linkgroups")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    sets = groups.filter("root IS NOT NULL").groupBy("root", "fp").agg(F.count(F.lit(1)).alias("copies"), F.min(one).alias("one"))
+    sets = cut(sets, "linksets")
+    blocks = sets.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    picked = cut(sets.join(blocks, "root").select("root", "copies", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("own"), "blocks", F.col("one.doc_id").alias("pid"), F.col("one.key").alias("pkey")), "linkpicked")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    rows = rows.join(small_side(picked), F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("key") == F.col("pkey")))
+    rows = rows.select("root", "own", "copies", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "copies", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    found = rows.mapInArrow(_count_links(size), "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+    told = sets.join(found, "fp", "left").select("fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
+    told = small_side(cut(told, "links"), SHIPPED_PAIRS)
+    return groups.join(told, "fp", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, but one document only of each component: that of the least doc_id (null last), then text hash.
 

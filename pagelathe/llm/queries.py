@@ -173,7 +173,7 @@ FROM h JOIN b ON h.host = b.host LEFT JOIN f ON h.page_id = f.page_id"""
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL within reach on whole tables (all pairs): tests hold it against brute force."""
-    return jaccard_join.join_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard_join.count_links(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 # --------------------------------------------------------------- 8: sharding

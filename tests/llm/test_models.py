@@ -349,6 +349,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_by_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for i in range(120):
+        w = list(base[i % 6])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(900)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate([*texts, texts[0], texts[0], "own words that nobody else has", "", None]))
+    sets = [set(s.tolist()) for s in jaccard_join.shingle_sets([t for _, t in rows], 5)]
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: sum(near(sets[i], sets[j]) for j, _ in rows if j != i) for i, _ in rows}
+    assert len(set(want.values())) > 5
+    for block in (128, 3):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = jaccard_join.count_links(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want
+    assert "n_links" in QUERIES["op7_jaccard_join"](spark, DATA).columns
+
+
 def test_keep_one_and_odd_rows(spark):
     df = odd(spark)
     out = jaccard_join.join_documents(df)
