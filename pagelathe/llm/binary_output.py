@@ -6,7 +6,8 @@ The checksum is zlib's CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that
 checksums stays meaningful. The index file has one fixed row per record: doc_id (i64), null flag and offset (u64), ids
 (u64), so any record can be read alone.
 
-Files are written by tasks under names of their own attempt; only those in the manifest table, which is written last,
+Data and index are written, and read, as streams: a task holds a batch of texts and the index rows of that batch. Files
+hold about 128 MB of input (``parts_of``). Files are written by tasks under names of their own attempt; only those in the manifest table, which is written last,
 count. A lost or repeated task leaves at most an orphan file. Records are in ascending doc_id order across files.
 
 Defined results: a null text is an empty one (only the end id); null doc_ids come first; repeated rows are records of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut, new_path
+from pagelathe.llm.common import cut, new_path, parts_of
 
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u8"), ("offset", "<u8"), ("n", "<u8")])
 MASK = 0xA282EAD8
@@ -87,6 +88,8 @@ class WordEncoder(dict):
         self.spelled = str.maketrans({chr(i): "".join(alphabet[b] for b in chr(i).encode()) for i in range(self.LATIN)})
         probes = [w for w in PROBES for w in (w, w + "ñ", "ß" + w[1:], w[::-1] + "éè")]
         self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+        #: Lower-case Latin letters: behind one of them, a full stop or comma at a word's end is a piece of its own.
+        self.closed = frozenset(c for c in map(chr, range(self.LATIN)) if c.isalpha() and c == c.lower())
 
     def _letters(self, word: str) -> list[int]:
         """Ids of a word of lower-case Latin letters from the library's model alone: normalising and splitting leave it as it is."""
@@ -98,7 +101,7 @@ class WordEncoder(dict):
             self.clear()
         out = self.old.get(word)
         if out is None:
-            if word[-1] in ".," and word[-2:-1].isalpha():
+            if word[-1] in ".," and word[-2:-1] in self.closed:
                 out = self[word[:-1]] + self[word[-1]]
             else:
                 plain = self.direct and word.isalpha() and max(word) < chr(self.LATIN) and word == word.lower()
@@ -130,23 +133,26 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         release(_encoders)
         enc, task = encoder(tokenizer), TaskContext.get()
         end = np.array([end_id], enc.dtype).tobytes()
-        width, store, at, rows, tokens = np.dtype(enc.dtype).itemsize, None, 0, [], 0
+        width, store, index, at, docs, tokens = np.dtype(enc.dtype).itemsize, None, None, 0, 0, 0
         name = f"{folder}/part-{task.partitionId():06d}-{uuid.uuid4().hex}"
         where, path = fs.FileSystem.from_uri(name)
         for b in batches:
             if store is None and b.num_rows:
                 where.create_dir(os.path.dirname(path), recursive=True)
-                store = where.open_output_stream(path + ".bin", buffer_size=1 << 20)
+                store, index = (where.open_output_stream(path + end_, buffer_size=1 << 20) for end_ in (".bin", ".idx"))
+            rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 payload = enc.encode(text or "") + end
                 store.write(frame(payload))
                 rows.append((doc_id or 0, doc_id is None, at, len(payload) // width))
                 at, tokens = at + len(payload) + 16, tokens + len(payload) // width
+            if rows:
+                index.write(np.array(rows, INDEX).tobytes())
+                docs += len(rows)
         if store is not None:
             store.close()
-            with where.open_output_stream(path + ".idx") as f:
-                f.write(np.array(rows, INDEX).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, enc.dtype, len(rows), tokens)], names=["part", "file", "dtype", "docs", "tokens"])
+            index.close()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), name, enc.dtype, docs, tokens)], names=["part", "file", "dtype", "docs", "tokens"])
 
     return run
 
@@ -155,7 +161,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     """Encode docs (doc_id, text), append end_id to each, write the files; return the manifest: part, file, dtype, docs, tokens, start (ids in earlier parts)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     written = cut(rows.mapInArrow(_writer(folder or new_path(spark, "records"), tokenizer, end_id), "part long, file string, dtype string, docs long, tokens long"), "manifest")
@@ -168,13 +174,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
             where, path = fs.FileSystem.from_uri(r["file"])
-            with where.open_input_stream(path + ".idx") as f:
-                index = np.frombuffer(f.read(), INDEX)
             start = r["start"]
-            with where.open_input_stream(path + ".bin", buffer_size=1 << 20) as f:
-                for i in range(0, len(index), 256):
-                    ids = [np.frombuffer(read_frame(f), r["dtype"]) for _ in index[i : i + 256]]
-                    rows = index[i : i + 256]
+            with where.open_input_stream(path + ".idx", buffer_size=1 << 16) as index, where.open_input_stream(path + ".bin", buffer_size=1 << 20) as f:
+                while part := index.read(256 * INDEX.itemsize):
+                    rows = np.frombuffer(part, INDEX)
+                    ids = [np.frombuffer(read_frame(f), r["dtype"]) for _ in rows]
                     at = start + np.cumsum([0, *map(len, ids)])
                     start = int(at[-1])
                     flat = np.concatenate(ids).astype(np.int32)
@@ -188,7 +192,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, manifest: DataFrame, ids: bool = True) -> DataFrame:
     """All records of the manifest's files: doc_id, start, n_tokens, ids_crc32 (of the ids as u32) and, if asked for, ids. Checksums are verified."""
-    files = manifest.select("file", "dtype", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    files = manifest.select("file", "dtype", "start")
+    files = files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count()), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _reader(batches):

@@ -19,10 +19,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests); on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="pagelathe-"))
     return _own[0]
@@ -72,11 +74,33 @@ def batches(spark: SparkSession, rows: int = 20_000, size: int = 4 << 20) -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def parts_of(df: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions of about so many bytes by the optimizer's figure of df's size, at least the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Plans of unknown size are put at some exabytes.
+    return least if known > 1 << 60 else max(least, -(-known // size))
+
+
 def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df (a table of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: A key is hot that more than a HOTth of all rows have; so there are fewer than HOT of them for each key that a row has.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, told: DataFrame, same, weight: str, total: int) -> DataFrame:
+    """rows joined with told (a table; a row a key, weight: rows that have it, of total), so that no key is one task's work.
+
+    Hot keys go to the rows, in a broadcast whose size is bounded (and checked); all others meet in a shuffle, where none
+    has more than a HOTth. same: the condition on both sides.
+    """
+    hot, cold = told.filter(F.col(weight) * HOT > total), told.filter(F.col(weight) * HOT <= total)
+    return rows.join(small_side(hot, HOT * HOT), same).unionByName(rows.join(cold, same))
+
+
 #: What operators keep in a Python worker between tasks.
 CACHES: list[dict] = []
 
