@@ -29,18 +29,35 @@ def odd(spark):
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 256]) for i in range(300)]
-    rows += [(900, [1e30] * 6), (901, None), (902, [float("nan")] * 6), (903, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (904, [1.0, 2.0]), (None, [0.1] * 6)]
-    df = spark.createDataFrame(rows[:300] + rows[301:], "vec_id long, embedding array<float>")
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, tile_rows=32, query_rows=2, groups=5).collect()))
-    v = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows[:300]}
+    rows += [(900, [1e30] * 6), (905, [1e30, 1.0, 0.0, 0.0, 0.0, 0.0]), (906, [1e30, 2.0, 0.0, 0.0, 0.0, 0.0]), (950, [-1e30] * 6), (1000, [3e5, -2e9] + [1.0] * 4)]
+    finite = len(rows)
+    rows += [(901, None), (902, [float("nan")] * 6), (903, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (904, [1.0, 2.0]), (907, []), (None, [0.1] * 6)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, score string, rank int")
+    v = {i: [int(np.floor(256 * float(np.float32(c)))) for c in x] for i, x in rows[:finite]}
     want = []
     for q in (i for i in v if i % 50 == 0):
-        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5]
-        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
-    assert got == sorted(want)
+        products = {c: sum(x * y for x, y in zip(v[q], v[c], strict=True)) for c in v if c != q}
+        top = sorted(products, key=lambda c: (-products[c], c))[:5]
+        want += [(q, r, c, max(-(2**63), min(2**63 - 1, products[c]))) for r, c in enumerate(top, 1)]
+    assert any(x[3] == 2**63 - 1 for x in want) and any(x[3] == -(2**63) for x in want) is False
+    for tasks in (1, 5, 40):
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, tile_rows=32, query_rows=2, tasks=tasks).collect()))
+        assert got == sorted(want)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_lists_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MERGED", 2)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(200)], "vec_id long, embedding array<double>")
+    deep = topk.top_k(df, F.col("vec_id") % 20 == 0, k=3, tile_rows=8, tasks=13)
+    assert deep._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") > 6
+    monkeypatch.setattr(topk, "MERGED", 10_000)
+    flat = topk.top_k(df, F.col("vec_id") % 20 == 0, k=3, tile_rows=8, tasks=2)
+    assert sorted(map(tuple, deep.collect())) == sorted(map(tuple, flat.collect()))
+    assert topk.grid(100, 50, 1) == (71, 2) and topk.grid(1, 5, 0) == (1, 1)
+
+
 def test_topk_few_and_repeated(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") == 0).collect()))
@@ -234,6 +251,16 @@ def test_records_like_the_library(spark):
         assert (doc_id, ids.tolist()) == (own[k]["doc_id"], own[k]["ids"])
 
 
+def test_ids_are_the_librarys():
+    """20,000 strings of letters, stops, marks, blanks, case that changes lengths, special tokens: no id differs."""
+    e = binary_output.WordEncoder(WORDS)
+    rng = random.Random(4)
+    pool = [*"abcXYZ.,'\"!? \n\t03ÉßİıΣσςǅŉẞµ<|>", "'s", "'LL", "<|endoftext|>", "\u0307", "\u0301", "e\u0301", "\u3000", "\u2028", "\xa0", "\x1c", "日", "🙂", "ﬁ", "\u212b", "\u0345", ". ", ", ", "the ", "\r\n", "\u200b", "\xad", "٣", "Ⅷ", "²", "가"]
+    for _ in range(20_000):
+        x = "".join(rng.choice(pool) if rng.random() < 0.95 else chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(e.encode(x), e.dtype).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
 def test_damage_is_found():
     import io
 
