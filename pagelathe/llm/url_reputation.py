@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then an empirical-Bayes host reputation. DataFrame functions only.
 
 Defined results for odd rows: a null url or one without ``://`` has an empty host and path; its reputation is that of
-the empty host. Pages without an outcome only inherit. Repeated rows count as often as they occur. Extra columns of the
-inputs are ignored.
+the empty host. Pages without an outcome only inherit. Repeated rows count as often as they occur. An empty table gives no
+rows. Urls are split whole, however long. Extra columns of the inputs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import cut
+from pagelathe.llm.common import cut, join_hot
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,13 +58,13 @@ def _concentration(level: DataFrame, rate: Column) -> Column:
 
 
 def host_reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
-    """One row a host: counts, posterior mean and its lower bound.
+    """One row a host: counts, posterior mean, its lower bound, and rows (of pages).
 
     pages: host and good (1, 0 or null). A suffix is shrunk towards the overall rate, a registered domain (the last two
     labels) towards its suffix, a host towards its domain; the strengths come from the spread of each level.
     """
     hosts = cut(
-        pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
+        pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"), F.count(F.lit(1)).alias("rows"))
         .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts",
     )
     seen = hosts.filter("n > 0")
@@ -81,7 +81,7 @@ def host_reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
     return (
         hosts.join(domains, "domain").withColumn("posterior_mean", shrunk(k[2], F.col("domain_mean")))
         .withColumn("posterior_bound", m - F.lit(z) * F.sqrt(m * (1 - m) / (F.col("n") + F.lit(k[2]) + 1)))
-        .select("host", F.col("n").alias("host_labelled"), F.col("good").alias("host_good"), "posterior_mean", "posterior_bound")
+        .select("host", F.col("n").alias("host_labelled"), F.col("good").alias("host_good"), "posterior_mean", "posterior_bound", "rows")
     )
 
 
@@ -97,4 +97,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], min_bou
     reputation = host_reputation(pages.join(outcomes, "page_id", "left").select("host", "good"), z)
     rule, ruled = rule_columns(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("posterior_bound") >= min_bound, "allow").otherwise("block")
-    return pages.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, judged).alias("verdict"), "host_labelled", F.round("posterior_bound", 6).alias("posterior_bound"))
+    # A hot host, such as the empty one of null urls, is no single task's work.
+    told = cut(reputation.withColumnRenamed("host", "h"), "reputation")
+    pages = join_hot(pages, told, F.col("host") == F.col("h"), "rows", pages.count())
+    return pages.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, judged).alias("verdict"), "host_labelled", F.round("posterior_bound", 6).alias("posterior_bound"))
