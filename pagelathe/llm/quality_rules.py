@@ -1,7 +1,8 @@
 """Quality rules: measures of each text, and the frequency of its lines across the documents of its host.
 
 DataFrame functions only. Defined results: a null text is an empty one; a null source is a host of its own; repeated
-rows are documents of their own; extra columns are ignored or, in ``keep_good`` and ``clean_good``, returned as they came.
+rows are documents of their own; an empty table gives no rows; very long texts, lines and runs of blanks are measured
+whole, in time n log n; extra columns are ignored or, in ``keep_good`` and ``clean_good``, returned as they came.
 """
 
 from __future__ import annotations
@@ -9,19 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import SPACE, content_key, cut
+from pagelathe.llm.common import SPACE, content_key, cut, join_hot
 
+#: Words in a window, a power of two: windows are hashed by doubling.
 WINDOW = 8
+#: The characters of SPACE.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Words; trimming and splitting take time in proportion to the text, long runs of blanks too."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
 def normal_line(line: Column) -> Column:
     """Lower case, white space as one blank, digits as 0."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, f"{SPACE}+", " "), "^ | $", ""), "[0-9]", "0"))
+    return F.lower(F.regexp_replace(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), f"{SPACE}+", " "), "[0-9]", "0"))
+
+
+def _pairs(hashes: str, apart: int) -> Column:
+    """Hashes of each element and the one so many places on (null behind the end, which a hash passes over)."""
+    return F.zip_with(hashes, F.slice(hashes, apart + 1, F.greatest(F.size(hashes), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -34,13 +44,17 @@ def measure(docs: DataFrame) -> DataFrame:
     a = docs.select("doc_id", F.col("source").alias("host"), content_key("doc_id", "source", "text").alias("key"), text.alias("text"))
     a = a.select("doc_id", "host", "key", "text", words_of(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("ln"))
     n = F.size("w")
+    # A window's hash is that of its halves' hashes, so each word is hashed once and each window in three steps.
+    a = a.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    for apart in (1 << i for i in range(WINDOW.bit_length() - 1)):
+        a = a.select("doc_id", "host", "key", "text", "w", "ln", _pairs("h", apart).alias("h"))
     a = a.select(
         "doc_id", "host", "key", n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", f"{SPACE}+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("h"),
-        F.transform("ln", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("hash"), F.size(words_of(x)).alias("words"))).alias("lines"),
+        F.slice("h", 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias("h"),
+        F.transform("ln", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("hash"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))).alias("lines"),
     )
     keep = [c for c in a.columns if c != "h"]
     none = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -55,14 +69,17 @@ def _judged(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line
     """judge_quality's rows, and common: the hashes of the document's common lines (null if it has none)."""
     a = cut(measure(docs).withColumn("rid", F.monotonically_increasing_id()), "quality")
     # A host's null is a value of its own; the count of documents is small, one row a host.
-    hosts = a.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    n = a.count()
+    hosts = cut(a.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs")), "hosts")
     lines = a.select("host", F.explode(F.array_distinct(F.col("lines.hash"))).alias("hash"))
-    common = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_min_docs).alias("c")
+    common = cut(lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_min_docs), "often")
     over = F.col("docs") * 100 > F.col("host_docs") * line_max_pct
     over = over if line_max_docs is None else over | (F.col("docs") > line_max_docs)
-    common = common.join(hosts.alias("t"), F.expr("c.host <=> t.host")).filter(over).select(F.col("c.host").alias("chost"), F.col("hash").alias("chash"))
+    common = join_hot(common, hosts, F.col("host").eqNullSafe(F.col("h")), "host_docs", n).filter(over)
+    common = cut(common.select(F.col("host").alias("chost"), F.col("hash").alias("chash"), "docs"), "common")
     each = a.select("rid", "host", F.explode("lines").alias("line")).select("rid", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lost = each.join(common, (F.col("host").eqNullSafe(F.col("chost"))) & (F.col("hash") == F.col("chash"))).groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("common"))
+    met = join_hot(each, common, F.col("host").eqNullSafe(F.col("chost")) & (F.col("hash") == F.col("chash")), "docs", n)
+    lost = met.select("rid", "hash", "words").groupBy("rid").agg(F.sum("words").alias("lost"), F.collect_set("hash").alias("common"))
     out = a.drop("lines").join(lost, "rid", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     good = (F.col("words_left") >= min_words) & (100 * F.col("words_left") >= min_left_pct * F.col("n_words"))
@@ -76,7 +93,7 @@ def judge_quality(docs: DataFrame, **limits) -> DataFrame:
     host's documents hold it; or, with line_max_docs, when more than so many do (and line_min_docs), however large the
     host is. A document is depleted when fewer than min_words words, or fewer than min_left_pct percent of its words, are
     left. Without line_max_docs both limits are shares, so verdicts don't drift as a corpus grows.
-    The hot host or line costs nothing special: counts are summed before the shuffle.
+    A hot host or line is no single task's work: counts are summed before the shuffle, and hot keys are joined by broadcast.
     """
     return _judged(docs, **limits).drop("common")
 

@@ -165,6 +165,29 @@ def test_quality_odd_rows(spark):
     assert quality_rules.judge_quality(df.limit(0)).count() == 0
 
 
+def test_long_runs_of_blanks(spark):
+    """A megabyte of blanks costs its length, not its square."""
+    import time
+
+    rows = [(1, "a" + " " * (1 << 20) + "b", "s"), (2, "\t" * (1 << 20), "s"), (3, ("x" + " " * 1000) * 1000, "s"), (4, "w\n" + " " * (1 << 20) + "\nv", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in quality_rules.judge_quality(docs).collect()}
+    assert got == {1: (2, 2), 2: (0, 0), 3: (1000, 1000), 4: (2, 2)} and time.perf_counter() - began < 20
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """All keys hot, none hot, and the broadcast given up: one result."""
+    from pagelathe.llm import common
+
+    shown = []
+    for hot in (1000, 10**9, 1e-9):
+        monkeypatch.setattr(common, "HOT", hot)
+        rows = [tuple(r) for name in ("op4_quality_rules", "op6_url_reputation") for r in QUERIES[name](spark, DATA).collect()]
+        shown.append(sorted(map(repr, rows)))
+    assert shown[0] == shown[1] == shown[2]
+
+
 # ------------------------------------------------------------------- urls
 
 
@@ -179,6 +202,17 @@ def test_rules_and_hosts(spark):
     assert got[8]["verdict"] == "allow" and got[9]["host"] == "example.com:80" and got[9]["rule"] is None
 
 
+def test_urls_odd_rows(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (None, "http://a.org/", "x"), (2, "http://a.org/" + "p" * 1_000_000, "x"), (3, "", "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([(1, 1, "h"), (1, 0, "h"), (None, 1, "h"), (9, None, "h")], "page_id long, good int, host string")
+    out = url_reputation.judge_urls(df, outcomes, RULES)
+    got = sorted((str(r["page_id"]), r["host"], len(r["path"]), r["host_labelled"]) for r in out.collect())
+    assert got == [("1", "", 0, 2), ("1", "", 0, 2), ("2", "a.org", 1_000_001, 0), ("3", "", 0, 2), ("3", "", 0, 2), ("None", "a.org", 1, 0)]
+    assert url_reputation.judge_urls(df.limit(0), outcomes, RULES).count() == 0
+    assert url_reputation.judge_urls(df, outcomes.limit(0), RULES).filter("verdict IS NULL").count() == 0
+
+
 def test_reputation_shrinks(spark):
     rows = [("good.x.org", 1)] * 60 + [("bad.x.org", 0)] * 50 + [("bad.x.org", 1)] * 10 + [("new.x.org", None)] + [("one.x.org", 0)] + [(f"h{i}.y.org", i % 2) for i in range(20)]
     got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
