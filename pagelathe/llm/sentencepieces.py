@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding with the N best segmentations of each text.
 
 A text is a lattice of vocabulary pieces; a segmentation's score is the sum of its pieces' scores in the model file (a
-character without a piece becomes its UTF-8 bytes' pieces, at ten below the lowest score). Forward Viterbi scores of all
+character without a piece becomes its UTF-8 bytes' pieces, at ten below the lowest score). For unigram models that is the
+library's own N-best list. Of a merge model the scores are ranks of merges: the library applies merges instead and offers
+no N-best list, so the best path here is another segmentation than its own. Forward Viterbi scores of all
 places are the exact heuristic of a backward A* search from the end, which so pops segmentations best first.
 
-No piece reaches over a blank or a line end, or from a letter to a mark, so a text's lattice is a chain of independent
-units (a blank and the word behind it). Units are solved once and kept; new ones are solved together, in arrays. The N best of a text change none
+Where no piece of the model reaches over a blank or a line end (or from a letter to a mark), a text's lattice is a chain of
+independent units (a blank and the word behind it); else a text is one unit. Units are solved once and kept; new ones are solved together, in arrays. The N best of a text change none
 but the N - 1 units whose second-best segmentations cost least: those gaps come exactly from forward and backward scores,
-and only those units are searched by A*. All scores are whole numbers, so nothing is lost to rounding.
+and only those units are searched by A*. Scores are kept as whole numbers of 2 ** -shift, so nothing is lost to rounding.
 
 Defined results: a null or empty text has no tokens, one segmentation with score 0; among equal scores the Viterbi path
 (longest last pieces) comes first; a text with fewer segmentations than asked for gives fewer; repeated rows are encoded
@@ -35,7 +37,9 @@ LETTER, MARK = "[A-Za-z\u00c0-\u024f]", "[.,!?;:|]"
 #: Units: a blank and the word behind it, or a line end; also cut between a letter and a mark, where no piece joins them.
 WORDS = re.compile(f"{BLANK}?[^{BLANK}\n]+|{BLANK}|\n")
 FINER = re.compile(f"{BLANK}?[^{BLANK}\n.,!?;:|]*{LETTER}(?={MARK})|{WORDS.pattern}")
-#: Pieces with such scores (runs of blanks) take no part; a single character of that kind scores like one without a piece.
+WHOLE = re.compile("(?s).+")
+#: Such scores are a model's way to say that a piece isn't used (runs of blanks): such pieces take no part; a single
+#: character of that kind scores like one without a piece.
 UNUSED = -1e8
 NONE = -(1 << 60)
 BASE = np.uint64(0x100000001B3 * 2 + 1)
@@ -50,6 +54,8 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if sp.vocab_size() > 1 << 16:
+            raise ValueError("ids are held in two bytes")
         self.most, self.ids, self.scores, self.surface = most, {}, {}, [b""] * sp.vocab_size()
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         for i in range(sp.vocab_size()):
@@ -58,13 +64,21 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 piece, score = sp.id_to_piece(i), sp.get_score(i)
                 self.surface[i] = piece.replace(BLANK, " ").encode()
-                if (score > UNUSED or len(piece) == 1) and BLANK not in piece[1:] and "\n" not in piece:
-                    self.ids[piece], self.scores[piece] = i, int(score)
-        self.unit = WORDS if any(re.search(LETTER + MARK, x) for x in self.ids) else FINER
+                if score > UNUSED or len(piece) == 1:
+                    self.ids[piece], self.scores[piece] = i, score
+        used = [x for x in self.scores.values() if x > UNUSED]
+        self.shift = next((n for n in range(31) if all((x * 2**n).is_integer() for x in used)), None)
+        if self.shift is None:
+            raise ValueError("a score is finer than 2 ** -30")
+        self.scores = {x: s if s <= UNUSED else int(s * 2**self.shift) for x, s in self.scores.items()}
+        cross = any(BLANK in x[1:] or ("\n" in x and len(x) > 1) for x in self.ids)
+        self.unit = WHOLE if cross else WORDS if any(re.search(LETTER + MARK, x) for x in self.ids) else FINER
+        if cross:
+            self.most = 0  # whole texts aren't met again
         self.known = frozenset(x for x in self.ids if len(x) == 1)
         self.longest = max(map(len, self.ids))
-        self.unknown = min(x for x in self.scores.values() if x > UNUSED) - 10
-        self.scores = {x: s if s > UNUSED else self.unknown for x, s in self.scores.items()}
+        self.unknown = int((min(used) - 10) * 2**self.shift)
+        self.scores = {x: s if type(s) is int else self.unknown for x, s in self.scores.items()}
         # Pieces by their hashes in a table of slots; a full slot passes a piece on to the next.
         self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
         self.hashes = np.array([self._hash(x) for x in self.ids], np.uint64)
@@ -131,7 +145,7 @@ class Pieces:
         """The n best segmentations of a unit: backward A*, the forward scores as heuristic."""
         if (unit, n) in self.searched:
             return self.searched[unit, n]
-        if len(self.searched) > 50_000:
+        if len(self.searched) > min(50_000, self.most):
             self.searched.clear()
         ahead = self.forward(unit)
         count = itertools.count()

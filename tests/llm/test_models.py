@@ -210,6 +210,56 @@ def test_nbest_by_brute_force(pieces):
         assert len(set(seqs)) == len(seqs) and seqs[0] == tuple(ids) and pieces.decode(ids) == t
 
 
+def unigram_model(pieces):
+    """A model file of the given pieces and scores, byte pieces behind them: the format's fields, written out."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def field(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + np.float32(value).tobytes()
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    kinds = [("<unk>", 0.0, 2), *((x, s, 1) for x, s in pieces.items()), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    body = b"".join(field(1, field(1, x.encode()) + field(2, s) + field(3, k)) for x, s, k in kinds)
+    return body + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(4, 0))
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_nbest_like_the_library(tmp_path, crossing):
+    """A unigram model, with and without pieces over blanks, line ends and marks: the library's own N-best lists."""
+    import sentencepiece
+
+    rng = random.Random(6)
+    words = ["▁", "a", "b", "c", "d", "é", ".", "\n", "▁a", "▁ab", "ab", "bc", "abc", "cd", "da", "▁d", "éa", "▁abcd"] + ["a▁b", "d.", ".\n", "▁a▁", "\n▁d"] * crossing
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(unigram_model({w: -rng.randrange(1 << 10, 1 << 14) / 1024 for w in words}))
+    p, sp = sentencepieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert (p.unit is sentencepieces.WHOLE) == crossing and p.shift == 10
+    for _ in range(150):
+        t = "".join(rng.choice([*"abcdéa. \n", "ab", " abcd", "日"]) for _ in range(rng.randint(1, 12)))
+        u = p.units(t)
+        raw, best = p.nbest(u, p.places([u])[0], 5)
+        got = []
+        for _, changes in best:
+            y = np.frombuffer(raw, "<u2").tolist()
+            for at, drop, put in sorted(changes, reverse=True):
+                y[at : at + drop] = put
+            got.append(y)
+        want = sp.nbest_encode(t, nbest_size=5)
+        assert len(got) == len(want) and got[0] == sp.encode(t)
+        score = lambda ids: round(sum(sp.get_score(i) for i in ids) * 1024)
+        if "日" not in t:
+            assert [x for x, _ in best] == [score(y) for y in want] == [score(y) for y in got]
+        if len({x for x, _ in best}) == len(best):
+            assert got[:4] == want[:4]
+        assert p.decode(got[0]) == t
+
+
 def test_encode_and_decode(spark):
     df = odd(spark)
     out = sentencepieces.encode(df, PIECES, n=3)
