@@ -103,11 +103,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 50_000].astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 1500, grams_per_language: int = 40_000, min_count: int = 3, share: float = 0.5, bits: int = 20) -> Model:
+def train(docs: DataFrame, per_language: int = 1500, min_count: int = 3, share: float = 0.5, bits: int = 20) -> Model:
     """Learn from docs (doc_id, text, lang): rows with text and lang.
 
-    Bounds: about per_language texts of each language (those that hash lowest) and grams_per_language n-grams of each.
-    An n-gram belongs to a language if its rate there is at least ``share`` of its highest rate in any.
+    Bound: about per_language texts of each language (those that hash lowest). An n-gram belongs to a language if it
+    occurs there min_count times and its rate is at least ``share`` of its highest rate in any. Filters have two to the
+    power of ``bits`` slots, or as many more as keep 16 for each n-gram of the fullest.
     """
     bound_batches(docs.sparkSession)
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -121,9 +122,9 @@ def train(docs: DataFrame, per_language: int = 1500, grams_per_language: int = 4
     total = Window.partitionBy("lang")
     counts = counts.withColumn("rate", F.col("n") / F.sum("n").over(total))
     counts = counts.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= share * F.col("top")) & (F.col("n") >= min_count))
-    ranked = counts.withColumn("r", F.row_number().over(total.orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= grams_per_language)
-    found = ranked.select("lang", "gram", "n").toArrow().to_pandas()
+    found = counts.select("lang", "gram", "n").toArrow().to_pandas()
     languages = sorted(found["lang"].unique())
+    bits = max(bits, *(int(16 * n).bit_length() for n in found["lang"].value_counts()), 1)
     masks, false_rate = [], np.zeros(len(languages))
     for first in range(0, len(languages), 64):
         own = languages[first : first + 64]
@@ -162,7 +163,7 @@ def predict_text(text: str | None, m: Model) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) to doc_id, lang_pred, score. The model is of fixed size: two to the power of its bits, times its languages' bits."""
+    """docs (doc_id, text) to doc_id, lang_pred, score. The model's size is bounded by its sample: two to the power of its bits, times its languages' bits."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
