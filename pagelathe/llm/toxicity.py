@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon in a trie, searched by Levenshtein automata, and scores of the words around each hit.
 
 Training (a bounded sample of labelled texts) finds words, and word beginnings, that toxic texts hold far oftener than
-others. Matching runs every word through the intersection of the lexicon's trie with the Levenshtein automaton of the
+others, and words that stand beside them where they are only reported. Matching runs every word through the intersection of the lexicon's trie with the Levenshtein automaton of the
 word's edits; the product's states are built when first reached and kept, so a word costs a few table steps. The words
 around a hit, and quotation marks, tell reported speech from abuse.
 
@@ -24,9 +24,8 @@ from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
 from pagelathe.llm.common import cut
 
-#: Marks that open or close a quotation, and words that report speech.
+#: Marks that open or close a quotation.
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
-REPORTING = frozenset("said says wrote writes quote quoted called calls term word slur insult dijo palabra llamó a-dit mot appelé sagte wort nannte".split())
 PREFIXES = range(4, 8)
 WINDOW = 6
 KINDS = ("word", "prefix", "fuzzy")
@@ -44,7 +43,7 @@ def strip_word(token: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """words and prefixes: term to weight (log likelihood ratio). base, prior: log odds of a text without hits, and of any. quoted: what a quotation leaves of a kind's weight. fuzzy: weight of misspellings of a term. context: weight of a word near a hit."""
+    """words and prefixes: term to weight (log likelihood ratio). base, prior: log odds of a text without hits, and of any. quoted: what a quotation leaves of a kind's weight. fuzzy: weight of misspellings of a term. context: weight of a word near a hit. reporting: words that tell of speech, by what they stand beside."""
 
     words: dict[str, float]
     prefixes: dict[str, float]
@@ -53,6 +52,7 @@ class Lexicon:
     quoted: dict[str, float] = field(default_factory=dict)
     fuzzy: dict[str, float] = field(default_factory=dict)
     context: dict[str, float] = field(default_factory=dict)
+    reporting: frozenset[str] = frozenset()
 
 
 class Matcher(dict):
@@ -157,8 +157,8 @@ class Matcher(dict):
         return out
 
 
-def hits_of(text: str, matcher: Matcher) -> list[tuple[str, str, bool, list[str]]]:
-    """Each hit's kind, term, whether it stands in a quotation, and the words around it."""
+def hits_of(text: str, matcher: Matcher, reporting: frozenset[str] = frozenset()) -> list[tuple[str, str, bool, list[str]]]:
+    """Each hit's kind, term, whether it stands in a quotation or near a reporting word, and the words around it."""
     tokens = text.split()
     found = {t for t in set(tokens) if matcher[t]}
     if not found:
@@ -172,7 +172,7 @@ def hits_of(text: str, matcher: Matcher) -> list[tuple[str, str, bool, list[str]
             opened = token[0] in QUOTES or any(x[0] in QUOTES for x in tokens[max(0, i - WINDOW) : i])
             closed = token.rstrip(".,;:!?")[-1:] in QUOTES if token.rstrip(".,;:!?") else False
             closed = closed or any(x.rstrip(".,;:!?")[-1:] in QUOTES for x in tokens[i + 1 : i + 1 + WINDOW] if x.rstrip(".,;:!?"))
-            out.append((kind, term, (opened and closed) or not REPORTING.isdisjoint(near), near))
+            out.append((kind, term, (opened and closed) or not reporting.isdisjoint(near), near))
     return out
 
 
@@ -183,7 +183,7 @@ def score_text(text: str | None, m: Lexicon, matcher: Matcher) -> float:
     """
     best: dict[str, float] = {}
     fuzzy = 0.0
-    for kind, term, quoted, near in hits_of(text or "", matcher):
+    for kind, term, quoted, near in hits_of(text or "", matcher, m.reporting):
         w = m.prefixes.get(term, 0.0) if kind == "prefix" else m.words.get(term, 0.0)
         w = min(w, m.fuzzy.get(term, 0.0)) if kind == "fuzzy" else w
         w *= m.quoted[kind] if quoted else 1.0
@@ -242,11 +242,13 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.0, rounds: int = 4) -> Lexicon:
-    """docs: doc_id, text. labels: doc_id, toxic. Bounds: about max_rows texts, max_terms terms.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs: int = 5, min_share: float = 0.004, min_odds: float = 3.0, reported: float = -1.5, rounds: int = 4) -> Lexicon:
+    """docs: doc_id, text. labels: doc_id, toxic. Bound: about max_rows texts; all that is counted in them counts.
 
-    A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least; it is sought
-    in so many rounds, the strongest terms first.
+    A term must occur in min_docs toxic texts, min_share of them all, and with log odds of min_odds at least (so there are
+    at most 1 / min_share times as many as words in a toxic text); it is sought in so many rounds, the strongest terms
+    first. A word is a reporting one if it stands beside hits in a tenth of the clean texts with hits (min_docs
+    at least), and the log odds of those hits are ``reported`` at most.
     """
     bound_batches(docs.sparkSession)
     rows = cut(sample_rows(docs, labels, max_rows).repartition(16), "labelled")
@@ -260,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     n_clean = (total["n"] or 0) - n_tox
     least = max(min_docs, math.ceil(min_share * n_tox))
     strong = (F.col("tox") + 0.5) / (n_tox + 1) >= math.exp(min_odds) * (F.col("clean") + 2) / (n_clean + 4)
-    found = counted(_terms, lambda s: s.filter((F.col("tox") >= least) & strong & (F.col("unit") != "=")).orderBy(F.desc("tox"), "unit").limit(max_terms))
+    found = counted(_terms, lambda s: s.filter((F.col("tox") >= least) & strong & (F.col("unit") != "=")))
     candidates = {u for u, _, _ in found}
     words: dict[str, float] = {}
     prefixes: dict[str, float] = {}
@@ -277,7 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
             own = [strong[w] for w in strong if w[0] == "w" and w[1:].startswith(u[1:])]
             if strong[u] >= 1.25 * max(own, default=0) and not any(u[1:].startswith(p) for p in prefixes):
                 prefixes[u[1:]] = weight[u]
-        words |= {u[1:]: weight[u] for u in strong if u[0] == "w" and not any(u[1:].startswith(p) for p in prefixes)}
+        # Words that a beginning covers stay, for the automaton to find their misspellings.
+        words |= {u[1:]: weight[u] for u in strong if u[0] == "w"}
         told, wanted = (dict(words), dict(prefixes)), frozenset(candidates)
 
         def unexplained(text: str, told=told, wanted=wanted) -> set[str]:
@@ -289,16 +292,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
         found = counted(unexplained, lambda s: s.filter(F.col("tox") >= least))
     matcher_terms = (dict(words), dict(prefixes))
 
-    def kinds_of(text: str) -> set[str]:
+    def near_of(text: str) -> set[str]:
         hits = hits_of(text, _matcher(*matcher_terms))
+        return {w for _, _, _, near in hits for w in near if len(w) > 1} | ({"="} if hits else set())
+
+    beside = {u: (t, c) for u, t, c in counted(near_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | (F.col("unit") == "=")))}
+    hit = beside.pop("=", (0, 0))
+    odds = {u: _log_odds(t, c, *hit) for u, (t, c) in beside.items()} if min(hit) >= 20 else {}
+    often = max(min_docs, math.ceil(0.1 * hit[1]))
+    reporting = frozenset(u for u, x in odds.items() if x <= reported and beside[u][1] >= often)
+
+    def kinds_of(text: str) -> set[str]:
+        hits = hits_of(text, _matcher(*matcher_terms), reporting)
         kinds = {(k, q) for k, _, q, _ in hits}
         # A kind counts only where no surer kind or plainer use of the term is there too.
-        order = [(k, q) for q in (False, True) for k in ("word", "prefix", "fuzzy")]
+        order = [(k, q) for q in (False, True) for k in KINDS]
         first = next((x for x in order if x in kinds), None)
         fuzzy = {f"fuzzy {t}" for k, t, _, _ in hits} if first and first[0] == "fuzzy" else set()
-        return fuzzy | ({f"{first[0]}{int(first[1])}"} if first else {"none"}) | {f"near {w}" for _, _, _, near in hits for w in near if len(w) > 1}
+        return fuzzy | ({f"{first[0]}{int(first[1])}"} if first else {"none"})
 
-    after = {u: (t, c) for u, t, c in counted(kinds_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | ~F.startswith("unit", F.lit("near "))).orderBy(F.desc(F.col("tox") + F.col("clean")), "unit").limit(max_terms))}
+    # A few rows for kinds, and one a term at most.
+    after = {u: (t, c) for u, t, c in counted(kinds_of, lambda s: s)}
     prior = math.log((n_tox + 0.5) / (n_clean + 1))
     none = after.get("none", (0, n_clean))
     base = math.log((none[0] + 0.5) / (none[1] + 1))
@@ -314,9 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
         t, c = after.get(f"fuzzy {term}", (0, 0))
         # A term's misspellings start below the term itself, the further the shorter it is: short ones are met by chance.
         fuzzy[term] = (2 * (words[term] - max(0.5, 6 - len(term) / 2)) + (t + c) * (math.log((t + 0.5) / (c + 0.5)) - prior)) / (2 + t + c)
-    hit = [sum(after.get(f"{k}{q}", (0, 0))[i] for k in KINDS for q in (0, 1)) for i in (0, 1)]
-    context = {u[5:]: 0.25 * _log_odds(t, c, hit[0], hit[1]) for u, (t, c) in after.items() if u.startswith("near ") and hit[0] >= 20 and hit[1] >= 20}
-    return Lexicon(words, prefixes, base, prior, quoted, fuzzy, context)
+    return Lexicon(words, prefixes, base, prior, quoted, fuzzy, {u: 0.25 * x for u, x in odds.items()}, reporting)
 
 
 _matchers: dict[tuple, Matcher] = {}
@@ -332,7 +344,7 @@ def _matcher(words: dict[str, float], prefixes: dict[str, float]) -> Matcher:
 
 
 def score(docs: DataFrame, m: Lexicon) -> DataFrame:
-    """docs in full, in a struct row, with score. The lexicon is bounded by max_terms of training."""
+    """docs in full, in a struct row, with score. The lexicon is bounded by the sample that it was learned from."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 

@@ -127,6 +127,74 @@ def test_toxicity_learns(spark):
     assert toxicity.score(docs.limit(3), empty).filter("score < 0.5").count() == 3
 
 
+def test_scores_by_brute_force(spark, monkeypatch):
+    """Every score of the query again: each token against every term by edit distance, no trie and no automaton."""
+    learned = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: learned.append(train(*a, **k)) or learned[-1])
+    folder = DATA.replace("0.001", "0.01")
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op3_toxicity"](spark, folder).collect()}
+    m = learned[0]
+    assert len(m.words) + len(m.prefixes) > 3
+
+    def kind(token):
+        w = token.lower()
+        while w and not w[0].isalnum():
+            w = w[1:]
+        while w and not w[-1].isalnum():
+            w = w[:-1]
+        if w in m.words:
+            return "word", w
+        begun = sorted((p for p in m.prefixes if w.startswith(p)), key=len)
+        if begun:
+            return "prefix", begun[0]
+        near = [(edits(w, t), t) for t in m.words if abs(len(w) - len(t)) <= 2 and w]
+        near = [x for x in near if x[0] <= (0 if len(x[1]) < 5 else 1 if len(x[1]) < 9 else 2)]
+        return ("fuzzy", min(near)[1]) if near else None
+
+    kinds = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        tokens = (r["text"] or "").split()
+        exact, fuzzy = {}, 0.0
+        for i, t in enumerate(tokens):
+            if t not in kinds:
+                kinds[t] = kind(t)
+            if kinds[t]:
+                what, term = kinds[t]
+                before, behind = tokens[max(0, i - 6) : i], tokens[i + 1 : i + 7]
+                near = [toxicity.strip_word(x) for x in before + behind]
+                bare = [x.rstrip(".,;:!?") for x in [t, *behind]]
+                opens, closes = any(x[0] in toxicity.QUOTES for x in [t, *before]), any(x and x[-1] in toxicity.QUOTES for x in bare)
+                w = {"word": m.words.get(term, 0.0), "prefix": m.prefixes.get(term, 0.0), "fuzzy": min(m.words.get(term, 0.0), m.fuzzy.get(term, 0.0))}[what]
+                w *= m.quoted[what] if (opens and closes) or any(x in m.reporting for x in near) else 1
+                w += max(-1.0, min(1.0, sum(m.context.get(x, 0.0) for x in near)))
+                if what == "fuzzy":
+                    fuzzy = max(fuzzy, w)
+                else:
+                    exact[term] = max(exact.get(term, -9.0), w)
+        z = m.prior + fuzzy + sum(sorted(exact.values())[-3:]) if exact or fuzzy > 0 else m.base
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9, r["doc_id"]
+
+
+def test_reporting_words_are_learned(spark):
+    """Hits beside a reporting word come from clean texts, so the word is learned, and hits beside it weigh less."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = rng.choices([f"w{j}" for j in range(300)], k=40)
+        toxic, told = i % 3 == 0, i % 30 == 1
+        if toxic or told:
+            at = rng.randrange(5, 30)
+            words[at : at + 2] = ["grumblefux", words[at]] if toxic else ["reportedly", "grumblefux"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.train(docs, labels, min_odds=1.5)
+    assert "reportedly" in m.reporting and len(m.reporting) <= 3 and "grumblefux" in m.words
+    matcher = toxicity._matcher(m.words, m.prefixes)
+    assert toxicity.score_text("a grumblefux you", m, matcher) > 0.9 > toxicity.score_text("x reportedly grumblefux x", m, matcher)
+
+
 def test_toxicity_held_out(spark):
     out = QUERIES["op3_toxicity"](spark, DATA.replace("0.001", "0.1")).join(spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     hit = out[out.toxic == 1].predicted.mean()
@@ -162,10 +230,56 @@ def test_langid_by_plain_sets(spark):
     assert langid.predict(docs, langid.train(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_by_brute_force(spark):
+    """The query again with plain sets of n-grams as strings, without hashes and filters."""
+    import re
+    from collections import Counter
+
+    folder = DATA.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in QUERIES["op9_language_id"](spark, folder).collect()}
+
+    def grams(text):
+        t = f" {' '.join(re.findall(r'[^\W\d_]+', (text or '').lower()))} "
+        return Counter(t[i : i + n] for n in (3, 4) for i in range(len(t) - n + 1)) if t.strip() else Counter()
+
+    counts = {}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"]:
+            counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    top = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[x])
+    own = {x: {g for g, n in c.items() if n >= 3 and n / total[x] >= 0.5 * top[g]} for x, c in counts.items()}
+    other = 0
+    for r in docs:
+        g = grams(r["text"])
+        hits = {x: sum(n for y, n in g.items() if y in own[x]) for x in sorted(own)}
+        best = max(hits, key=lambda x: (hits[x], -sorted(own).index(x)))
+        held_out, lang, score = got[r["doc_id"]]
+        assert held_out == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not g:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        close = sum(x > hits[best] - 3 - 0.01 * sum(g.values()) for x in hits.values()) > 1
+        assert lang == best or close, r["doc_id"]
+        other += lang != best
+        assert abs(score - hits[best] / max(1, sum(hits.values()))) < 0.02 + 3 / sum(g.values()) or close
+    assert other <= 2
+
+
 def test_langid_chunks_agree(monkeypatch):
-    text = "the cat and the dog sat on the mat " * 50
-    monkeypatch.setattr(langid, "CHUNK", 64)
-    assert "".join(langid._pieces(text)) == text
+    """Texts cut into chunks are judged as whole ones, with blanks to cut at and without any."""
+    m = langid.Model(["a", "b"], "a", 20, [np.random.default_rng(1).integers(0, 4, 1 << 20).astype(np.uint8)], np.array([0.1, 0.1]))
+    for text in ("the cat and the dog sat on the mat " * 50, "nurbuchstaben" * 400):
+        whole = langid.predict_text(text, m)
+        monkeypatch.setattr(langid, "CHUNK", 64)
+        assert "".join(langid._pieces(text)) == text
+        parts = langid.predict_text(text, m)
+        monkeypatch.setattr(langid, "CHUNK", 1 << 19)
+        assert parts[0] == whole[0] and abs(parts[1] - whole[1]) < 0.05
 
 
 def test_langid_held_out(spark):
