@@ -82,9 +82,13 @@ def parts_of(df: DataFrame, size: int = 128 << 20) -> int:
     return least if known > 1 << 60 else max(least, -(-known // size))
 
 
-def small_side(df: DataFrame, most: int = 200_000) -> DataFrame:
+#: Rows of a few narrow columns, some MB, that may be broadcast.
+SMALL = 200_000
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
     """df (a table of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= (SMALL if most is None else most) else df
 
 
 #: A key is hot that more than a HOTth of all rows have; so there are fewer than HOT of them for each key that a row has.

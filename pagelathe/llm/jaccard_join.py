@@ -13,10 +13,13 @@ Next levels: a region of more than ``small`` documents gets document pivots. A d
 the nearest one and so to all of its region; documents of different regions are compared only where both lie within 2t
 of the other's pivot (a link spans at most t, a region t); documents outside of every region are compared with those
 whose distances to every pivot differ by at most t. What is left of a region is a region again, split by new pivots,
-until it is small. Small regions are joined outright. Candidates are bounded by shared pivots and places in the order,
-and verified against the whole sets, so the result is exact but for 64-bit hashes.
+until it is small, or the levels are through. What is left then is compared outright: with the square of its size in
+comparisons of sizes, distances to pivots and bitmaps, but in blocks of bounded size, so that a region is many tasks'
+work, and only pairs that may be linked become rows. Candidates are bounded by shared pivots and places in the order, and
+verified against the whole sets, so the result is exact but for 64-bit hashes.
 
-Equal sets are one point of the space: copies are never paired. Nothing in the plan multiplies two large sides.
+Equal sets are one point of the space: copies are never paired. A component or a text with a large share of all
+documents is no single task's work: such keys are joined by broadcast (``join_hot``).
 
 Defined results: null or empty texts and texts without words have an empty set and no links; a null doc_id never names a
 component unless all of the component's ids are null; repeated rows are copies; extra columns are ignored.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut, release, small_side
+from pagelathe.llm.common import cut, join_hot, parts_of, release, small_side
 from pagelathe.llm.components import components
 from pagelathe.llm.shingles import fingerprint, shingle_sets
 
@@ -51,6 +54,8 @@ SHIPPED_PAIRS, BITS = 1_000_000, 2048
 #: The most pivots of a cell on each level; what is left of the last is compared outright. The first few connect most of
 #: a group of near copies, the more are for what those leave.
 PIVOTS = (3, 12, 64)
+#: Members of a cell that are compared with its others as one task's work.
+BLOCKED = 2048
 
 
 def prefix_size(n: np.ndarray | int):
@@ -345,8 +350,8 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     asked = cut(pruned(two.filter("likely").select("a", "b"), points, 2 * NUM - DEN), "near")
     asked = asked.unionByName(two.filter("NOT likely"))
     found = cut(measured(asked.filter("likely"), points), "distances")
-    own = cut(_thinned(found.filter(LINKED).select("a", "b")), "own")
-    roots = components(reduce(DataFrame.unionByName, [*links, own])).select(F.col("node").alias("a"), "root")
+    links_here = cut(_thinned(found.filter(LINKED).select("a", "b")), "own")
+    roots = components(reduce(DataFrame.unionByName, [*links, links_here])).select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
     told = found.select("a", F.col("b").alias("p"), d).unionByName(asked.filter("NOT likely").select("a", F.col("b").alias("p"), F.lit(-1.0).alias("d")))
     near = cells.select("cell", "a").join(picked.select("cell", "p"), "cell").join(told, ["a", "p"], "left")
@@ -358,12 +363,18 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     as_b = {"a": "b", "n": "nb", "to": "tb", "bits": "bitsb", "root": "rootb"}
     second = lambda df, *more: df.select("cell", *[F.col(k).alias(v) for k, v in as_b.items()], *more)
     outer = by.filter("home IS NULL")
-    # Outside of all regions: compared with whatever of the regions may be linked.
-    far = by.filter("home IS NOT NULL").join(second(outer), ["cell"]).filter(_may_link()).select("a", "b")
-    # Among themselves: outright where they are few, else as a cell of the next level.
+    # Those outside of all regions go to every block of the cell's members, these to the one that their hash says: no
+    # block has more than about BLOCKED members, so a large cell is many tasks' work.
+    blocks = by.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCKED).alias("blocks"))
+    own = lambda df: df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).drop("blocks")
+    every = lambda df: df.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    others = every(second(outer))
+    # Compared with whatever of the regions may be linked.
+    far = own(by.filter("home IS NOT NULL")).join(others, ["cell", "block"]).filter(_may_link()).select("a", "b")
+    # Among themselves: outright where they are few or on the last level, else as a cell of the next.
     rest = outer.groupBy("cell").agg(F.count(F.lit(1)).alias("c"))
     few = rest if last else rest.filter(F.col("c") <= small)
-    apart = outer.join(few.select("cell"), "cell", "left_semi").join(second(outer), ["cell"]).filter((F.col("a") < F.col("b")) & _may_link()).select("a", "b")
+    apart = own(outer.join(few.select("cell"), "cell", "left_semi")).join(others, ["cell", "block"]).filter((F.col("a") < F.col("b")) & _may_link()).select("a", "b")
     deeper = outer.join(rest.filter(F.lit(not last) & (F.col("c") > small)).select("cell"), "cell", "left_semi").select("cell", "a", "n", "bits", "shared")
     # The windows of two regions: within 2t of the other's pivot, on both sides.
     edge = by.filter("home IS NOT NULL").select("*", F.explode("to").alias("p", "dp")).filter((F.col("p") != F.col("home")) & (F.col("dp") <= 2 * T))
@@ -372,7 +383,7 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     edge = edge.join(linked_to, "p").filter("proot <> root")
     other = second(edge, F.col("home").alias("p"), F.col("p").alias("home"))
     across = edge.filter("home < p").join(other, ["cell", "home", "p"]).filter(_may_link()).select("a", "b")
-    return own, far.unionByName(apart).unionByName(across), deeper
+    return links_here, far.unionByName(apart).unionByName(across), deeper
 
 
 def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFrame:
@@ -388,7 +399,7 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     points = survey.filter("block IS NULL").select("doc_id", "key", "n", "fp")
     classes = spark.sparkContext.broadcast(rarity(survey))
     first = rows.mapInArrow(_first_pivots(size, classes), "key long, fp long, at long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(docs)
     found = first.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_regions(small), REGION)
     found = cut(found, "regions")
     # Shared pivots of a pair, and their last places, bound the intersection; most chance meetings end here.
@@ -422,9 +433,14 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     links.append(measured(cut(rest.filter("ra <> rb").select("a", "b"), "second"), near_points).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
-    whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
+    own = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    whole = cut(own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "copies"), "whole")
+    sizes = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    # Components and texts with a large share of all documents are told to the rows.
+    heads = cut(whole.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "heads")
+    named = join_hot(whole, heads, F.col("root") == F.col("r"), "members", sizes[0]).select(F.col("fp").alias("f"), "root", "component_id", "copies")
+    joined = join_hot(points.filter("n > 0"), cut(named, "named"), F.col("fp") == F.col("f"), "copies", sizes[1])
+    joined = joined.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
     return joined.unionByName(points.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("fp")))
 
 
@@ -502,12 +518,12 @@ def count_links(docs: DataFrame, size: int = 5, **options) -> DataFrame:
     rows = rows.join(small_side(picked), F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("key") == F.col("pkey")))
     rows = rows.select("root", "own", "copies", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "copies", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    rows = rows.repartition(parts_of(docs), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     found = rows.mapInArrow(_count_links(size), "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
-    told = sets.join(found, "fp", "left").select("fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
-    told = small_side(cut(told, "links"), SHIPPED_PAIRS)
-    return groups.join(told, "fp", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = sets.join(found, "fp", "left").select(F.col("fp").alias("f"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    some = join_hot(groups.filter("root IS NOT NULL"), cut(told, "links"), F.col("fp") == F.col("f"), "copies", groups.count())
+    some = some.unionByName(groups.filter("root IS NULL"), allowMissingColumns=True)
+    return some.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -517,9 +533,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = cut(group_documents(docs, **options).filter("root IS NOT NULL").select("doc_id", "key", "root"), "groups")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    ids = groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
-    best = ids.groupBy("root").agg(F.min(one).alias("best"))
-    ids = ids.join(best, "root").select(F.col("doc_id").alias("gid"), F.col("key").alias("gkey"), (one != F.col("best")).alias("out"), "c")
+    ids = cut(groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c")), "ids")
+    best = cut(ids.groupBy(F.col("root").alias("r")).agg(F.min(one).alias("best"), F.count(F.lit(1)).alias("members")), "best")
+    ids = join_hot(ids, best, F.col("root") == F.col("r"), "members", ids.count()).select(F.col("doc_id").alias("gid"), F.col("key").alias("gkey"), (one != F.col("best")).alias("out"), "c")
     ids = cut(ids.filter("out OR c > 1"), "leave")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("gid0"), F.xxhash64("text").alias("gkey0"))
     same = F.col("gid0").eqNullSafe(F.col("gid")) & (F.col("gkey0") == F.col("gkey"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import DATA
 
-from pagelathe.llm import binary_output, components, jaccard_join, langid, sentencepieces, shingles, topk, toxicity
+from pagelathe.llm import binary_output, common, components, jaccard_join, langid, sentencepieces, shingles, topk, toxicity
 from pagelathe.llm.queries import QUERIES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -488,8 +488,14 @@ def near_copies(rng, n_base, copies, length, edit):
     return out
 
 
-@pytest.mark.parametrize("small", [2, 24])
-def test_join_by_brute_force(spark, small):
+@pytest.mark.parametrize(("small", "far"), [(2, False), (24, False), (2, True), (24, True)])
+def test_join_by_brute_force(spark, monkeypatch, small, far):
+    """far: no table is small enough to be broadcast, regions are compared in blocks of a few, and every key is cold."""
+    if far:
+        for name, value in (("SHIPPED", -1), ("SHIPPED_PAIRS", -1), ("BLOCKED", 7), ("PIVOTS", (3,))):
+            monkeypatch.setattr(jaccard_join, name, value)
+        monkeypatch.setattr(common, "SMALL", -1)
+        monkeypatch.setattr(common, "HOT", 1)
     rng = random.Random(11)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = near_copies(rng, 3, 30, 90, 5) + near_copies(rng, 12, 4, 60, 3) + [f"{passage} " + " ".join(f"u{i}v{j}" for j in range(30)) for i in range(40)]
