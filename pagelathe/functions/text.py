@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that Python's str.strip() removes.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 QUOTE_CHARS, EVIDENCE_CHARS, SPAN_CHARS, CONTEXT_CHARS = 240, 300, 1000, 160
 BLOCK = "struct<kind:string,content:string,latex:string,quote:string,order_no:int,bbox:array<double>,confidence:double,source:string>"
 
@@ -23,7 +24,8 @@ def nfc(text: Column) -> Column:
     def compose(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    return compose(text)
+    # ASCII is composed as it is: only other texts go through Python.
+    return F.coalesce(compose(F.when(text.rlike("[^\\x00-\\x7f]"), text)), text)
 
 
 def composed(df: DataFrame, column: str) -> DataFrame:
@@ -33,7 +35,7 @@ def composed(df: DataFrame, column: str) -> DataFrame:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def or_default(text: Column, default: str) -> Column:
@@ -45,7 +47,9 @@ def normalize_text(text: Column, nfc_form: bool = True) -> Column:
     """NFC, line ends as LF, no white space at line ends, none around the whole; null is empty."""
     out = F.coalesce(text.cast("string"), F.lit(""))
     out = F.regexp_replace(nfc(out) if nfc_form else out, "\\r\\n?", "\n")
-    return strip(F.regexp_replace(out, f"[{SPACE}&&[^\\n]]+(?=\\n|\\z)", ""))
+    # A run is tried once, from its beginning, and never given back in part: linear in the text's length.
+    inner = f"[{SPACE}&&[^\\n]]"
+    return strip(F.regexp_replace(out, f"(?<!{inner}){inner}++(?=\\n|\\z)", ""))
 
 
 def normalize_latex(text: Column, nfc_form: bool = True) -> Column:
@@ -55,7 +59,7 @@ def normalize_latex(text: Column, nfc_form: bool = True) -> Column:
 def table_matrix(text: Column, nfc_form: bool = False) -> Column:
     """Rows of trimmed cells of the lines that hold a bar; rows of dashes and colons only are rulers and go."""
     lines = F.filter(F.split(normalize_text(text, nfc_form), "\n"), lambda x: x.contains("|"))
-    inner = lambda x: F.regexp_replace(strip(x), "^\\|+|\\|+\\z", "")
+    inner = lambda x: F.btrim(strip(x), F.lit("|"))
     rows = F.transform(lines, lambda x: F.transform(F.split(inner(x), "\\|"), strip))
     return F.filter(rows, lambda r: ~F.forall(r, lambda c: c.rlike("^:?-{3,}:?\\z")))
 
@@ -74,7 +78,7 @@ def paragraph_kind(text: Column) -> Column:
 
 def markdown_blocks(markdown: Column) -> Column:
     """Blocks of a page of which only Markdown is known: kinds by form, confidence 0.7, no boxes."""
-    latex = lambda x: strip(F.regexp_replace(x, "^\\$+|\\$+\\z", ""))
+    latex = lambda x: strip(F.btrim(x, F.lit("$")))
     return F.transform(
         paragraphs(markdown),
         lambda x, i: F.struct(

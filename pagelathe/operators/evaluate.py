@@ -198,6 +198,41 @@ def comparison_conclusion(compared: DataFrame, reviews: DataFrame) -> DataFrame:
     return df.withColumn("conclusion", conclusion).drop("_open")
 
 
+def document_views(cases: DataFrame, snapshots: DataFrame, assessments: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """One row a case (case_id): its own columns, and the ids of its snapshots, assessments and comparisons in order."""
+    df = cases
+    for name, rows, key in (("snapshots", snapshots, "snapshot_id"), ("assessments", assessments, "assessment_id"), ("comparisons", comparisons, "comparison_id")):
+        df = df.join(rows.groupBy("case_id").agg(F.array_sort(F.collect_list(key)).alias(name)), "case_id", "left")
+        df = df.withColumn(name, F.coalesce(name, F.array().cast(rows.select(F.array(key)).schema[0].dataType)))
+    return df
+
+
+def assessment_views(assessments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Stored assessments with how many reviews each has, and their quality computed anew from the last of them."""
+    said = reviews.groupBy("assessment_id").agg(F.count(F.lit(1)).alias("reviews"))
+    return assessments.join(scorecard(assessments, reviews), "assessment_id").join(said, "assessment_id", "left").withColumn("reviews", F.coalesce("reviews", F.lit(0)))
+
+
+def comparison_views(comparisons: DataFrame, compared: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Stored comparisons with the changed pages that no review has met yet, and how many reviews there are."""
+    said = reviews.groupBy("comparison_id").agg(F.count(F.lit(1)).alias("reviews"))
+    told = comparison_conclusion(compared, reviews).select("comparison_id", "pending_review_pages")
+    df = comparisons.join(told, "comparison_id", "left").join(said, "comparison_id", "left")
+    return df.withColumn("reviews", F.coalesce("reviews", F.lit(0))).withColumn("pending_review_pages", F.coalesce("pending_review_pages", F.array().cast(told.schema["pending_review_pages"].dataType)))
+
+
+def asset_url(kind: str, key: Column, page_no: Column, pane: str) -> Column:
+    """The relative address of a page's image: of an assessment's source, or of a comparison's source, baseline or candidate."""
+    if (kind, pane) not in {("assessments", "source"), *(("comparisons", p) for p in ("source", "baseline", "candidate"))}:
+        raise ValueError("kind and pane")
+    return F.concat(F.lit(f"/api/v1/evaluations/{kind}/"), key, F.lit("/pages/"), page_no.cast("string"), F.lit(f"/assets/{pane}"))
+
+
+def pane_snapshot(pane: Column) -> Column:
+    """Which of a comparison's snapshots a pane shows; null for what is no pane."""
+    return F.when(pane.isin("source", "baseline"), F.col("baseline_snapshot_id")).when(pane == "candidate", F.col("candidate_snapshot_id"))
+
+
 def append_idempotent(existing: DataFrame, new: DataFrame, key: str, stable: list[str]) -> DataFrame:
     """new with outcome: created, existing (same stable columns) or conflict."""
     old = existing.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in stable], F.lit(True).alias("_there"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions.ids import digest
@@ -91,6 +91,18 @@ def release(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("document_id", F.to_json(F.struct("nodes", "edges")).alias("snapshot_json"), F.lit("published").alias("status"))
 
 
+def revise(snapshots: DataFrame, status: str = "draft") -> DataFrame:
+    """snapshots: document_id, path, snapshot_json, created_at. Rows for the append-only table of workbook revisions; ids derive from document, content and time."""
+    row = digest(F.col("document_id").cast("string"), F.col("snapshot_json"), F.col("created_at").cast("string"), digits=32)
+    return snapshots.select(row.alias("id"), "document_id", "path", "snapshot_json", F.lit(status).alias("status"), "created_at")
+
+
+def release_revisions(revisions: DataFrame, created_at: Column) -> DataFrame:
+    """Releases of each document's newest revision, for the append-only table of releases; they name their revision."""
+    newest = latest(revisions, ["document_id"], [F.desc("created_at"), F.desc("id")])
+    return newest.select(digest(F.col("id"), F.lit("release"), digits=32).alias("id"), "document_id", F.col("id").alias("revision_id"), "snapshot_json", F.lit("published").alias("status"), created_at.alias("created_at"))
+
+
 def newest_release(releases: DataFrame) -> DataFrame:
     return latest(releases.filter("status = 'published'"), ["document_id"], [F.desc("created_at"), F.desc("id")])
 

@@ -57,6 +57,23 @@ def stage_prune(ids: DataFrame, runs: DataFrame, pages: DataFrame, artifacts: Da
     return df.select(*runs.columns), gone_pages, gone_artifacts
 
 
+def prune_operation(plan: DataFrame, document_hash: str, keep: str, operation_id: str) -> DataFrame:
+    """One row: the record of an operation (its document, the run that stays, what goes in order, the bytes it frees), as it is written beside the backup."""
+    may = plan.filter("refusal IS NULL")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("string"))
+    out = may.agg(each.alias("run_ids"), F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).cast("long").alias("reclaimable_bytes"))
+    return out.select(F.lit(operation_id).alias("operation_id"), F.lit(document_hash).alias("document_hash"), F.lit(keep).alias("keep_run_id"), "run_ids", "reclaimable_bytes", F.lit("planned").alias("status"))
+
+
+def match_operation(operations: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: operation_id, document_hash, keep_run_id. Whether each may go on with the operation that it names: flaw id, missing or mismatch, else null."""
+    named = F.coalesce((F.col("operation_id") != "") & ~F.col("operation_id").rlike("[/\\\\]") & ~F.col("operation_id").isin(".", ".."), F.lit(False))
+    known = operations.select("operation_id", F.col("document_hash").alias("_hash"), F.col("keep_run_id").alias("_keep"), F.lit(True).alias("_there"))
+    df = requests.join(known, "operation_id", "left")
+    same = F.col("document_hash").eqNullSafe(F.col("_hash")) & F.col("keep_run_id").eqNullSafe(F.col("_keep"))
+    return df.withColumn("flaw", F.when(~named, "id").when(F.col("_there").isNull(), "missing").when(~same, "mismatch")).drop("_hash", "_keep", "_there")
+
+
 def drop_rows(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 

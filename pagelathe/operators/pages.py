@@ -108,16 +108,17 @@ def page_evidence(raw_text: Column, native: Column, page_no: Column, width: Colu
     return F.array(own.cast(EVIDENCE))
 
 
-def page_quality(raw_text: Column, blocks: Column, parser_error: Column, kind: Column, ink: Column) -> Column:
+def page_quality(raw_text: Column, blocks: Column, parser_error: Column, kind: Column, ink: Column, provider: Column | None = None) -> Column:
+    """provider: what the parser told of itself (model, attempts), as text."""
     none = F.coalesce(raw_text, F.lit("")) == ""
     issues = F.array_compact(F.array(F.when(none & (kind != "blank"), NO_TEXT_LAYER), F.when(parser_error.isNotNull() & (parser_error != ""), F.concat(F.lit(DEGRADED), parser_error)), F.when(F.coalesce(F.size(blocks), F.lit(0)) == 0, NO_BLOCKS)))
     return F.struct(
-        F.lit("needs_review").alias("status"), issues.alias("issues"), kind.alias("page_kind"), F.length(F.coalesce(raw_text, F.lit(""))).cast("int").alias("native_text_chars"), F.round(ink, 6).alias("ink_ratio"), F.lit(None).cast("string").alias("provider")
+        F.lit("needs_review").alias("status"), issues.alias("issues"), kind.alias("page_kind"), F.length(F.coalesce(raw_text, F.lit(""))).cast("int").alias("native_text_chars"), F.round(ink, 6).alias("ink_ratio"), (F.lit(None) if provider is None else provider).cast("string").alias("provider")
     )
 
 
 def page_facts(parsed: DataFrame) -> DataFrame:
-    """parsed: run_id, document_id, page_no, width, height, ink_ratio, raw_text, native (as native_blocks gives), model (struct page_kind, markdown, blocks; or null), parser_error. Page facts, and an error where a page can't be one."""
+    """parsed: run_id, document_id, page_no, width, height, ink_ratio, raw_text, native (as native_blocks gives), model (struct page_kind, markdown, blocks; or null), parser_error, and maybe provider. Page facts, and an error where a page can't be one."""
     raw = F.coalesce("raw_text", F.lit(""))
     # A failed parser is replaced by the text layer, where there is one.
     fallback = F.struct(F.lit("content").alias("page_kind"), raw.alias("markdown"), F.lit(None).cast(f"array<{MODEL_BLOCK}>").alias("blocks"))
@@ -134,7 +135,7 @@ def page_facts(parsed: DataFrame) -> DataFrame:
     return df.select(
         "run_id", "document_id", F.lit(1).alias("schema_version"), "page_no", "page_kind", "markdown", "blocks",
         page_evidence(raw, F.col("native"), F.col("page_no"), w, h).alias("evidence"),
-        page_quality(raw, F.col("blocks"), F.left("parser_error", F.lit(SPAN_CHARS)), F.col("page_kind"), F.col("ink_ratio")).alias("quality"),
+        page_quality(raw, F.col("blocks"), F.left("parser_error", F.lit(SPAN_CHARS)), F.col("page_kind"), F.col("ink_ratio"), F.col("provider") if "provider" in parsed.columns else None).alias("quality"),
         F.format_string("pages/page-%04d.png", "page_no").alias("page_image"),
         F.transform(F.filter("blocks", lambda b: can_crop(b["kind"], b["bbox"], w, h)), lambda b: F.format_string("images/page-%04d-%s-%03d.png", "page_no", b["kind"], b["order_no"])).alias("content_images"),
         "error",

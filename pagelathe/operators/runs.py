@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelathe.functions.ids import digest
 from pagelathe.functions.text import strip
 
 
@@ -91,6 +92,18 @@ def latest_scoped(items: DataFrame, extractions: DataFrame) -> DataFrame:
     return items.join(newest, "document_id", "left").filter(F.col("_latest").isNull() | (F.col("extraction_run_id") == F.col("_latest"))).drop("_latest")
 
 
+def open_runs(existing: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: document_id, job_id, provider_summary, created_at. The run of each: that of the same job, opened again, or a new one (ids derive from document, job and time)."""
+    old = existing.filter("job_id IS NOT NULL").select("job_id", F.col("id").alias("_id"), F.col("model_calls").alias("_calls"), F.col("created_at").alias("_at"), F.col("document_id").alias("_doc"), F.col("provider_summary").alias("_by"))
+    df = requests.join(old, "job_id", "left")
+    fresh = digest(F.col("document_id").cast("string"), F.coalesce(F.col("job_id").cast("string"), F.lit("")), F.col("created_at").cast("string"), digits=32)
+    kept = lambda old, new: F.when(F.col("_id").isNotNull(), F.col(old)).otherwise(F.col(new))
+    return df.select(
+        F.coalesce(F.col("_id").cast("string"), fresh).alias("id"), kept("_doc", "document_id").alias("document_id"), "job_id", F.lit("parsing").alias("status"), kept("_by", "provider_summary").alias("provider_summary"),
+        F.coalesce("_calls", F.lit(0)).alias("model_calls"), kept("_at", "created_at").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit(None).cast("string").alias("error_json"), F.col("_id").isNotNull().alias("reopened"),
+    )
+
+
 def finished_status(run_outcome: Column) -> tuple[Column, Column]:
     """A run's and its document's status from how the run ended: finished, failed, cancelled or interrupted."""
     run = F.when(run_outcome == "finished", "parsed").when(run_outcome == "cancelled", "cancelled").when(run_outcome == "interrupted", "interrupted").otherwise("failed")

@@ -339,14 +339,14 @@ def bbox_iou(spark, d):
 @query("""
 WITH r AS (SELECT source AS a, d.doc_id AS p, quality + 1 AS f, 2 - toxic AS t, CASE WHEN toxic = 1 AND quality = 0 THEN 0 ELSE 2 END AS e FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE source <> 'src3'),
 s AS (SELECT a, sum(f + t + e) / (3.0 * count(*)) AS avg, count(*) FILTER (e = 0) AS crit FROM r GROUP BY a)
-SELECT d.source AS assessment_id, CASE WHEN d.source = 'src3' THEN 'review_required' WHEN avg >= 1.5 AND coalesce(crit, 0) = 0 THEN 'passed' ELSE 'failed' END AS quality_status, coalesce(round(round(avg, 3), 1), 0.0) AS average, coalesce(crit, 0) AS criticals
+SELECT d.source AS assessment_id, CASE WHEN d.source = 'src3' THEN 'review_required' WHEN avg >= 1.5 AND coalesce(crit, 0) = 0 THEN 'passed' ELSE 'failed' END AS quality_status, coalesce(round(avg, 3), 0.0) AS average, coalesce(crit, 0) AS criticals
 FROM (SELECT DISTINCT source FROM documents d JOIN labels l ON d.doc_id = l.doc_id) d LEFT JOIN s ON d.source = s.a""")
 def scorecard(spark, d):
     both = table(spark, d, "documents", "doc_id", "source").join(table(spark, d, "labels"), "doc_id")
     a = both.groupBy(F.col("source").alias("assessment_id")).agg(F.lit("formal_scorecard").alias("profile"), F.collect_list(F.col("doc_id").cast("int")).alias("pages"), F.lit(1.5).alias("minimum_average"))
     scores = F.create_map(F.lit("text"), F.col("quality") + 1, F.lit("structure"), 2 - F.col("toxic"), F.lit("source_evidence"), F.when((F.col("toxic") == 1) & (F.col("quality") == 0), 0).otherwise(2))
     r = both.filter("source <> 'src3'").select(F.col("source").alias("assessment_id"), F.col("doc_id").cast("int").alias("page_no"), F.lit("pass").alias("verdict"), scores.alias("scores"), F.array().cast("array<string>").alias("critical_errors"), F.col("doc_id").alias("seq"))
-    return evaluate.scorecard(a, r).select("assessment_id", "quality_status", F.round("average_score", 1).alias("average"), F.size("critical_failures").cast("long").alias("criticals"))
+    return evaluate.scorecard(a, r).select("assessment_id", "quality_status", F.col("average_score").alias("average"), F.size("critical_failures").cast("long").alias("criticals"))
 
 
 @query("""
@@ -400,7 +400,7 @@ def document_concat(spark, d):
 
 
 @query("""
-WITH t AS (SELECT o_orderkey AS id, o_orderkey AS pos FROM orders WHERE o_orderkey % 4 = 0), b AS (SELECT l_orderkey AS id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey)
+WITH t AS (SELECT o_orderkey AS id, o_orderkey AS pos FROM orders ), b AS (SELECT l_orderkey AS id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey)
 SELECT t.pos, t.id, CASE WHEN o.o_custkey > 700 THEN 'document' WHEN o.o_orderstatus = 'P' THEN 'parsing' WHEN o.o_orderkey % 5 = 0 THEN 'artifacts' WHEN t.id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'protected: has_extractions' END AS refusal, coalesce(n, 0) AS reclaimable_bytes
 FROM t JOIN orders o ON t.id = o.o_orderkey LEFT JOIN b ON t.id = b.id""")
 def prune_plan(spark, d):
@@ -408,7 +408,7 @@ def prune_plan(spark, d):
     r = o.selectExpr("o_orderkey AS id", "CASE WHEN o_custkey > 700 THEN 'other' ELSE 'doc' END AS document_id", "CASE o_orderstatus WHEN 'P' THEN 'parsing' ELSE 'parsed' END AS status", "CASE WHEN o_orderkey % 5 = 0 THEN 'pruned' END AS artifact_state")
     flags = r.select("id", "document_id").join(table(spark, d, "lineitem").filter("l_returnflag = 'R'").selectExpr("l_orderkey AS id", "true AS has_extractions").distinct(), "id", "left").na.fill(False)
     artifacts = table(spark, d, "lineitem", "l_orderkey AS run_id", "'page_json' AS kind", "'' AS content_hash", "CAST(l_quantity AS BIGINT) AS size_bytes")
-    return maintenance.prune_plan(o.filter("o_orderkey % 4 = 0").selectExpr("o_orderkey AS id", "o_orderkey AS pos"), r, flags, artifacts, "doc", -1)
+    return maintenance.prune_plan(o.selectExpr("o_orderkey AS id", "o_orderkey AS pos"), r, flags, artifacts, "doc", -1)
 
 
 @query("""

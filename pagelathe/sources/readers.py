@@ -59,6 +59,14 @@ def lookup(df: DataFrame, **keys) -> DataFrame:
     return df.limit(1)
 
 
+def locate(resources: DataFrame, wanted: DataFrame, key: str, home: str = "case_id") -> DataFrame:
+    """wanted: key. Where each lies: outcome found (with home), missing, or conflict where more than one home holds it."""
+    held = resources.groupBy(key).agg(F.countDistinct(home).alias("_n"), F.min(home).alias(home))
+    df = wanted.select(key).distinct().join(held, key, "left")
+    outcome = F.when(F.coalesce("_n", F.lit(0)) == 0, "missing").when(F.col("_n") > 1, "conflict").otherwise("found")
+    return df.select(key, F.when(F.col("_n") == 1, F.col(home)).alias(home), outcome.alias("outcome"))
+
+
 def sql(spark: SparkSession, text: str, **values) -> DataFrame:
     """A parameterised statement."""
     return spark.sql(text, args=values)

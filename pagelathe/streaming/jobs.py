@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE = ("queued", "running", "cancel_requested")
@@ -69,8 +69,7 @@ def sweep(job: Job, now: datetime, recover_cancelled: bool = False) -> Job:
 
 
 def step(jobs: dict[str, Job], e: Event, recover_cancelled: bool = False) -> tuple[dict[str, Job], Job | None, bool, str]:
-    """The jobs of one queue key after an event; the job it met, whether it took effect, and why not."""
-    jobs = dict(jobs)
+    """The jobs of one queue key after an event (jobs itself, changed); the job it met, whether it took effect, and why not."""
     if e.event == "enqueue":
         for job in jobs.values():
             if job.status in ACTIVE:
@@ -78,13 +77,12 @@ def step(jobs: dict[str, Job], e: Event, recover_cancelled: bool = False) -> tup
         job = jobs[e.job_id] = Job(e.job_id, e.seq, max_attempts=e.max_attempts)
         return jobs, job, True, "created"
     if e.event in ("claim", "tick"):
-        jobs = {k: sweep(j, e.ts, recover_cancelled) for k, j in jobs.items()}
+        jobs.update({k: sweep(j, e.ts, recover_cancelled) for k, j in jobs.items() if j.lease_expires_at is not None})
         if e.event == "tick":
             return jobs, None, True, "swept"
-        waiting = sorted((j for j in jobs.values() if j.status == "queued"), key=lambda j: j.created_seq)
-        if not waiting:
+        job = min((j for j in jobs.values() if j.status == "queued"), key=lambda j: j.created_seq, default=None)
+        if job is None:
             return jobs, None, False, "nothing queued"
-        job = waiting[0]
         job = replace(job, status="running", attempt=job.attempt + 1, lease_owner=e.worker, lease_expires_at=e.ts + timedelta(seconds=e.lease_seconds), started_at=job.started_at or e.ts)
     else:
         # Without an id an event is about the newest job of its key.
@@ -120,6 +118,16 @@ def step(jobs: dict[str, Job], e: Event, recover_cancelled: bool = False) -> tup
     return jobs, job, True, ""
 
 
+def forget(jobs: dict[str, Job]) -> None:
+    """Drop finished jobs but the newest job: of a key at most one job is active, so what is held doesn't grow with its history.
+
+    A later event about a dropped job meets an unknown one; on a finished job it would have had no effect either.
+    """
+    newest = max((j.created_seq for j in jobs.values()), default=0)
+    for k in [k for k, j in jobs.items() if j.status not in ACTIVE and j.created_seq < newest]:
+        del jobs[k]
+
+
 FIELDS = [x.split()[0] for x in EVENT.split(", ")]
 
 
@@ -150,8 +158,8 @@ def fold(events: DataFrame, recover_cancelled: bool = False) -> DataFrame:
                     key, jobs = row["queue_key"], {}
                 e = _event(row)
                 jobs, job, ok, detail = step(jobs, e, recover_cancelled)
-                # Only active jobs, and the newest, can be met again without their id.
                 out.append(_outcome(key, e, job, ok, detail))
+                forget(jobs)
             yield pd.DataFrame(out, columns=columns)
 
     return events.select(*FIELDS).repartition("queue_key").sortWithinPartitions("queue_key", "seq").mapInPandas(run, OUTCOME)
@@ -199,6 +207,7 @@ def stream(events: DataFrame, recover_cancelled: bool = False) -> DataFrame:
             e = _event(row)
             jobs, job, ok, detail = step(jobs, e, recover_cancelled)
             out.append(_outcome(key[0], e, job, ok, detail))
+            forget(jobs)
         state.update((json.dumps([asdict(j) for j in jobs.values()], default=lambda t: t.isoformat()),))
         yield pd.DataFrame(out, columns=columns)
 
@@ -210,3 +219,29 @@ def enqueue_absent(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     keys = ["aggregate_id", "kind", "input_version"]
     first = requests.groupBy(*keys).agg(F.min("seq").alias("seq"))
     return first.join(jobs.filter(F.col("status").isin(*ACTIVE)).select(*keys).distinct(), keys, "left_anti")
+
+
+def claim(jobs: DataFrame, claims: DataFrame, now, lease_seconds: int = 120) -> DataFrame:
+    """The whole job table after some workers' claims at one time: leases that ran out are swept first, then the oldest queued jobs of all go to the claims in their order.
+
+    jobs: id, status, attempt, max_attempts, lease_owner, lease_expires_at, created_at, started_at, finished_at, error_json.
+    claims: seq, worker (few: one a waiting worker). Adds claimed: whether a claim of this call got the job.
+    """
+    now = F.lit(now).cast("timestamp_ntz")
+    out = (F.col("status") == "running") & (F.col("lease_expires_at") < now)
+    again = F.col("attempt") < F.col("max_attempts")
+    none = lambda c: F.when(~F.coalesce(out, F.lit(False)), F.col(c))
+    swept = jobs.withColumns({
+        "status": F.when(out & again, "queued").when(out, "failed").otherwise(F.col("status")), "lease_owner": none("lease_owner"), "lease_expires_at": none("lease_expires_at"),
+        "error_json": F.when(out & ~again, F.lit('{"code":"lease_expired"}')).otherwise(F.col("error_json")), "finished_at": F.when(out & ~again, now).otherwise(F.col("finished_at")),
+    })
+    # As many of the oldest as there are claims: a bounded top list, numbered in one place.
+    order = Window.orderBy("created_at", "id")
+    oldest = swept.filter("status = 'queued'").select("id", "created_at").orderBy("created_at", "id").limit(claims.count()).withColumn("_n", F.row_number().over(order))
+    taken = oldest.join(claims.select("worker", F.row_number().over(Window.orderBy("seq")).alias("_n")), "_n").select("id", F.col("worker").alias("_worker"))
+    df = swept.join(F.broadcast(taken), "id", "left").withColumn("claimed", F.col("_worker").isNotNull())
+    got = lambda new, old: F.when(F.col("claimed"), new).otherwise(F.col(old))
+    return df.withColumns({
+        "status": got(F.lit("running"), "status"), "lease_owner": got(F.col("_worker"), "lease_owner"), "lease_expires_at": got(now + F.make_dt_interval(secs=F.lit(lease_seconds)), "lease_expires_at"),
+        "attempt": got(F.col("attempt") + 1, "attempt"), "started_at": got(F.coalesce("started_at", now), "started_at"),
+    }).drop("_worker")
