@@ -79,7 +79,8 @@ def is_revision(commit: Column, dirty: Column, diff_hash: Column) -> Column:
 
 
 def data_url(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    # Spark breaks the text into lines, which an address must not have.
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def mime_of(path: Column) -> Column:

@@ -28,7 +28,7 @@ def protection_flags(runs: DataFrame, documents: DataFrame, pages: DataFrame, ev
 
 
 def prune_plan(targets: DataFrame, runs: DataFrame, flags: DataFrame, artifacts: DataFrame, document_id, keep) -> DataFrame:
-    """targets: pos, id. Of each distinct target in order: why it is refused (null: it may go), and the bytes it frees."""
+    """targets: pos, id. Of each distinct target, with its first place: why it is refused (null: it may go), and the bytes it frees."""
     first = targets.groupBy("id").agg(F.min("pos").alias("pos"))
     df = first.join(runs.select("id", F.col("document_id").alias("_doc"), "status", F.coalesce("artifact_state", F.lit("available")).alias("_state")), "id", "left")
     named = [c for c in flags.columns if c not in ("id", "document_id")]
@@ -38,7 +38,7 @@ def prune_plan(targets: DataFrame, runs: DataFrame, flags: DataFrame, artifacts:
         F.when(F.col("_doc").isNull(), "unknown").when(F.col("_doc") != document_id, "document").when(F.col("id") == keep, "kept").when(F.col("status") == "parsing", "parsing")
         .when(F.col("_state") != "available", "artifacts").when(held != "", F.concat(F.lit("protected: "), held))
     )
-    return df.select("pos", "id", refusal.alias("refusal"), F.coalesce("reclaimable_bytes", F.lit(0)).cast("long").alias("reclaimable_bytes")).orderBy("pos")
+    return df.select("pos", "id", refusal.alias("refusal"), F.coalesce("reclaimable_bytes", F.lit(0)).cast("long").alias("reclaimable_bytes"))
 
 
 def reclaimable(plan: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def append_review(events: DataFrame, new: DataFrame) -> DataFrame:
 
 def accepted_pages(pages: DataFrame) -> DataFrame:
     """Accepted pages that carry knowledge; blank ones stay."""
-    return pages.filter((F.col("review_status") == "accepted") & ~F.col("page_kind").isin("reference", "visualization")).orderBy("document_id", "page_no")
+    return pages.filter((F.col("review_status") == "accepted") & ~F.col("page_kind").isin("reference", "visualization"))
 
 
 def pending(wanted: DataFrame, reviews: DataFrame, key: str = "page_no") -> DataFrame:

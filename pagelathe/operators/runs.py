@@ -26,14 +26,14 @@ def artifact_totals(artifacts: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def artifacts_by_kind(artifacts: DataFrame, *keys: str) -> DataFrame:
-    return artifacts.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("size_bytes")).orderBy(*keys, "kind")
+    return artifacts.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("size_bytes"))
 
 
 STATS = {"page_count": "bigint", "first_page": "int", "last_page": "int", "accepted_count": "bigint", "rejected_count": "bigint", "needs_review_count": "bigint", "artifact_count": "bigint", "artifact_bytes": "bigint", "manifest_hash": "string"}
 
 
 def run_summaries(runs: DataFrame, documents: DataFrame, pages: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Every run with its statistics, newest first. A pruned run's come from what pruning noted (prune_summary, JSON)."""
+    """Every run with its statistics, unsorted (``newest_first`` sorts for display). A pruned run's come from what pruning noted (prune_summary, JSON)."""
     current = documents.select(F.col("id").alias("document_id"), F.col("current_parse_run_id"))
     df = runs.join(current, "document_id", "left").withColumn("is_current", F.coalesce(F.col("current_parse_run_id") == F.col("id"), F.lit(False)))
     df = df.join(page_stats(pages).withColumnRenamed("run_id", "id"), "id", "left").join(artifact_totals(artifacts).withColumnRenamed("run_id", "id"), "id", "left")
@@ -42,7 +42,7 @@ def run_summaries(runs: DataFrame, documents: DataFrame, pages: DataFrame, artif
     zero = {k: F.lit(0) for k in STATS if k.endswith(("_count", "_bytes"))}
     kept = {k: F.coalesce(F.col(k), zero[k]) if k in zero else F.col(k) for k in STATS}
     df = df.withColumns({k: F.when(F.col("_pruned"), F.col(f"_tomb.{k}")).otherwise(kept[k]).cast(t) for k, t in STATS.items()})
-    return df.drop("_tomb", "_pruned", "current_parse_run_id").orderBy(F.desc("created_at"), "id")
+    return df.drop("_tomb", "_pruned", "current_parse_run_id")
 
 
 def require_available(runs: DataFrame) -> DataFrame:
@@ -51,15 +51,15 @@ def require_available(runs: DataFrame) -> DataFrame:
 
 
 def current_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of each document's current run, in order; a document without one has none."""
+    """Pages of each document's current run; a document without one has none."""
     run = documents.select(F.col("id").alias("document_id"), F.col("current_parse_run_id").alias("run_id")).filter("run_id IS NOT NULL")
-    return pages.join(run, ["document_id", "run_id"], "left_semi").orderBy("document_id", "page_no")
+    return pages.join(run, ["document_id", "run_id"], "left_semi")
 
 
 def page_index(pages: DataFrame) -> DataFrame:
     """Of a page's facts only what a list shows."""
     issues = F.coalesce(F.size("quality.issues"), F.lit(0))
-    return pages.select("run_id", "page_no", "page_kind", "review_status", F.coalesce("quality.status", F.lit("needs_review")).alias("quality_status"), issues.cast("int").alias("issue_count")).orderBy("run_id", "page_no")
+    return pages.select("run_id", "page_no", "page_kind", "review_status", F.coalesce("quality.status", F.lit("needs_review")).alias("quality_status"), issues.cast("int").alias("issue_count"))
 
 
 def search_index(index: DataFrame, query: str = "", only_issues: bool = False) -> DataFrame:
@@ -81,9 +81,9 @@ def select_current(requests: DataFrame, runs: DataFrame, documents: DataFrame) -
 
 
 def selection_history(selections: DataFrame, key: str = "document_id", value: str = "selected_run_id") -> DataFrame:
-    """Selections in order, each with what was selected before."""
+    """Selections, each with what was selected before."""
     w = Window.partitionBy(key).orderBy("created_at", "id")
-    return selections.withColumn("previous_run_id", F.lag(value).over(w)).orderBy(key, "created_at", "id")
+    return selections.withColumn("previous_run_id", F.lag(value).over(w))
 
 
 def latest_scoped(items: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -42,6 +42,19 @@ def replay(frozen: DataFrame) -> DataFrame:
     return frozen.select("run_id", F.col("page_no").cast("int").alias("page_no"), F.lit(1).alias("attempt"), "response", F.lit(None).cast("string").alias("error"), F.lit("ok").alias("outcome"))
 
 
+def replay_flaws(frozen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """frozen: run_id, page_no; wanted: run_id, source_hash, page_count, actual_hash (of the source as it is now). Why a run can't be replayed; no row where it can."""
+    n = frozen.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    df = wanted.join(manifest.pages_are_contiguous(frozen), "run_id", "left").join(n, "run_id", "left")
+    flaws = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("contiguous", F.lit(False)), "page numbers"), F.when(F.coalesce("_n", F.lit(0)) != F.col("page_count"), "page count"),
+            F.when(~F.col("source_hash").eqNullSafe(F.col("actual_hash")), "source hash"),
+        )
+    )
+    return df.select("run_id", F.explode(flaws).alias("flaw"))
+
+
 def extract_candidates(documents: DataFrame, all_pages: DataFrame, extractor: provider.Extractor, run_id: str) -> tuple[DataFrame, DataFrame]:
     """Candidates and edges from the accepted pages of documents' current runs."""
     accepted = reviews.accepted_pages(runs.current_pages(documents, all_pages))

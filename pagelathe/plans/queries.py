@@ -514,3 +514,7 @@ def select_current(spark, d):
     q = t.selectExpr("source AS document_id", "doc_id AS run_id", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'better' END AS reason", "true AS manifest_ok")
     docs = t.groupBy(F.col("source").alias("id")).agg(F.min("doc_id").alias("current_parse_run_id"))
     return runs.select_current(q, r, docs).select("run_id", F.coalesce("error", F.lit("")).alias("error"))
+
+
+# The rest of the queries register themselves with the names above.
+from pagelathe.plans import record_queries  # noqa: E402, F401

@@ -27,10 +27,10 @@ def list_resources(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def overlay(runtime: DataFrame, versioned: DataFrame, key: str) -> DataFrame:
-    """Union in which a runtime row hides the versioned rows of its key; in order of the key."""
+    """Union in which a runtime row hides the versioned rows of its key; unsorted."""
     both = runtime.withColumn("_rank", F.lit(0)).unionByName(versioned.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy(key).orderBy("_rank"))
-    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_rank").orderBy(key)
+    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_rank")
 
 
 def import_files(files: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:

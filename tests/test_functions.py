@@ -80,3 +80,22 @@ def test_ids(spark):
 )
 def test_read_object(answer, want, repaired):
     assert repair.read_object(answer) == (want, repaired)
+
+
+def test_long_runs_of_blanks(spark):
+    """A megabyte of blanks, within a line, at its end and around the text, costs its length and not its square."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pagelathe.functions import text
+
+    run = " " * (1 << 20)
+    rows = [(1, f"a{run}b"), (2, f"a{run}\nb"), (3, f"{run}a{run}"), (4, run), (5, f"a |{run}| b\n| c{run}|")]
+    df = spark.createDataFrame(rows, "id long, x string")
+    began = time.perf_counter()
+    out = df.select("id", text.normalize_text(F.col("x")).alias("n"), text.table_matrix(F.col("x")).alias("m"), text.paragraphs(F.col("x")).alias("p"))
+    got = {r["id"]: r for r in out.collect()}
+    assert [len(got[i]["n"]) for i in (1, 2, 3, 4)] == [len(run) + 2, 3, 1, 0] and got[2]["n"] == "a\nb"
+    assert got[5]["m"] == [["a", "", "b"], ["c"]] and got[4]["p"] == []
+    assert time.perf_counter() - began < 20

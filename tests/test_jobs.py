@@ -95,3 +95,42 @@ def test_enqueue_absent(spark):
 
 def test_job_defaults():
     assert Job("a", 1).max_attempts == 3 and pd.isna(pd.NaT) and F is not None
+
+
+def test_held_jobs_stay_few():
+    state = {}
+    for i in range(0, 300, 3):
+        for k, (name, extra) in enumerate((("enqueue", {"job_id": f"j{i}"}), ("claim", {"worker": "w"}), ("complete", {"worker": "w"}))):
+            state, _, ok, _ = step(state, Event(i + k, T0 + timedelta(seconds=i + k), name, **extra))
+            jobs.forget(state)
+            assert ok and len(state) <= 2
+    assert [j.status for j in state.values()] == ["succeeded"]
+
+
+def test_global_claim_by_brute_force(spark):
+    """One worker after the other, over the whole table, as a row-by-row program would claim."""
+    import random
+
+    rng = random.Random(3)
+    now = T0 + timedelta(hours=1)
+    rows = []
+    for i in range(80):
+        status = rng.choice(["queued", "running", "running", "succeeded", "cancel_requested"])
+        lease = T0 + timedelta(minutes=rng.choice([10, 60, 90])) if status in ("running", "cancel_requested") else None
+        rows.append({"id": i, "status": status, "attempt": rng.randrange(4), "max_attempts": 3, "lease_owner": "old" if lease else None, "lease_expires_at": lease, "created_at": T0 + timedelta(seconds=rng.randrange(20)), "started_at": lease and T0, "finished_at": None, "error_json": None})
+    schema = "id long, status string, attempt int, max_attempts int, lease_owner string, lease_expires_at timestamp_ntz, created_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz, error_json string"
+    for workers in (0, 1, 7, 200):
+        table = {r["id"]: dict(r, claimed=False) for r in rows}
+        for w in range(workers):
+            for r in table.values():
+                if r["status"] == "running" and r["lease_expires_at"] < now:
+                    again = r["attempt"] < r["max_attempts"]
+                    r.update(status="queued" if again else "failed", lease_owner=None, lease_expires_at=None, error_json=None if again else '{"code":"lease_expired"}', finished_at=None if again else now)
+            waiting = sorted((r for r in table.values() if r["status"] == "queued"), key=lambda r: (r["created_at"], r["id"]))
+            if waiting:
+                waiting[0].update(status="running", lease_owner=f"w{w:03d}", lease_expires_at=now + timedelta(seconds=30), attempt=waiting[0]["attempt"] + 1, started_at=waiting[0]["started_at"] or now, claimed=True)
+        claims = spark.createDataFrame([(w, f"w{w:03d}") for w in range(workers)], "seq long, worker string")
+        got = {r["id"]: r.asDict() for r in jobs.claim(spark.createDataFrame([tuple(r.values()) for r in rows], schema), claims, now, 30).collect()}
+        if workers:
+            assert got == table
+        assert sum(r["claimed"] for r in got.values()) == sum(r["claimed"] for r in table.values())

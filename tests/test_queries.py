@@ -32,3 +32,24 @@ def test_scans_are_pruned(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
     top = runs.latest(spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey"), ["o_custkey"], [__import__("pyspark").sql.functions.desc("o_orderkey")])
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_diffs_by_difflib(spark):
+    import difflib
+    import hashlib
+
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    pairs = {}
+    for i, r in rows.items():
+        pairs.setdefault((r["source"], i // 2), {})[i % 2] = r
+    got = {(r["comparison_id"], r["page_no"]): r for r in QUERIES["page_text_diffs"](spark, DATA).collect()}
+    assert got.keys() == pairs.keys()
+    for key, sides in pairs.items():
+        lines = lambda r: "\n".join(x.rstrip() for x in r["text"].replace("\r\n", "\n").split("\n")).strip().splitlines()
+        want = list(difflib.unified_diff(lines(sides[0]), lines(sides[1]), lineterm="")) if len(sides) == 2 else []
+        assert got[key]["hash"] == hashlib.sha256("\n".join(want).encode()).hexdigest()
+        assert (got[key]["added"], got[key]["taken"]) == tuple(sum(x[0] == c for x in want) for c in "+-")
+
+
+def test_scorecard_averages_have_three_decimals(spark):
+    assert any(round(r["average"], 1) != r["average"] for r in QUERIES["scorecard"](spark, DATA.replace("0.001", "0.01")).collect())
