@@ -18,8 +18,8 @@ comparisons of sizes, distances to pivots and bitmaps, but in blocks of bounded
 work, and only pairs that may be linked become rows. Candidates are bounded by shared pivots and places in the order, and
 verified against the whole sets, so the result is exact but for 64-bit hashes.
 
-Equal sets are one point of the space: copies are never paired. A component or a text with a large share of all
-documents is no single task's work: such keys are joined by broadcast (``join_hot``).
+Equal sets are one point of the space: copies are never paired. Names of components reach documents by joins on
+components and texts, of narrow rows: where one has a large share of all, that the session splits (adaptive execution).
 
 Defined results: null or empty texts and texts without words have an empty set and no links; a null doc_id never names a
 component unless all of the component's ids are null; repeated rows are copies; extra columns are ignored.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import batches as bound_batches
-from pagelathe.llm.common import cut, join_hot, parts_of, release, small_side
+from pagelathe.llm.common import cut, parts_of, release, small_side
 from pagelathe.llm.components import components
 from pagelathe.llm.shingles import fingerprint, shingle_sets
 
@@ -364,11 +364,16 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     second = lambda df, *more: df.select("cell", *[F.col(k).alias(v) for k, v in as_b.items()], *more)
     outer = by.filter("home IS NULL")
     # Those outside of all regions go to every block of the cell's members, these to the one that their hash says: no
-    # block has more than about BLOCKED members, so a large cell is many tasks' work.
-    blocks = by.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCKED).alias("blocks"))
-    own = lambda df: df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).drop("blocks")
-    every = lambda df: df.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    others = every(second(outer))
+    # block has more than about BLOCKED members, so a large cell is many tasks' work. Where no cell is that large, each is
+    # one block, and nothing has to be told of their sizes.
+    members = by.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
+    if (members.agg(F.max("members")).first()[0] or 0) > BLOCKED:
+        blocks = members.select("cell", F.ceil(F.col("members") / BLOCKED).alias("blocks"))
+        own = lambda df: df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).drop("blocks")
+        others = second(outer).join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    else:
+        own = lambda df: df.withColumn("block", F.lit(0))
+        others = second(outer).withColumn("block", F.lit(0))
     # Compared with whatever of the regions may be linked.
     far = own(by.filter("home IS NOT NULL")).join(others, ["cell", "block"]).filter(_may_link()).select("a", "b")
     # Among themselves: outright where they are few or on the last level, else as a cell of the next.
@@ -433,14 +438,9 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     links.append(measured(cut(rest.filter("ra <> rb").select("a", "b"), "second"), near_points).filter(LINKED).select("a", "b"))
     all_links = reduce(DataFrame.unionByName, links)
     roots = components(all_links)
-    own = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    whole = cut(own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "copies"), "whole")
-    sizes = whole.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    # Components and texts with a large share of all documents are told to the rows.
-    heads = cut(whole.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "heads")
-    named = join_hot(whole, heads, F.col("root") == F.col("r"), "members", sizes[0]).select(F.col("fp").alias("f"), "root", "component_id", "copies")
-    joined = join_hot(points.filter("n > 0"), cut(named, "named"), F.col("fp") == F.col("f"), "copies", sizes[1])
-    joined = joined.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
+    whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
     return joined.unionByName(points.filter("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("fp")))
 
 
@@ -520,10 +520,9 @@ def count_links(docs: DataFrame, size: int = 5, **options) -> DataFrame:
     rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "copies", "text")
     rows = rows.repartition(parts_of(docs), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     found = rows.mapInArrow(_count_links(size), "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
-    told = sets.join(found, "fp", "left").select(F.col("fp").alias("f"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    some = join_hot(groups.filter("root IS NOT NULL"), cut(told, "links"), F.col("fp") == F.col("f"), "copies", groups.count())
-    some = some.unionByName(groups.filter("root IS NULL"), allowMissingColumns=True)
-    return some.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    told = sets.join(found, "fp", "left").select("fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).filter("n_links > 0")
+    told = small_side(cut(told, "links"), SHIPPED_PAIRS)
+    return groups.join(told, "fp", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -533,9 +532,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     groups = cut(group_documents(docs, **options).filter("root IS NOT NULL").select("doc_id", "key", "root"), "groups")
     one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    ids = cut(groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c")), "ids")
-    best = cut(ids.groupBy(F.col("root").alias("r")).agg(F.min(one).alias("best"), F.count(F.lit(1)).alias("members")), "best")
-    ids = join_hot(ids, best, F.col("root") == F.col("r"), "members", ids.count()).select(F.col("doc_id").alias("gid"), F.col("key").alias("gkey"), (one != F.col("best")).alias("out"), "c")
+    ids = groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("c"))
+    best = ids.groupBy("root").agg(F.min(one).alias("best"))
+    ids = ids.join(best, "root").select(F.col("doc_id").alias("gid"), F.col("key").alias("gkey"), (one != F.col("best")).alias("out"), "c")
     ids = cut(ids.filter("out OR c > 1"), "leave")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("gid0"), F.xxhash64("text").alias("gkey0"))
     same = F.col("gid0").eqNullSafe(F.col("gid")) & (F.col("gkey0") == F.col("gkey"))
