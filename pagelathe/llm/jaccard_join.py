@@ -339,10 +339,11 @@ def _may_link():
 def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cells: cell, a, n, bits, shared. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
     # Pivots: the square root of the cell's size, of the members that share most of its first pivots, so in its middle.
-    sizes = cells.groupBy("cell").agg(F.least(F.lit(most), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"))
+    sizes = cells.groupBy("cell").agg(F.least(F.lit(most), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"), F.count(F.lit(1)).alias("members"))
     order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
     picked = cells.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).join(sizes, "cell").filter("r <= few")
-    picked = small_side(cut(picked.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits")), "pivots"))
+    pivots = cut(picked.select("cell", F.col("a").alias("p"), F.col("n").alias("np"), F.col("bits").alias("pbits"), "members"), "pivots")
+    picked = small_side(pivots.drop("members"))
     # Bitmaps, then sketches, tell which distances are surely above 2t (left out), above t (-1), or have to be measured.
     two = cells.join(picked, "cell").filter("a <> p").withColumn("off", _bits_apart("bits", "pbits")).withColumn("both", F.col("n") + F.col("np"))
     two = two.filter(f"off * {2 * NUM} <= {2 * (DEN - NUM)} * both").withColumn("likely", F.expr(f"off * {NUM + DEN} <= {DEN - NUM} * both"))
@@ -366,9 +367,8 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     # Those outside of all regions go to every block of the cell's members, these to the one that their hash says: no
     # block has more than about BLOCKED members, so a large cell is many tasks' work. Where no cell is that large, each is
     # one block, and nothing has to be told of their sizes.
-    members = by.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-    if (members.agg(F.max("members")).first()[0] or 0) > BLOCKED:
-        blocks = members.select("cell", F.ceil(F.col("members") / BLOCKED).alias("blocks"))
+    if (pivots.agg(F.max("members")).first()[0] or 0) > BLOCKED:
+        blocks = pivots.select("cell", F.ceil(F.col("members") / BLOCKED).alias("blocks")).distinct()
         own = lambda df: df.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).drop("blocks")
         others = second(outer).join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     else:
