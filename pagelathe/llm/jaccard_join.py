@@ -315,7 +315,7 @@ LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 def _thinned(links: DataFrame) -> DataFrame:
     """As connected as links, with one link for each document a and a few between pivots b: a's pivots hang on its least."""
     both = links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
-    return both.select("a", F.col("m").alias("b")).unionByName(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    return both.select("a", F.col("m").alias("b")).unionByName(both.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _bits_apart(x: str, y: str):
@@ -337,7 +337,7 @@ def _may_link():
 
 
 def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """cells: cell, a, n, bits, shared. One level of document pivots: links found, pairs (a, b) to compare, and the cells of the next level."""
+    """cells: cell, a, n, bits, shared. One level of document pivots: roots of nodes by all links so far, pairs (a, b) to compare, and the cells of the next level."""
     # Pivots: the square root of the cell's size, of the members that share most of its first pivots, so in its middle.
     sizes = cells.groupBy("cell").agg(F.least(F.lit(most), F.greatest(F.lit(3), F.ceil(F.sqrt(F.count(F.lit(1)))))).alias("few"), F.count(F.lit(1)).alias("members"))
     order = Window.partitionBy("cell").orderBy(F.desc("shared"), F.xxhash64("a"), "a")
@@ -351,14 +351,14 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     asked = cut(pruned(two.filter("likely").select("a", "b"), points, 2 * NUM - DEN), "near")
     asked = asked.unionByName(two.filter("NOT likely"))
     found = cut(measured(asked.filter("likely"), points), "distances")
-    links_here = cut(_thinned(found.filter(LINKED).select("a", "b")), "own")
-    roots = components(reduce(DataFrame.unionByName, [*links, links_here])).select(F.col("node").alias("a"), "root")
+    known = components(reduce(DataFrame.unionByName, [*links, _thinned(found.filter(LINKED).select("a", "b"))]))
+    roots = known.select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
     told = found.select("a", F.col("b").alias("p"), d).unionByName(asked.filter("NOT likely").select("a", F.col("b").alias("p"), F.lit(-1.0).alias("d")))
     near = cells.select("cell", "a").join(picked.select("cell", "p"), "cell").join(told, ["a", "p"], "left")
     near = near.withColumn("d", F.when(F.col("a") == F.col("p"), 0.0).otherwise(F.col("d")))
-    known = F.when(F.col("d").isNotNull(), F.struct("p", "d"))
-    by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d") >= 0, F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(known))).alias("to"))
+    told_of = F.when(F.col("d").isNotNull(), F.struct("p", "d"))
+    by = near.groupBy("cell", "a").agg(F.min(F.when(F.col("d") >= 0, F.struct("d", "p"))).alias("m"), F.map_from_entries(F.array_sort(F.collect_list(told_of))).alias("to"))
     by = by.select("cell", "a", "to", F.when(F.col("m.d") <= T, F.col("m.p")).alias("home")).join(cells, ["cell", "a"]).join(roots, "a", "left")
     by = cut(by.withColumn("root", F.coalesce("root", "a")), "homes")
     as_b = {"a": "b", "n": "nb", "to": "tb", "bits": "bitsb", "root": "rootb"}
@@ -388,7 +388,12 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     edge = edge.join(linked_to, "p").filter("proot <> root")
     other = second(edge, F.col("home").alias("p"), F.col("p").alias("home"))
     across = edge.filter("home < p").join(other, ["cell", "home", "p"]).filter(_may_link()).select("a", "b")
-    return links_here, far.unionByName(apart).unionByName(across), deeper
+    return known, far.unionByName(apart).unionByName(across), deeper
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    """What is known of components as links, as connected as those that it was found by."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFrame:
@@ -421,8 +426,8 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     cells = cells.join(near_points.sketches.select(F.col("fp").alias("a"), "bits"), "a").dropDuplicates(["cell", "a"])
     while cells.head(1):
         level += 1
-        near, rest, cells = _split(cells, near_points, links, small, PIVOTS[level - 1], level == len(PIVOTS))
-        links.append(near)
+        roots, rest, cells = _split(cells, near_points, links, small, PIVOTS[level - 1], level == len(PIVOTS))
+        links = [_as_links(roots)]
         left.append(cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left"))
         cells = cut(cells, "cells")
     pairs = cut(reduce(DataFrame.unionByName, left).distinct(), "candidates") if level else pairs
@@ -430,14 +435,13 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
     likely = cut(pruned(pairs, near_points).select("a", "b"), "likely")
     ends = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
     first = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    links.append(cut(measured(first, near_points).filter(LINKED).select("a", "b"), "firstlinks"))
+    links.append(measured(first, near_points).filter(LINKED).select("a", "b"))
     roots = components(reduce(DataFrame.unionByName, links))
     rest = likely.join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-    links.append(measured(cut(rest.filter("ra <> rb").select("a", "b"), "second"), near_points).filter(LINKED).select("a", "b"))
-    all_links = reduce(DataFrame.unionByName, links)
-    roots = components(all_links)
+    second = cut(rest.filter("ra <> rb").select("a", "b"), "second")
+    roots = components(_as_links(roots).unionByName(measured(second, near_points).filter(LINKED).select("a", "b")))
     whole = points.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     joined = points.filter("n > 0").join(named, "fp").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root", "fp")
