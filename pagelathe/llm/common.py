@@ -50,10 +50,28 @@ def _clean() -> None:
             delete_path(spark, path)
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+#: Rows of a few narrow columns that a file of an intermediate table holds where their number is known.
+FILE_ROWS = 100_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many narrow rows, in no more partitions than give each core two and each partition FILE_ROWS.
+
+    Only for what a shuffle has dealt by distinct pairs, where no key is hot: it would join again what a skewed join was split into.
+    """
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return df.coalesce(parts) if parts < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def cut(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    rows: about how many rows it has at most, if known; small tables are then written as few files.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
+    df = df if rows is None else few_files(df, rows)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

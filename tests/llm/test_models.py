@@ -546,6 +546,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(8 * cores))
+        rows = spark.range(1000).repartition(8 * cores, "id")
+        assert common.few_files(rows, 1000).rdd.getNumPartitions() == 2 * cores
+        assert common.few_files(rows, 3 * cores * common.FILE_ROWS).rdd.getNumPartitions() == 3 * cores
+        assert common.few_files(rows, 10**9).rdd.getNumPartitions() == 8 * cores
+        assert sorted(r.id for r in common.cut(rows, "few", 1000).collect()) == list(range(1000))
+        # A path of links takes rounds, so its tables are written as few files.
+        got = dict(map(tuple, components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()))
+        assert got == dict.fromkeys(range(41), 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_links_by_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
