@@ -348,10 +348,9 @@ def _split(cells: DataFrame, points: Points, links: list[DataFrame], small: int,
     two = cells.join(picked, "cell").filter("a <> p").withColumn("off", _bits_apart("bits", "pbits")).withColumn("both", F.col("n") + F.col("np"))
     two = two.filter(f"off * {2 * NUM} <= {2 * (DEN - NUM)} * both").withColumn("likely", F.expr(f"off * {NUM + DEN} <= {DEN - NUM} * both"))
     two = cut(two.select("a", F.col("p").alias("b"), "likely").distinct(), "asked")
-    rows = two.count()
-    asked = cut(pruned(two.filter("likely").select("a", "b"), points, 2 * NUM - DEN), "near", rows)
+    asked = cut(pruned(two.filter("likely").select("a", "b"), points, 2 * NUM - DEN), "near")
     asked = asked.unionByName(two.filter("NOT likely"))
-    found = cut(measured(asked.filter("likely"), points), "distances", rows)
+    found = cut(measured(asked.filter("likely"), points), "distances")
     known = components(reduce(DataFrame.unionByName, [*links, _thinned(found.filter(LINKED).select("a", "b"))]))
     roots = known.select(F.col("node").alias("a"), "root")
     d = (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d")
@@ -433,10 +432,9 @@ def group_documents(docs: DataFrame, size: int = 5, small: int = 24) -> DataFram
         cells = cut(cells, "cells")
     pairs = cut(reduce(DataFrame.unionByName, left).distinct(), "candidates") if level else pairs
     # In two steps: each document and its least neighbour first, then only pairs that those links leave apart.
-    rows = pairs.count()
-    likely = cut(pruned(pairs, near_points).select("a", "b"), "likely", rows)
+    likely = cut(pruned(pairs, near_points).select("a", "b"), "likely")
     ends = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-    first = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first", rows)
+    first = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first", likely.count())
     links.append(measured(first, near_points).filter(LINKED).select("a", "b"))
     roots = components(reduce(DataFrame.unionByName, links))
     rest = likely.join(first, ["a", "b"], "left_anti")
