@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import binary_output, jaccard_join, langid, mixing, quality_rules, sentencepieces, sharding, topk, toxicity, url_reputation
+from pagelathe.llm import binary_output, jaccard_join, langid, mixing, quality_rules, sentencepieces, sharding, substring_dedup, topk, toxicity, turn_trie, url_reputation, vector_codes
 from pagelathe.llm.common import load
 
 # ---------------------------------------------------------------- 1: mixing
@@ -214,6 +214,78 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_records(spark, manifest, ids=False)
 
 
+# ------------------------------------------------------------ 11: vector codes
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every distance in whole numbers; ties by index."""
+    whole = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+    out = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {whole} AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, k, e[k * (len(e) // {parts}) + 1 : (k + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) t(k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS i, x AS c FROM p WHERE r <= {entries})"""
+    for n in range(rounds + 1):
+        out += f""",
+a{n} AS MATERIALIZED (SELECT r, k, (best).i AS i, (best).d AS d FROM (SELECT p.r, p.k, min({{'d': CAST(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT), 'i': i}}) AS best FROM p JOIN b{n} b ON p.k = b.k GROUP BY p.r, p.k))"""
+        if n < rounds:
+            out += f""",
+s{n} AS (SELECT k, i, j, CAST(floor(CAST(sum(x[j]) AS DECIMAL(38, 0)) / count(*)) AS BIGINT) AS m FROM (SELECT p.k, i, x, unnest(range(1, len(x) + 1)) AS j FROM p JOIN a{n} a ON p.r = a.r AND p.k = a.k) GROUP BY k, i, j),
+b{n + 1} AS MATERIALIZED (SELECT b.k, b.i, coalesce(new.c, b.c) AS c FROM b{n} b LEFT JOIN (SELECT k, i, list(m ORDER BY j) AS c FROM s{n} GROUP BY k, i) new ON b.k = new.k AND b.i = new.i)"""
+    return f"""{out},
+f AS (SELECT r, string_agg(format('{{:02x}}', i), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, i)) FROM b{rounds}) AS codebooks_sha256
+FROM f JOIN v ON f.r = v.r"""
+
+
+# --------------------------------------------------------- 12: substring dedup
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT r, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i+19], ' ')))) AS x FROM d WHERE len(w) >= 20),
+k AS (SELECT r, i, row_number() OVER (PARTITION BY x ORDER BY r, i) AS nth FROM i),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM k WHERE nth > 1),
+x AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+o AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM x ANTI JOIN c USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON d.r = o.r"""
+
+
+# ------------------------------------------------- 13: conversation prefix trie
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_trie.turns_of(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return turn_trie.build(turn_trie.share_heads(turns))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text, by bits: DuckDB has no such function."""
+    byte = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: {byte}), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH h AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS MATERIALIZED (SELECT t.conv_id, list_concat(coalesce(g.t, [])[1:h.h], t.t[h.h + 1:]) AS t FROM t JOIN h ON t.conv_id = h.conv_id LEFT JOIN t g ON g.conv_id = t.conv_id - t.conv_id % 100),
+x AS MATERIALIZED (SELECT conv_id, len(t) AS n, d, md5(CAST(t[1:d] AS VARCHAR)) AS key, CASE WHEN d > 0 THEN md5(CAST(t[1:d - 1] AS VARCHAR)) END AS up, CASE WHEN d > 0 THEN length(t[d].text) ELSE 0 END AS size FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM b)),
+node AS MATERIALIZED (SELECT d, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM x GROUP BY d, key),
+kid AS MATERIALIZED (SELECT d - 1 AS d, up AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kid.n, 0) AS n_children FROM node LEFT JOIN kid ON node.d = kid.d AND node.key = kid.key),
+below AS (SELECT x.d, x.key, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved FROM full_ f JOIN x ON x.conv_id = f.conv_id AND x.d <= f.d GROUP BY x.d, x.key)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN below ON f.d = below.d AND f.key = below.key LEFT JOIN node p ON p.d = f.d - 1 AND p.key = f.up"""
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_topk": op2_exact_topk,
@@ -225,8 +297,11 @@ QUERIES = {
     "op8_shard_placement": op8_shard_placement,
     "op9_language_id": op9_language_id,
     "op10_binary_records": op10_binary_records,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_turn_trie": op13_turn_trie,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_reputation": OP6_SQL, "op8_shard_placement": op8_sql()}
+    return {"op1_mix_sources": OP1_SQL, "op2_exact_topk": OP2_SQL, "op4_quality_rules": OP4_SQL, "op6_url_reputation": OP6_SQL, "op8_shard_placement": op8_sql(), "op11_vector_codes": op11_sql(), "op12_substring_dedup": OP12_SQL, "op13_turn_trie": OP13_SQL}
