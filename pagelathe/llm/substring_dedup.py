@@ -350,7 +350,7 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, gram: int = 6, hot: int = 512) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_words, n_removed, spans (array of start and end, in words) and kept (the words left, joined by a blank).
 
     A word goes if one of the windows of ``width`` words that cover it starts elsewhere earlier: in a smaller doc_id, or
