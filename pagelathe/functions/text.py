@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that Python's str.strip() removes.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed value: the characters at which Python's str.splitlines() ends a line.
+LINE_ENDS = "\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029"
 BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 QUOTE_CHARS, EVIDENCE_CHARS, SPAN_CHARS, CONTEXT_CHARS = 240, 300, 1000, 160
 BLOCK = "struct<kind:string,content:string,latex:string,quote:string,order_no:int,bbox:array<double>,confidence:double,source:string>"
@@ -65,15 +67,16 @@ def table_matrix(text: Column, nfc_form: bool = False) -> Column:
 
 
 def paragraphs(markdown: Column) -> Column:
-    parts = F.transform(F.split(strip(F.coalesce(markdown, F.lit(""))), "\\n\\s*\\n"), strip)
+    parts = F.transform(F.split(strip(F.coalesce(markdown, F.lit(""))), f"\\n[{SPACE}]*\\n"), strip)
     return F.filter(parts, lambda x: x != "")
 
 
 def paragraph_kind(text: Column) -> Column:
-    first = strip(F.substring_index(text, "\n", 1))
+    """text: one without white space around it. White space and digits are those of Unicode, in the number of a heading too."""
+    first = strip(F.regexp_extract(text, f"^[^{LINE_ENDS}]*", 0))
     display = F.startswith(text, F.lit("$$")) & F.endswith(text, F.lit("$$"))
     inline = F.startswith(text, F.lit("$")) & F.endswith(text, F.lit("$")) & ~text.contains("\n")
-    return F.when((F.length(text) <= 100) & first.rlike("^\\d+(\\.\\d+)+\\s+\\S+"), "heading").when(display | inline, "formula").otherwise("paragraph")
+    return F.when((F.length(text) <= 100) & first.rlike(f"^\\p{{Nd}}+(\\.\\p{{Nd}}+)+[{SPACE}]+[^{SPACE}]"), "heading").when(display | inline, "formula").otherwise("paragraph")
 
 
 def markdown_blocks(markdown: Column) -> Column:

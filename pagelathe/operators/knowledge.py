@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions.ids import digest
 from pagelathe.functions.text import CONTEXT_CHARS, or_default, strip
+from pagelathe.operators import search
 from pagelathe.operators.runs import latest
 from pagelathe.sources.schemas import BOX, EVIDENCE, RELATIONS
 
@@ -14,12 +15,10 @@ from pagelathe.sources.schemas import BOX, EVIDENCE, RELATIONS
 def first_match(quotes: DataFrame, texts: DataFrame, by: list[str], text: str, order: str) -> DataFrame:
     """For each quote (by, quote_id, quote) the first text of its group that holds it, in the order given; hit is null without one.
 
-    Groups meet by an equi-join (a document's pages), never all with all; an empty quote matches nothing.
+    A text is read once for all quotes of its group, never joined with each of them; an empty quote matches nothing.
     """
-    t = texts.select(*by, F.col(order).alias("hit"), F.col(text).alias("_text"))
-    q = quotes.filter(F.coalesce("quote", F.lit("")) != "").select(*by, "quote_id", "quote")
-    found = q.join(t, by).filter(F.col("_text").contains(F.col("quote"))).groupBy(*by, "quote_id").agg(F.min("hit").alias("hit"))
-    return quotes.join(found, [*by, "quote_id"], "left")
+    found = search.first_holders(quotes, texts, by, text, order)
+    return quotes.join(found, [*by, "quote"], "left").select(*quotes.columns, "hit")
 
 
 def with_evidence(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelathe.functions.repair import json_object
 from pagelathe.operators import evaluate, knowledge, manifest, pages, provider, reviews, runs
 from pagelathe.operators.pages import MODEL_BLOCK
+from pagelathe.sources import storage
 
 
 def read_answers(answers: DataFrame) -> DataFrame:
@@ -26,10 +27,13 @@ def read_answers(answers: DataFrame) -> DataFrame:
     return df.select("run_id", "page_no", model.alias("model"), "schema_tag", "repaired", error.alias("parser_error"))
 
 
-def parse_run(raster: DataFrame, finished: DataFrame, made: DataFrame, parser: provider.PageParser, limits: provider.Limits) -> DataFrame:
-    """Answers for the pages of runs that aren't stored yet: raster has run_id, page_no, image, raw_text; made are earlier answers. Write the result before deriving from it."""
+def parse_run(raster: DataFrame, finished: DataFrame, made: DataFrame, parser: provider.PageParser, limits: provider.Limits, path: str | None = None) -> DataFrame:
+    """Answers for the pages of runs that aren't stored yet, written at path (by default a new one in the shared folder) round by round.
+
+    raster has run_id, page_no, image, raw_text; made are the answers of earlier requests, whose calls count.
+    """
     todo = pages.pending_pages(raster, finished)
-    return provider.call_parser(provider.with_budget(todo, made, limits), parser, limits)
+    return provider.call_in_rounds(todo, made, parser, limits, path or storage.shared_path(raster.sparkSession, "answers"))
 
 
 def page_facts(raster: DataFrame, answers: DataFrame) -> DataFrame:

@@ -256,14 +256,24 @@ def normalize_text(spark, d):
     return out.select("doc_id", F.sha2("y", 256).alias("hash"), F.length("y").cast("long").alias("n"))
 
 
+#: Between paragraphs and in headings: white space and digits that ASCII classes don't know.
+GAPS = ("\n\u3000\n", "\n\u00a0\t\n", "\n \u0085\n", "\n\n", "\n\u2028")
+HEADS = ("1.2 Title\n", "$$x$$\n", "1.2\u3000\u6807\u9898\n", "\u0661.\u0662\u00a0T\u2028more\n", "", "1.2\u200bT\n")
+
+
+def _chars(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text) or "''"
+
+
 @query(f"""
-WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(replace(CASE WHEN doc_id % 5 = 0 THEN '1.2 Title' || chr(10) || text WHEN doc_id % 5 = 1 THEN '$$x$$' || chr(10) || text ELSE text END, chr(10), chr(10) || chr(10)), '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', ''), '\\n\\s*\\n')) AS c FROM documents),
+WITH x AS (SELECT doc_id, CASE doc_id % {len(HEADS)} {" ".join(f"WHEN {i} THEN {_chars(h)}" for i, h in enumerate(HEADS))} END || text AS x, CASE doc_id % {len(GAPS)} {" ".join(f"WHEN {i} THEN {_chars(g)}" for i, g in enumerate(GAPS))} END AS gap FROM documents),
+p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(replace(x, chr(10), gap), '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', ''), '\\n[{PY}\\n]*\\n')) AS c FROM x),
 s AS (SELECT doc_id, regexp_replace(regexp_replace(c, '^[{PY}\\n]+', ''), '[{PY}\\n]+\\z', '') AS c FROM p),
-k AS (SELECT doc_id, CASE WHEN length(c) <= 100 AND regexp_matches(c, '^\\d+(\\.\\d+)+\\s+\\S+') THEN 'heading' WHEN starts_with(c, '$$') AND ends_with(c, '$$') OR starts_with(c, '$') AND ends_with(c, '$') AND NOT contains(c, chr(10)) THEN 'formula' ELSE 'paragraph' END AS kind, left(c, 240) AS q FROM s WHERE c <> '')
+k AS (SELECT doc_id, CASE WHEN length(c) <= 100 AND regexp_matches(regexp_extract(c, '^[^\\n-\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]*'), '^\\p{{Nd}}+(\\.\\p{{Nd}}+)+[{PY}]+[^{PY}\\n]') THEN 'heading' WHEN starts_with(c, '$$') AND ends_with(c, '$$') OR starts_with(c, '$') AND ends_with(c, '$') AND NOT contains(c, chr(10)) THEN 'formula' ELSE 'paragraph' END AS kind, left(c, 240) AS q FROM s WHERE c <> '')
 SELECT doc_id, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'formula') AS formulas, count(*) FILTER (kind = 'paragraph') AS paragraphs, CAST(sum(length(q)) AS BIGINT) AS quoted FROM k GROUP BY doc_id""")
 def paragraph_blocks(spark, d):
-    head = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("1.2 Title\n"), "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("$$x$$\n"), "text")).otherwise(F.col("text"))
-    t = table(spark, d, "documents").select("doc_id", text.markdown_blocks(F.replace(head, F.lit("\n"), F.lit("\n\n"))).alias("b")).filter(F.size("b") > 0)
+    pick = lambda texts: F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    t = table(spark, d, "documents").select("doc_id", text.markdown_blocks(F.replace(F.concat(pick(HEADS), "text"), F.lit("\n"), pick(GAPS))).alias("b")).filter(F.size("b") > 0)
     count = lambda k: F.size(F.filter("b", lambda b: b["kind"] == k)).cast("long")
     return t.select("doc_id", count("heading").alias("headings"), count("formula").alias("formulas"), count("paragraph").alias("paragraphs"), F.aggregate("b", F.lit(0).cast("long"), lambda s, b: s + F.length(b["quote"])).alias("quoted"))
 
@@ -517,4 +527,4 @@ def select_current(spark, d):
 
 
 # The rest of the queries register themselves with the names above.
-from pagelathe.plans import record_queries  # noqa: E402, F401
+from pagelathe.plans import record_queries, store_queries  # noqa: E402, F401

@@ -45,11 +45,11 @@ def json_answers(spark, d):
 MIME = "CASE doc_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/json' WHEN 3 THEN 'text/markdown' WHEN 4 THEN 'application/pdf' ELSE 'application/octet-stream' END"
 
 
-@query(f"SELECT doc_id, {MIME} AS mime, sha256('data:' || {MIME} || ';base64,' || to_base64(encode(left(text, 500)))) AS hash FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {MIME} AS mime, sha256('data:' || {MIME} || ';base64,' || to_base64(encode(text))) AS hash FROM documents WHERE text IS NOT NULL")
 def data_urls(spark, d):
     path = "concat('a.b/', doc_id, element_at(array('.PNG', '.jpeg', '.json', '.md', '.pdf', ''), CAST(doc_id % 6 AS INT) + 1)) AS path"
     t = table(spark, d, "documents", "doc_id", "text", path).filter("text IS NOT NULL")
-    t = t.select("doc_id", ids.mime_of(F.col("path")).alias("mime"), F.left("text", F.lit(500)).cast("binary").alias("content"))
+    t = t.select("doc_id", ids.mime_of(F.col("path")).alias("mime"), F.col("text").cast("binary").alias("content"))
     return t.select("doc_id", "mime", F.sha2(ids.data_url(F.col("content"), F.col("mime")), 256).alias("hash"))
 
 
@@ -269,10 +269,10 @@ def snapshot_facts(spark, d):
 
 @query("""
 WITH s AS (SELECT o_orderkey AS k, o_custkey % 3 AS h, o_orderkey % 4 <> 0 AS e, [o_orderkey % 2, 9] AS p FROM orders)
-SELECT b.k AS id, CASE WHEN b.k % 6 = 0 THEN 'same snapshot' WHEN NOT b.e THEN 'baseline' WHEN b.h <> c.h THEN 'document' WHEN b.p <> c.p THEN 'pages' END AS flaw FROM s b JOIN s c ON c.k = CASE WHEN b.k % 6 = 0 THEN b.k ELSE b.k % 1500 + 1 END""")
+SELECT b.k AS id, CASE WHEN b.k % 6 = 0 THEN 'same snapshot' WHEN NOT b.e THEN 'baseline' WHEN b.h <> c.h THEN 'document' WHEN b.p <> c.p THEN 'pages' END AS flaw FROM s b JOIN s c ON c.k = CASE WHEN b.k % 6 = 0 THEN b.k ELSE xor(b.k, 5) END""")
 def compare_flaws(spark, d):
     s = table(spark, d, "orders", "o_orderkey AS snapshot_id", "o_custkey % 3 AS document_hash", "o_orderkey % 4 <> 0 AS baseline_eligible", "array(o_orderkey % 2, 9) AS page_numbers")
-    wanted = s.select(F.col("snapshot_id").alias("id"), F.expr("CASE WHEN snapshot_id % 6 = 0 THEN snapshot_id ELSE snapshot_id % 1500 + 1 END").alias("other"))
+    wanted = s.select(F.col("snapshot_id").alias("id"), F.expr("CASE WHEN snapshot_id % 6 = 0 THEN snapshot_id ELSE snapshot_id ^ 5 END").alias("other"))
     side = lambda name, key: s.select(F.col("snapshot_id").alias(key), F.struct(*s.columns).alias(name))
     return wanted.join(side("b", "id"), "id").join(side("c", "other"), "other").select("id", evaluate.compare_flaw().alias("flaw"))
 

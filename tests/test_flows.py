@@ -38,6 +38,57 @@ def test_parse_resume_and_facts(spark):
     assert [(x["page_no"], x["attempt"]) for x in again] == [(3, 1)]
 
 
+def test_a_budget_of_60_reaches_60_pages(spark, tmp_path):
+    none, no_answers = spark.createDataFrame([], "run_id string, page_no int"), spark.createDataFrame([], provider.ANSWERS)
+    out = flows.parse_run(raster(spark, 70), none, no_answers, lambda image, raw, page_no: raw, provider.Limits(attempts=3, calls=60), str(tmp_path / "a")).collect()
+    assert sorted((x["page_no"], x["outcome"]) for x in out) == [(p, "ok" if p <= 60 else "budget") for p in range(1, 71)]
+
+
+def plain_rounds(pages, used, limits, outcome):
+    """Rounds of one run: the first open pages get a call each while calls are left."""
+    left, calls, done = limits.calls - used, dict.fromkeys(pages, 0), {}
+    for _ in range(limits.attempts):
+        todo = [p for p in sorted(pages) if p not in done][: max(0, left)]
+        for p in todo:
+            calls[p], left, got = calls[p] + 1, left - 1, outcome(p)
+            if got != "retry" or calls[p] == limits.attempts:
+                done[p] = "failed" if got == "retry" else got
+    return sorted((p, calls[p], done.get(p, "budget")) for p in pages)
+
+
+def test_rounds_by_brute_force(spark, tmp_path):
+    kinds = ["ok", "retry", "failed", "ok", "retry"]
+    outcome = lambda p: kinds[p * 7 % 5]
+
+    def answer(image, raw, page_no):
+        if outcome(page_no) == "retry":
+            raise provider.Retryable("busy")
+        if outcome(page_no) == "failed":
+            raise ValueError("broken")
+        return "{}"
+
+    sizes = {f"r{i}": (3 * i + 1, i % 4) for i in range(9)}
+    df = spark.createDataFrame([(r, p, None, "") for r, (n, _) in sizes.items() for p in range(1, n + 1)], "run_id string, page_no int, image binary, raw_text string")
+    made = spark.createDataFrame([(r, k, 1, None, None, "ok") for r, (_, used) in sizes.items() for k in range(used)] + [("r3", 9, 1, None, None, "budget")], provider.ANSWERS)
+    limits = provider.Limits(attempts=3, calls=11)
+    want = sorted((r, *x) for r, (n, used) in sizes.items() for x in plain_rounds(range(1, n + 1), used, limits, outcome))
+
+    def told(answers):
+        rows = answers.groupBy("run_id", "page_no").agg(F.count_if(F.col("outcome") != "budget").alias("calls")).join(provider.final_answers(answers), ["run_id", "page_no"])
+        return sorted((r["run_id"], r["page_no"], r["calls"], r["outcome"]) for r in rows.collect())
+
+    assert told(provider.call_in_rounds(df, made, answer, limits, str(tmp_path / "whole"))) == want
+    # Cut off behind its first round, a request goes on where it stood; done, it makes no call again.
+    first = provider.call_parser(provider.grant(df.withColumn("attempt", F.lit(1)), made, limits), answer, limits)
+    first.write.parquet(str(tmp_path / "cut"))
+    assert told(provider.call_in_rounds(df, made, answer, limits, str(tmp_path / "cut"))) == want
+
+    def never(image, raw, page_no):
+        raise AssertionError(page_no)
+
+    assert told(provider.call_in_rounds(df, made, never, limits, str(tmp_path / "cut"))) == want
+
+
 def test_replay_is_stable(spark):
     frozen = spark.createDataFrame([("r", p["page_no"], json.dumps({k: p[k] for k in ("page_kind", "markdown", "blocks")})) for p in sample()], "run_id string, page_no int, response string")
     r = raster(spark, 4)

@@ -111,14 +111,15 @@ def test_resume_calls_only_what_is_missing(spark):
     assert [r["page_no"] for r in pages.pending_pages(wanted, done).collect()] == [2]
 
 
-def test_provider_attempts_and_budget(spark):
+def test_provider_attempts_and_budget(spark, tmp_path):
     def parser(image, raw, page_no):
         if page_no == 1:
             return "ok"
         raise InvalidPage("nested", "text") if page_no == 2 else ValueError("no")
 
-    df = spark.createDataFrame([("r", 1, None, "", 9), ("r", 2, None, "", 9), ("r", 3, None, "", 9), ("r", 4, None, "", 0)], "run_id string, page_no int, image binary, raw_text string, calls_left int")
-    out = provider.call_parser(df, parser, Limits(attempts=3)).collect()
+    df = spark.createDataFrame([("r", p, None, "") for p in (1, 2, 3)] + [("q", 4, None, "")], "run_id string, page_no int, image binary, raw_text string")
+    made = spark.createDataFrame([("q", 9, 1, None, "x", "failed")], provider.ANSWERS)
+    out = provider.call_in_rounds(df, made, parser, Limits(attempts=3, calls=5), str(tmp_path / "a")).filter("run_id = 'r'").unionByName(provider.call_in_rounds(df.filter("run_id = 'q'"), made, parser, Limits(calls=1), str(tmp_path / "b"))).collect()
     got = sorted((r["page_no"], r["attempt"], r["outcome"]) for r in out)
     assert got == [(1, 1, "ok"), (2, 1, "retry"), (2, 2, "retry"), (2, 3, "failed"), (3, 1, "failed"), (4, 1, "budget")]
     answers = spark.createDataFrame(out, provider.ANSWERS)
