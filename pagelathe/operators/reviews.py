@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions.text import strip
+from pagelathe.operators.numbering import number_rows
 
 
 def fold(events: DataFrame, *keys: str) -> DataFrame:
@@ -24,10 +25,8 @@ def current_state(targets: DataFrame, events: DataFrame, target_type: str) -> Da
 
 def append_review(events: DataFrame, new: DataFrame) -> DataFrame:
     """new (target_type, target_id, status, reason, created_at and place) behind events, with the next numbers."""
-    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
-    # One row of the last number, and the few new reviews.
-    numbered = new.withColumn("seq", F.row_number().over(Window.orderBy("place")) + F.lit(last.first()["_last"])).drop("place")
-    return events.unionByName(numbered, allowMissingColumns=True)
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last")).first()["_last"]
+    return events.unionByName(number_rows(new, ["place"], "seq", after=last).drop("place"), allowMissingColumns=True)
 
 
 def accepted_pages(pages: DataFrame) -> DataFrame:

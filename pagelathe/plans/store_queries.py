@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelathe.operators import provider
+from pagelathe.operators.prune_log import PruneLog
 from pagelathe.plans import flows
 from pagelathe.plans.queries import query, table
 from pagelathe.sources import storage
+from pagelathe.sources.versions import VersionedTable
+from pagelathe.streaming import claims
 
 
 def orderly_parser(image, raw_text, page_no):
@@ -62,3 +65,53 @@ def stored_objects(spark, d):
     s = table(spark, d, "supplier", "concat(s_nationkey % 7, '.txt') AS path", "CAST(concat('nation ', s_nationkey) AS BINARY) AS content")
     index = spark.sql("SELECT '3.txt' AS path, sha2('nation 3', 256) AS sha256")
     return storage.put_objects(s, index, storage.shared_path(spark, "store"))
+
+
+QUEUED = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'queued' ELSE 'running' END"
+
+
+@query(f"""
+WITH j AS (SELECT event_id AS id, ts, {QUEUED} AS s, event_id % 5 = 1 AS late FROM events), q AS (SELECT id, row_number() OVER (ORDER BY ts, id) AS n FROM j WHERE s = 'queued' OR late),
+c AS (SELECT 'w' || c_custkey AS worker, c_mktsegment < 'H' AS early, row_number() OVER (ORDER BY c_mktsegment < 'H' DESC, c_custkey) AS n FROM customer)
+SELECT j.id, CASE WHEN worker IS NOT NULL THEN 'running' WHEN late THEN 'queued' ELSE s END AS status, CAST(CASE WHEN worker IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS attempt, coalesce(worker, CASE WHEN s = 'running' AND NOT late THEN 'old' END) AS lease_owner,
+    CASE WHEN worker IS NOT NULL THEN CASE WHEN early THEN '2030-01-01 03:00:00' ELSE '2030-01-01 04:00:00' END WHEN s = 'running' AND NOT late THEN '2031-01-01 00:00:00' END AS lease_expires
+FROM j LEFT JOIN q ON j.id = q.id LEFT JOIN c ON q.n = c.n""")
+def batched_claims(spark, d):
+    """Customers claim events as jobs in two micro-batches, both of which come twice."""
+    jobs = table(
+        spark, d, "events", "event_id AS id", f"{QUEUED} AS status", "0 AS attempt", "3 AS max_attempts", f"CASE WHEN {QUEUED} = 'running' THEN 'old' END AS lease_owner", f"CASE WHEN event_id % 5 = 1 THEN TIMESTAMP_NTZ'2029-01-01' WHEN {QUEUED} = 'running' THEN TIMESTAMP_NTZ'2031-01-01' END AS lease_expires_at",
+        "ts AS created_at", "CAST(NULL AS TIMESTAMP_NTZ) AS started_at", "CAST(NULL AS TIMESTAMP_NTZ) AS finished_at", "CAST(NULL AS STRING) AS error_json",
+    )
+    held = VersionedTable(spark, storage.shared_path(spark, "jobs"), claims.TABLE)
+    held.commit(-1, jobs)
+    c = table(spark, d, "customer", "c_custkey AS seq", "concat('w', c_custkey) AS worker", "CASE WHEN c_mktsegment < 'H' THEN TIMESTAMP_NTZ'2030-01-01 01:00:00' ELSE TIMESTAMP_NTZ'2030-01-01 02:00:00' END AS ts", "c_mktsegment < 'H' AS early")
+    for batch, rows in ((0, c.filter("early")), (0, c.filter("early")), (1, c.filter("NOT early")), (0, c.filter("early")), (1, c.filter("NOT early"))):
+        claims.claim_batch(held, rows, batch, "waiting", 7200)
+    return held.read().select("id", "status", "attempt", "lease_owner", F.date_format("lease_expires_at", "yyyy-MM-dd HH:mm:ss").alias("lease_expires"))
+
+
+RUN, PART = "id long, document_id long, status string, artifact_state string, prune_summary string", "id string, run_id long, review_status string, page_no int, kind string, content_hash string, size_bytes long"
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'pruned' ELSE 'available' END AS artifact_state, o_orderstatus = 'F' AS told, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(n, 0) END AS pages, CASE WHEN o_orderstatus = 'O' THEN 'rolled_back' ELSE 'purged' END AS operation FROM orders LEFT JOIN p ON o_orderkey = k""")
+def logged_prune(spark, d):
+    """Orders as runs: finished ones are pruned, open ones pruned and brought back, by two operations with logs."""
+    root = storage.shared_path(spark, "prune")
+    o = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS document_id", "'parsed' AS status", "'available' AS artifact_state", "CAST(NULL AS STRING) AS prune_summary", "o_orderstatus AS state")
+    lines = table(spark, d, "lineitem", "concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey, '/', l_extendedprice, '/', l_shipdate) AS id", "l_orderkey AS run_id", "'needs_review' AS review_status", "CAST(l_linenumber AS INT) AS page_no", "'page' AS kind", "'h' AS content_hash", "1L AS size_bytes")
+    runs, pages, parts = (VersionedTable(spark, f"{root}/{n}", s) for n, s in (("runs", RUN), ("pages", PART), ("artifacts", PART)))
+    runs.commit(-1, o)
+    pages.commit(-1, lines)
+    parts.commit(-1, lines)
+    log = PruneLog(spark, f"{root}/log", runs, pages, parts)
+    plan = lambda s: o.filter(F.col("state") == s).select("id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("refusal"), F.lit(1).cast("long").alias("reclaimable_bytes"))
+    ended = {}
+    for s in ("F", "O"):
+        log.plan(s, plan(s), "h", "none")
+        ended[s] = log.run(s, "h", "none")
+    ended["O"] = log.roll_back("O", "h", "none")
+    n = pages.read().groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    out = runs.read().join(n, "id", "left").join(o.select("id", "state"), "id")
+    return out.select("id", "artifact_state", F.col("prune_summary").isNotNull().alias("told"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), F.when(F.col("state") == "O", ended["O"]).otherwise(ended["F"]).alias("operation"))

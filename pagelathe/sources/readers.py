@@ -20,6 +20,11 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def stream_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same log as a stream: each file of lines once, as it is appended."""
+    return spark.readStream.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def list_resources(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All JSON resources below a folder, with the file each came from, in the order of their paths."""
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)

@@ -11,9 +11,11 @@ from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.operators.numbering import number_rows
+
 ACTIVE = ("queued", "running", "cancel_requested")
 OWNED = ("running", "cancel_requested")
 EVENT = "queue_key string, seq long, ts timestamp_ntz, event string, job_id string, worker string, lease_seconds int, retryable boolean, progress_current int, progress_total int, max_attempts int"
@@ -225,7 +227,7 @@ def claim(jobs: DataFrame, claims: DataFrame, now, lease_seconds: int = 120) ->
     """The whole job table after some workers' claims at one time: leases that ran out are swept first, then the oldest queued jobs of all go to the claims in their order.
 
     jobs: id, status, attempt, max_attempts, lease_owner, lease_expires_at, created_at, started_at, finished_at, error_json.
-    claims: seq, worker (few: one a waiting worker). Adds claimed: whether a claim of this call got the job.
+    claims: seq, worker. Adds claimed: whether a claim of this call got the job.
     """
     now = F.lit(now).cast("timestamp_ntz")
     out = (F.col("status") == "running") & (F.col("lease_expires_at") < now)
@@ -235,11 +237,10 @@ def claim(jobs: DataFrame, claims: DataFrame, now, lease_seconds: int = 120) ->
         "status": F.when(out & again, "queued").when(out, "failed").otherwise(F.col("status")), "lease_owner": none("lease_owner"), "lease_expires_at": none("lease_expires_at"),
         "error_json": F.when(out & ~again, F.lit('{"code":"lease_expired"}')).otherwise(F.col("error_json")), "finished_at": F.when(out & ~again, now).otherwise(F.col("finished_at")),
     })
-    # As many of the oldest as there are claims: a bounded top list, numbered in one place.
-    order = Window.orderBy("created_at", "id")
-    oldest = swept.filter("status = 'queued'").select("id", "created_at").orderBy("created_at", "id").limit(claims.count()).withColumn("_n", F.row_number().over(order))
-    taken = oldest.join(claims.select("worker", F.row_number().over(Window.orderBy("seq")).alias("_n")), "_n").select("id", F.col("worker").alias("_worker"))
-    df = swept.join(F.broadcast(taken), "id", "left").withColumn("claimed", F.col("_worker").isNotNull())
+    # The queue and the claims are numbered in their orders and meet by number; neither is brought to one place.
+    queue = number_rows(swept.filter("status = 'queued'").select("id", "created_at"), ["created_at", "id"], "_n").select("id", "_n")
+    taken = queue.join(number_rows(claims.select("seq", F.col("worker").alias("_worker")), ["seq"], "_n"), "_n").select("id", "_worker")
+    df = swept.join(taken, "id", "left").withColumn("claimed", F.col("_worker").isNotNull())
     got = lambda new, old: F.when(F.col("claimed"), new).otherwise(F.col(old))
     return df.withColumns({
         "status": got(F.lit("running"), "status"), "lease_owner": got(F.col("_worker"), "lease_owner"), "lease_expires_at": got(now + F.make_dt_interval(secs=F.lit(lease_seconds)), "lease_expires_at"),
