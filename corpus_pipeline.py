@@ -1,4 +1,9 @@
-"""A corpus pipeline: five stages over documents, each calling one operator, each written as Parquet and read again."""
+"""A corpus pipeline: five stages over documents, each calling one operator, each written as Parquet and read again.
+
+Defined results, of every stage: a null text is an empty one; null ids, languages and sources are values of their own;
+repeated rows are documents of their own; texts are taken whole, however long; an empty table gives an empty one; extra
+columns are handed on, but for those that the last stage names itself (ids, n_tokens, nbest), whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,11 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm import jaccard_join, mixing, quality_rules, sentencepieces, toxicity
 from pagelathe.llm.common import load, new_path
-from pagelathe.llm.queries import MIX, domain_column, piece_model, toxicity_model
-
-
-#: A line is common above 10 documents and 1 % of its host's, or above 100 documents on any host (figures in the README).
-LINES = {"line_min_docs": 10, "line_max_pct": 1, "line_max_docs": 100}
+from pagelathe.llm.queries import LINES, MIX, domain_column, piece_model, toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon finds likelier toxic than not go."""
+    """Documents that the learned lexicon finds likelier toxic than not go; null and empty texts stay."""
     return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).filter("score < 0.5").select("row.*")
 
 
@@ -25,7 +26,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays."""
+    """One document of each component of the n-gram Jaccard join stays: of ties (equal ids) one row; documents without words are linked with none."""
     return jaccard_join.keep_one(docs)
 
 

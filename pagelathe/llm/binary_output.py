@@ -6,7 +6,8 @@ The checksum is zlib's CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that
 checksums stays meaningful. The index file has one fixed row per record: doc_id (i64), null flag and offset (u64), ids
 (u64), so any record can be read alone.
 
-Data and index are written, and read, as streams: a task holds a batch of texts and the index rows of that batch. Files
+A folder is qualified as Spark would read it, so one without a scheme is on the default file system, and never on an
+executor's own disk; s3a is read and written as s3. Data and index are written, and read, as streams: a task holds a batch of texts and the index rows of that batch. Files
 hold about 128 MB of input (``parts_of``). Files are written by tasks under names of their own attempt; only those in the manifest table, which is written last,
 count. A lost or repeated task leaves at most an orphan file. Records are in ascending doc_id order across files.
 
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pagelathe.llm.common import CACHES, release
 from pagelathe.llm.common import batches as bound_batches
 from pagelathe.llm.common import cut, new_path, parts_of
+from pagelathe.sources.storage import opened, qualified
 
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u8"), ("offset", "<u8"), ("n", "<u8")])
 MASK = 0xA282EAD8
@@ -135,7 +136,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         end = np.array([end_id], enc.dtype).tobytes()
         width, store, index, at, docs, tokens = np.dtype(enc.dtype).itemsize, None, None, 0, 0, 0
         name = f"{folder}/part-{task.partitionId():06d}-{uuid.uuid4().hex}"
-        where, path = fs.FileSystem.from_uri(name)
+        where, path = opened(name)
         for b in batches:
             if store is None and b.num_rows:
                 where.create_dir(os.path.dirname(path), recursive=True)
@@ -164,7 +165,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     parts = parts or parts_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    written = cut(rows.mapInArrow(_writer(folder or new_path(spark, "records"), tokenizer, end_id), "part long, file string, dtype string, docs long, tokens long"), "manifest")
+    written = cut(rows.mapInArrow(_writer(qualified(spark, folder or new_path(spark, "records")), tokenizer, end_id), "part long, file string, dtype string, docs long, tokens long"), "manifest")
     # One row for each file.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return written.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -173,7 +174,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            where, path = fs.FileSystem.from_uri(r["file"])
+            where, path = opened(r["file"])
             start = r["start"]
             with where.open_input_stream(path + ".idx", buffer_size=1 << 16) as index, where.open_input_stream(path + ".bin", buffer_size=1 << 20) as f:
                 while part := index.read(256 * INDEX.itemsize):
@@ -204,7 +205,7 @@ def read_records(spark: SparkSession, manifest: DataFrame, ids: bool = True) ->
 
 def read_one(file: str, dtype: str, k: int) -> tuple[int | None, np.ndarray]:
     """The k-th record of a file by its index alone: for shuffled reads."""
-    where, path = fs.FileSystem.from_uri(file)
+    where, path = opened(file)
     with where.open_input_file(path + ".idx") as f:
         f.seek(k * INDEX.itemsize)
         (row,) = np.frombuffer(f.read(INDEX.itemsize), INDEX)

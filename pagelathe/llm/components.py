@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by alternating stars; every round is a table in the shared folder."""
+"""Connected components of a graph of links, by alternating stars; every round is a table in the shared folder.
+
+Defined results: links with a null end, and of a node with itself, take no part; repeated links count once, in either
+direction; an empty table gives no rows; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ largest decides.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter (or when nothing could be learned); a text
 with letters but no known n-gram gets the language seen most in training, score 0; repeated rows are judged alike; ties
-go to the first language in name order. Texts are read whole, in chunks of bounded size.
+go to the first language in name order. Texts are read whole, in chunks of bounded size. An empty table gives no rows;
+columns other than the id, the text and (in training) the language are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ are integers that add up exactly. A leaf then takes whole epochs and, of one mor
 that fills its quota: the documents in order of md5(seed, epoch, doc_id), the last one in part.
 
 Defined results: null domain, language or source count as the empty string; a null text has no tokens; repeated rows
-are documents of their own (equal ones are interchangeable); an empty table gives no rows.
+are documents of their own (equal ones are interchangeable); very long texts are counted whole, and cut only where a
+quota ends within one; an empty table gives no rows; other columns are in a struct, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -88,8 +88,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------- 4: quality rules
 
 
+#: A line is common above 10 documents and 1 % of its host's, or above 100 documents on any host (figures in the README); the pipeline's too.
+LINES = {"line_min_docs": 10, "line_max_pct": 1, "line_max_docs": 100}
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge_quality(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    out = quality_rules.judge_quality(load(spark, sf_dir, "documents", "doc_id", "text", "source"), **LINES)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
@@ -105,7 +109,7 @@ qe AS (SELECT rid, host, unnest(ln) AS l FROM qw),
 qn AS (SELECT rid, host, len(list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words, lower(regexp_replace(regexp_replace(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g'), '[0-9]', '0', 'g')) AS l FROM qe),
 qc AS (SELECT host, l, count(DISTINCT rid) AS docs FROM qn GROUP BY host, l),
 qh AS (SELECT host, count(*) AS n FROM qd GROUP BY host),
-qx AS (SELECT qc.host, qc.l FROM qc JOIN qh ON qc.host IS NOT DISTINCT FROM qh.host WHERE docs > 10 AND docs * 100 > n * 10),
+qx AS (SELECT qc.host, qc.l FROM qc JOIN qh ON qc.host IS NOT DISTINCT FROM qh.host WHERE docs > {LINES['line_min_docs']} AND docs * 100 > n * {LINES['line_max_pct']} OR docs > {LINES['line_max_docs']}),
 ql AS (SELECT rid, sum(words) AS lost FROM qn JOIN qx ON qn.host IS NOT DISTINCT FROM qx.host AND qn.l = qx.l GROUP BY rid),
 qa AS (SELECT qw.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, CAST(coalesce(qr.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(lost, 0) AS BIGINT) AS words_left

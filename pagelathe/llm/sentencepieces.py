@@ -13,7 +13,8 @@ and only those units are searched by A*. Scores are kept as whole numbers of 2 *
 
 Defined results: a null or empty text has no tokens, one segmentation with score 0; among equal scores the Viterbi path
 (longest last pieces) comes first; a text with fewer segmentations than asked for gives fewer; repeated rows are encoded
-alike; texts are encoded whole, in memory bounded by one text and a cache of fixed size.
+alike; texts are encoded whole, in memory bounded by one text and a cache of fixed size. An empty table gives no rows; a
+row is in a struct, so its columns can't clash. A model of more than 65,536 pieces, or with scores finer than 2^-30, raises.
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ still free, until the table is full. So shares differ by one slot at most, and w
 
 The table has a fixed size (65,537 slots of two bytes by default) whatever the data's size; it travels in the plan as a
 binary literal, and a row's place is one hash and one constant-time slice of it: no join, no shuffle.
+
+Defined results: a null key counts as the empty string; equal keys share a shard, repeated rows too; very long keys are
+hashed whole; an empty table gives no rows; the row's columns are in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -61,6 +64,6 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = 65537) -> Data
 
 
 def write_sharded(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """Write placed rows by shard; a shard's rows are dealt over files_per_shard tasks, so a hot shard is no single task."""
-    salt = F.pmod(F.xxhash64("slot", F.monotonically_increasing_id()), F.lit(files_per_shard))
+    """Write placed rows by shard; a shard's rows are dealt over files_per_shard tasks by their content, so a hot shard is no single task, and a task that runs again deals its rows alike."""
+    salt = F.pmod(F.xxhash64("slot", F.to_json("row")), F.lit(files_per_shard))
     placed.withColumn("__salt", salt).repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)

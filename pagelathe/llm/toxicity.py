@@ -6,7 +6,8 @@ word's edits; the product's states are built when first reached and kept, so a w
 around a hit, and quotation marks, tell reported speech from abuse.
 
 Defined results: a null or empty text scores as a text without a hit; repeated rows score alike; nothing but the text
-enters a score. Texts are read whole; memory is bounded by one text and two caches of fixed size.
+enters a score. Texts are read whole; memory is bounded by one text and two caches of fixed size. An empty table gives no
+rows, and without a labelled text of either kind no lexicon. Scored rows are in a struct, so their columns can't clash.
 """
 
 from __future__ import annotations

@@ -425,6 +425,26 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(e.encode(x), e.dtype).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, ascii(x)
 
 
+def test_records_lie_where_spark_looks(spark, tmp_path):
+    """A folder without a scheme is on the default file system: here one that pyarrow can't reach, so nothing may appear on the local disk."""
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    plain = str(tmp_path / "a b")
+    manifest = binary_output.write_records(docs, WORDS, 1, plain)
+    assert all(r["file"].startswith("file:/") for r in manifest.collect()) and binary_output.read_records(spark, manifest).count() == 2
+    file = manifest.first()
+    assert binary_output.read_one(file["file"], file["dtype"], 0)[0] in (1, 2)
+    old = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://elsewhere/")
+        conf.set("fs.viewfs.mounttable.elsewhere.link./records", f"file://{tmp_path}")
+        with pytest.raises(Exception):  # noqa: B017
+            binary_output.write_records(docs, WORDS, 1, f"/records/{tmp_path.name}").count()
+    finally:
+        conf.set("fs.defaultFS", old or "file:///")
+    assert not (tmp_path / tmp_path.name).exists() and not __import__("os").path.exists(f"/records/{tmp_path.name}")
+
+
 def test_damage_is_found():
     import io
 
