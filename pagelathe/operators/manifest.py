@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions.ids import digest, is_safe_relative, mime_of
+from pagelathe.sources import storage
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Files below a root: path relative to it, sha256, size_bytes, mime_type. Files are hashed where they are read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = root.split("://")[-1].replace("file:", "").rstrip("/")
-    path = F.regexp_replace("path", f"^(\\w+:)?/*{base.lstrip('/')}/", "")
-    return df.select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), mime_of(path).alias("mime_type"))
+    """Files below a root: path relative to it, sha256, size_bytes, mime_type, and error where one can't be read. Files of any size are hashed as streams."""
+    df = storage.hash_files(storage.list_files(spark, root, glob))
+    base = storage.qualified(spark, root).rstrip("/")
+    path = F.substring("path", F.lit(len(base) + 2), F.length("path"))
+    return df.select(path.alias("path"), "sha256", "size_bytes", mime_of(path).alias("mime_type"), "error")
+
+
+def store_bucketed(artifacts: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Append artifacts to a table in buckets of the key, so that what is registered later meets it without moving it."""
+    artifacts.write.mode("append").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def register_bucketed(spark: SparkSession, table: str, new: DataFrame, key: str) -> DataFrame:
+    """Rows of new whose key (not null) the bucketed table doesn't hold, one a key: only the new rows are shuffled, to the table's buckets."""
+    return new.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(spark.table(table).select(key).hint("merge"), key, "left_anti")
 
 
 def register_absent(artifacts: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("document_id", "kind", "path", "run_id")) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
-from pagelathe.operators import provider
+from pagelathe.operators import manifest, provider
 from pagelathe.operators.prune_log import PruneLog
 from pagelathe.plans import flows
 from pagelathe.plans.queries import query, table
@@ -115,3 +118,16 @@ def logged_prune(spark, d):
     n = pages.read().groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     out = runs.read().join(n, "id", "left").join(o.select("id", "state"), "id")
     return out.select("id", "artifact_state", F.col("prune_summary").isNotNull().alias("told"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), F.when(F.col("state") == "O", ended["O"]).otherwise(ended["F"]).alias("operation"))
+
+
+@query("""
+SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL) GROUP BY text""")
+def bucketed_registration(spark, d):
+    """Documents of all languages offered to a store, in buckets by content, that holds the English ones."""
+    t = table(spark, d, "documents", "doc_id", "lang", "sha2(text, 256) AS content_hash")
+    name = "held_" + uuid.uuid4().hex
+    # The table is the query's own: it goes when the process ends.
+    atexit.register(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") if spark.getActiveSession() else None)
+    manifest.store_bucketed(t.filter("lang = 'en' AND content_hash IS NOT NULL").select("content_hash"), name, "content_hash", 8)
+    first = t.filter("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    return manifest.register_bucketed(spark, name, first, "content_hash")

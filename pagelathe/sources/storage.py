@@ -8,8 +8,11 @@ on two executors at once, leaves one file.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import json
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ TASK = 256 << 20
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 class Damaged(ValueError):
@@ -38,7 +42,7 @@ class Damaged(ValueError):
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; where that is unset, a temporary one in local mode."""
+    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir; where that is unset, a temporary one in local mode. It goes when the process ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -46,7 +50,16 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="pagelathe-"))
         found = _own[0]
-    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):
+            delete(spark, path)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -81,6 +94,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def publish(spark: SparkSession, path: str, text: str) -> None:
     """Create a small file with this text in one step; FileExistsError where there is one by that name, which stays as it is."""
+    scheme, _, local = qualified(spark, path).partition(":")
+    if scheme == "file":
+        # A rename replaces what is there without a word; a link doesn't, on a shared mount neither.
+        local = "/" + local.lstrip("/")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        whole = f"{local}.{uuid.uuid4().hex}"
+        with open(whole, "x") as f:
+            f.write(text)
+        try:
+            os.link(whole, local)
+        finally:
+            os.remove(whole)
+        return
     jvm = spark.sparkContext._jvm
     fs, p = _hadoop(spark, path)
     whole = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")

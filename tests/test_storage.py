@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelathe.functions import text
-from pagelathe.operators import knowledge, search
+from pagelathe.operators import knowledge, manifest, search
 from pagelathe.sources import storage
 
 sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -149,6 +149,32 @@ def test_equal_contents_are_one_file(spark, tmp_path, files):
     assert [r["state"] for r in storage.put_objects(lost, None, root).collect()] == ["error"]
 
 
+def test_files_below_a_root(spark, files):
+    root, content = files
+    (root / "in" / "sub").mkdir()
+    (root / "in" / "sub" / "p.md").write_bytes(b"x")
+    got = {r["path"]: (r["sha256"], r["size_bytes"], r["error"]) for r in manifest.list_files(spark, str(root / "in")).collect()}
+    assert got == {n: (sha(x), len(x), None) for n, x in (content | {"sub/p.md": b"x"}).items()}
+    state = manifest.verify(manifest.list_files(spark, str(root / "in")).select("path", "sha256"), spark.createDataFrame([("sub/p.md", "0" * 64)], "path string, sha256 string"))
+    assert {r["path"]: r["state"] for r in state.collect()} == dict.fromkeys(content, "missing") | {"sub/p.md": "mismatch"}
+
+
+def test_registered_keys_are_not_moved(spark):
+    name = "held_in_buckets"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        for part in (range(0, 50), range(50, 100)):
+            manifest.store_bucketed(spark.createDataFrame([(sha(b"%d" % i), i) for i in part], "content_hash string, n int"), name, "content_hash", 4)
+        new = spark.createDataFrame([(sha(b"%d" % i), i) for i in [*range(90, 110), 105, 106]] + [(None, 1)], "content_hash string, n int")
+        out = manifest.register_bucketed(spark, name, new, "content_hash")
+        assert sorted(r["n"] for r in out.collect()) == list(range(100, 110))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        held = plan[plan.rindex("Exchange"):] if "Exchange" in plan else ""
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "FileScan" not in held.split("LocalTableScan")[0].split("Scan ExistingRDD")[0]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 # ------------------------------------------------------------------- searching
 
 
