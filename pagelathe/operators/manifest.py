@@ -24,7 +24,12 @@ def store_bucketed(artifacts: DataFrame, table: str, key: str, buckets: int) ->
 
 def register_bucketed(spark: SparkSession, table: str, new: DataFrame, key: str) -> DataFrame:
     """Rows of new whose key (not null) the bucketed table doesn't hold, one a key: only the new rows are shuffled, to the table's buckets."""
-    return new.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(spark.table(table).select(key).hint("merge"), key, "left_anti")
+    told = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Num Buckets'").first()
+    if told is None:
+        raise ValueError(f"{table} has no buckets")
+    # Dealt as the table is: left to itself, a join with fewer buckets than shuffle partitions would move the table.
+    rows = new.filter(F.col(key).isNotNull()).repartition(int(told["data_type"]), key).dropDuplicates([key])
+    return rows.join(spark.table(table).select(key).hint("merge"), key, "left_anti")
 
 
 def register_absent(artifacts: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("document_id", "kind", "path", "run_id")) -> DataFrame:

@@ -128,6 +128,6 @@ def bucketed_registration(spark, d):
     name = "held_" + uuid.uuid4().hex
     # The table is the query's own: it goes when the process ends.
     atexit.register(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}") if spark.getActiveSession() else None)
-    manifest.store_bucketed(t.filter("lang = 'en' AND content_hash IS NOT NULL").select("content_hash"), name, "content_hash", 8)
+    manifest.store_bucketed(t.filter("lang = 'en' AND content_hash IS NOT NULL").select("content_hash"), name, "content_hash", int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = t.filter("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
     return manifest.register_bucketed(spark, name, first, "content_hash")
