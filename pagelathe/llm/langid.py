@@ -31,6 +31,8 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 PROBES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Characters of a text handled at once.
 CHUNK = 1 << 19
+#: A task fills two to the power of this many slots of the filters at once.
+BLOCK_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -104,42 +106,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 50_000].astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 1500, min_count: int = 3, share: float = 0.5, bits: int = 20) -> Model:
+def _slots(order: dict[str, int], bits: int):
+    """Rows of lang and gram to the slots of their filters, with the language's bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang = np.array([order[x] for x in b.column(0).to_pylist()], np.uint64)
+            g = np.asarray(b.column(1)).view(np.uint64)
+            for p in PROBES:
+                slot = ((g * p) >> np.uint64(64 - bits)).astype(np.int64)
+                mask = (np.uint64(1) << (lang % np.uint64(64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((lang // np.uint64(64)).astype(np.int64)), pa.array(slot), pa.array(mask)], names=["part", "slot", "mask"])
+
+    return run
+
+
+def _width(languages: int) -> type:
+    return next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if languages <= most)
+
+
+def _blocks(sizes: list[int], bits: int):
+    """The filled slots of one block to its stretch of the finished filters."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part, block = (k.as_py() for k in key)
+        out = np.zeros(1 << min(bits, BLOCK_BITS), _width(sizes[part]))
+        out[np.asarray(rows["slot"]) - (block << BLOCK_BITS)] = np.asarray(rows["mask"]).view(np.uint64).astype(out.dtype)
+        return pa.table({"part": pa.array([part], pa.int64()), "block": pa.array([block], pa.int64()), "filled": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, per_language: int = 1500, min_count: int = 3, share: float = 0.5, bits: int = 20, max_chars: int = 1 << 24) -> Model:
     """Learn from docs (doc_id, text, lang): rows with text and lang.
 
-    Bound: about per_language texts of each language (those that hash lowest). An n-gram belongs to a language if it
-    occurs there min_count times and its rate is at least ``share`` of its highest rate in any. Filters have two to the
-    power of ``bits`` slots, or as many more as keep 16 for each n-gram of the fullest.
+    Bound: about per_language texts of each language (those that hash lowest), or as many fewer as hold about max_chars
+    code points where its texts are long. An n-gram belongs to a language if it occurs there min_count times and its rate
+    is at least ``share`` of its highest rate in any. Filters have two to the power of ``bits`` slots, or as many more as
+    keep 16 for each n-gram of the fullest, so that at most one of 64 strange n-grams is found in one; they are built in
+    tasks, and only they and a row a language come to the driver.
     """
     bound_batches(docs.sparkSession)
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
     # One row a language; the share that gives the wanted number is compared with a row's hash, so nothing is sorted and
     # no text but the sample's moves. Repeated rows hash alike and count once.
-    wanted = rows.groupBy("lang").agg((F.lit(per_language * (1 << 30)) / F.count(F.lit(1))).alias("most")).select(F.col("lang").alias("l"), "most")
+    part = F.least(F.lit(per_language) / F.count(F.lit(1)), F.lit(max_chars) / F.greatest(F.sum(F.length("text")), F.lit(1)))
+    wanted = rows.groupBy("lang").agg((part * (1 << 30)).alias("most")).select(F.col("lang").alias("l"), "most")
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     sample = rows.select("doc_id", "text", "lang").join(small_side(cut(wanted, "rates")), F.col("lang") == F.col("l")).filter(h < F.col("most"))
     sample = cut(sample.groupBy("lang", F.xxhash64("doc_id", "text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang").repartition(16), "langs")
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = Window.partitionBy("lang")
-    counts = counts.withColumn("rate", F.col("n") / F.sum("n").over(total))
+    counts = cut(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = cut(counts.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("total")), "totals")
+    counts = counts.join(small_side(totals), F.col("lang") == F.col("l")).withColumn("rate", F.col("n") / F.col("total"))
+    # A gram has at most a row for each language.
     counts = counts.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= share * F.col("top")) & (F.col("n") >= min_count))
-    found = counts.select("lang", "gram", "n").toArrow().to_pandas()
-    languages = sorted(found["lang"].unique())
-    bits = max(bits, *(int(16 * n).bit_length() for n in found["lang"].value_counts()), 1)
-    masks, false_rate = [], np.zeros(len(languages))
-    for first in range(0, len(languages), 64):
-        own = languages[first : first + 64]
-        table = np.zeros(1 << bits, next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(own) <= most))
-        for i, lang in enumerate(own):
-            g = found["gram"][found["lang"] == lang].to_numpy().view(np.uint64)
-            full = np.zeros(1 << bits, bool)
-            for p in PROBES:
-                full[(g * p) >> np.uint64(64 - bits)] = True
-            table[full] |= table.dtype.type(1 << i)
-            false_rate[first + i] = full.mean() ** len(PROBES)
-        masks.append(table)
-    common = max(languages, key=lambda x: (found["n"][found["lang"] == x].sum(), x), default=None)
-    return Model(languages, common, bits, masks, false_rate)
+    own = cut(counts.select("lang", "gram", "n"), "own")
+    known = {r["lang"]: (r["grams"], r["n"]) for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("n")).collect()}
+    languages = sorted(known)
+    bits = max(bits, *(int(16 * n).bit_length() for n, _ in known.values()), 1)
+    sizes = [len(languages[i : i + 64]) for i in range(0, len(languages), 64)]
+    masks = [np.zeros(1 << bits, _width(n)) for n in sizes]
+    slots = own.select("lang", "gram").mapInArrow(_slots({x: i for i, x in enumerate(languages)}, bits), "part long, slot long, mask long")
+    slots = slots.groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).withColumn("block", F.shiftright("slot", BLOCK_BITS))
+    for r in slots.groupBy("part", "block").applyInArrow(_blocks(sizes, bits), "part long, block long, filled binary").collect():
+        found = np.frombuffer(r["filled"], masks[r["part"]].dtype)
+        masks[r["part"]][r["block"] << BLOCK_BITS :][: len(found)] = found
+    false_rate = np.array([np.mean((masks[i // 64] >> masks[i // 64].dtype.type(i % 64)) & masks[i // 64].dtype.type(1)) ** len(PROBES) for i in range(len(languages))])
+    return Model(languages, max(languages, key=lambda x: (known[x][1], x), default=None), bits, masks, false_rate)
 
 
 def predict_text(text: str | None, m: Model) -> tuple[str, float]:

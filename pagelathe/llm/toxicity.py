@@ -29,6 +29,10 @@ from pagelathe.llm.common import cut
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
 PREFIXES = range(4, 8)
 WINDOW = 6
+#: What each further term of a text adds, against the one before it in strength: terms of one text are not independent.
+DAMPING = 0.5
+#: Texts with hits, of either label, at which half of what they say about the words around hits is believed.
+DOUBT = 20
 KINDS = ("word", "prefix", "fuzzy")
 
 
@@ -178,7 +182,7 @@ def hits_of(text: str, matcher: Matcher, reporting: frozenset[str] = frozenset()
 
 
 def score_text(text: str | None, m: Lexicon, matcher: Matcher) -> float:
-    """Probability of label 1: prior log odds, plus the three strongest terms, each once, and the strongest misspelling.
+    """Probability of label 1: prior log odds, plus all terms, each once, from the strongest with damping, and the strongest misspelling.
 
     Only one misspelling counts: chance likenesses pile up in long texts.
     """
@@ -193,7 +197,7 @@ def score_text(text: str | None, m: Lexicon, matcher: Matcher) -> float:
             fuzzy = max(fuzzy, w)
         else:
             best[term] = max(best.get(term, -9.0), w)
-    z = m.prior + fuzzy + sum(sorted(best.values())[-3:]) if best or fuzzy > 0 else m.base
+    z = m.prior + fuzzy + sum(w * DAMPING**i for i, w in enumerate(sorted(best.values(), reverse=True))) if best or fuzzy > 0 else m.base
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -299,7 +303,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs:
 
     beside = {u: (t, c) for u, t, c in counted(near_of, lambda s: s.filter((F.col("tox") + F.col("clean") >= 5) | (F.col("unit") == "=")))}
     hit = beside.pop("=", (0, 0))
-    odds = {u: _log_odds(t, c, *hit) for u, (t, c) in beside.items()} if min(hit) >= 20 else {}
+    # Few hits of either label say little: the odds shrink towards none, without a number at which they begin to count.
+    sure = min(hit) / (min(hit) + DOUBT)
+    odds = {u: sure * _log_odds(t, c, *hit) for u, (t, c) in beside.items()}
     often = max(min_docs, math.ceil(0.1 * hit[1]))
     reporting = frozenset(u for u, x in odds.items() if x <= reported and beside[u][1] >= often)
 

@@ -172,7 +172,7 @@ def test_scores_by_brute_force(spark, monkeypatch):
                     fuzzy = max(fuzzy, w)
                 else:
                     exact[term] = max(exact.get(term, -9.0), w)
-        z = m.prior + fuzzy + sum(sorted(exact.values())[-3:]) if exact or fuzzy > 0 else m.base
+        z = m.prior + fuzzy + sum(w / 2**i for i, w in enumerate(sorted(exact.values(), reverse=True))) if exact or fuzzy > 0 else m.base
         assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9, r["doc_id"]
 
 
@@ -195,6 +195,25 @@ def test_reporting_words_are_learned(spark):
     assert toxicity.score_text("a grumblefux you", m, matcher) > 0.9 > toxicity.score_text("x reportedly grumblefux x", m, matcher)
 
 
+def test_few_hits_say_little(spark):
+    """What stands beside hits counts from the first clean text with a hit on, and the more, the more of them there are."""
+    odds = []
+    for told in (0, 2, 8, 40):
+        rows = [(i, f"a{i} grumblefux b{i % 7}", 1) for i in range(200)] + [(1000 + i, f"c{i} reportedly grumblefux d", 0) for i in range(told)]
+        rows += [(5000 + i, f"e{i} f{i % 9}", 0) for i in range(800)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), min_odds=1.0)
+        odds.append(m.context.get("reportedly", 0.0))
+    assert odds[0] == 0.0 and odds == sorted(odds, reverse=True) and odds[3] < -0.3
+
+
+def test_all_terms_count():
+    lex = toxicity.Lexicon({w: 1.0 for w in ("aaa", "bbb", "ccc", "ddd", "eee")}, {}, -6.0, -2.0, {}, {}, {})
+    m = toxicity.Matcher(lex.words, [])
+    scores = [toxicity.score_text(" ".join(list(lex.words)[:n]), lex, m) for n in range(1, 6)]
+    assert scores == sorted(set(scores))
+
+
 def test_toxicity_held_out(spark):
     out = QUERIES["op3_toxicity"](spark, DATA.replace("0.001", "0.1")).join(spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     hit = out[out.toxic == 1].predicted.mean()
@@ -270,6 +289,34 @@ def test_langid_by_brute_force(spark):
     assert other <= 2
 
 
+def test_langid_filters_are_built_in_blocks(spark, monkeypatch):
+    """Whatever the blocks, and beyond 64 languages, every gram is in its language's filter, and no slot besides."""
+    rng = random.Random(4)
+    names = [f"l{i:02d}" for i in range(70)]
+    texts = {x: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30)) for x in names}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    models = []
+    for block in (16, 5):
+        monkeypatch.setattr(langid, "BLOCK_BITS", block)
+        models.append(langid.train(docs, min_count=1, share=0.0, bits=12))
+    a, b = models
+    assert a.languages == names and [len(s) for s in a.slices] == [1 << a.bits] * 2
+    assert all((x == y).all() for x, y in zip(a.slices, b.slices, strict=True)) and (a.false_rate == b.false_rate).all()
+    for i, x in enumerate(names):
+        g = np.concatenate([h for piece in langid._pieces(texts[x]) for h in langid.grams(langid._codes(piece))])
+        full = {int(s) for p in langid.PROBES for s in (g * p) >> np.uint64(64 - a.bits)}
+        table = a.slices[i // 64]
+        assert set(np.flatnonzero((table >> table.dtype.type(i % 64)) & table.dtype.type(1)).tolist()) == full
+        assert abs(a.false_rate[i] - (len(full) / (1 << a.bits)) ** 2) < 1e-12
+
+
+def test_langid_sample_is_bounded_by_characters(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('wort', translate(id, '0123456789', 'abcdefghij'), ' '), 50) AS text", "'de' AS lang")
+    few, all_ = (langid.train(docs, min_count=1, max_chars=n) for n in (20_000, 1 << 24))
+    grams = [m.slices[0].astype(bool).sum() for m in (few, all_)]
+    assert 0 < grams[0] < grams[1]
+
+
 def test_langid_chunks_agree(monkeypatch):
     """Texts cut into chunks are judged as whole ones, with blanks to cut at and without any."""
     m = langid.Model(["a", "b"], "a", 20, [np.random.default_rng(1).integers(0, 4, 1 << 20).astype(np.uint8)], np.array([0.1, 0.1]))
