@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions.ids import digest, is_safe_relative, mime_of
@@ -79,11 +79,12 @@ def asset_conflicts(assets: DataFrame) -> DataFrame:
     return assets.groupBy("document_id", "page_no").agg(F.countDistinct("content_hash").alias("n")).filter("n > 1").select("document_id", "page_no")
 
 
-def unique_paths(artifacts: DataFrame, path: str = "path", key: str = "snapshot_id") -> DataFrame:
-    """Relative paths made unique: a later one of the same name gets its place in front."""
+def unique_paths(artifacts: DataFrame, path: str = "path", key: str = "snapshot_id", place: Column | None = None) -> DataFrame:
+    """Relative paths made unique: a later one of the same name gets its place in front, as it is written by place: whole, in four digits at least."""
+    shown = F.format_string("%04d", "pos") if place is None else place
     w = Window.partitionBy(key, "_name").orderBy("pos")
     df = artifacts.withColumn("_name", F.substring_index(path, "/", -1)).withColumn("_n", F.row_number().over(w))
-    return df.withColumn("snapshot_path", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat(F.format_string("%04d-", "pos"), "_name"))).drop("_name", "_n")
+    return df.withColumn("snapshot_path", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat(shown, F.lit("-"), "_name"))).drop("_name", "_n")
 
 
 def first_file(files: DataFrame, kind: str, page_no: int | None = None) -> DataFrame:

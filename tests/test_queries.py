@@ -1,5 +1,7 @@
+import os
+
 import pytest
-from support import DATA, check
+from support import DATA, NAMES, check
 
 from pagelathe.plans.queries import ORACLES, QUERIES
 
@@ -53,3 +55,19 @@ def test_text_diffs_by_difflib(spark):
 
 def test_scorecard_averages_have_three_decimals(spark):
     assert any(round(r["average"], 1) != r["average"] for r in QUERIES["scorecard"](spark, DATA.replace("0.001", "0.01")).collect())
+
+
+def test_snapshot_paths_beyond_four_digits(spark, tmp_path):
+    """The query is its SQL's for ids of any length; the operator's places stay whole, so that its paths are unique."""
+    from pyspark.sql import functions as F
+
+    from pagelathe.operators import manifest
+
+    for name in NAMES:
+        os.symlink(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    os.unlink(tmp_path / "documents.parquet")
+    t = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 9_900)
+    t.write.parquet(str(tmp_path / "documents.parquet"))
+    check(spark, QUERIES["snapshot_paths"], ORACLES["snapshot_paths"], str(tmp_path))
+    own = manifest.unique_paths(t.selectExpr("doc_id AS pos", "'s' AS snapshot_id", "'x/a.md' AS path")).collect()
+    assert sorted(r["snapshot_path"] for r in own) == sorted(["a.md", *(f"{n:04d}-a.md" for n in range(9_901, 9_900 + len(own)))])
