@@ -157,11 +157,16 @@ def signatures(page: Column) -> dict[str, Column]:
     }
 
 
+#: Bytes of both texts that a Python worker gets at once (a longer pair comes alone): what it holds is some times that, whatever the tables' size.
+DIFF_BYTES = 2 << 20
+
+
 def unified_diff(left: Column, right: Column) -> Column:
     @F.arrow_udf("array<string>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        lines = lambda t: (t or "").splitlines()
-        return pa.array([list(difflib.unified_diff(lines(x), lines(y), lineterm="")) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.string()))
+        lines = lambda t: (t.as_py() or "").splitlines()
+        # One pair's lines at a time.
+        return pa.array((list(difflib.unified_diff(lines(x), lines(y), lineterm="")) for x, y in zip(a, b, strict=True)), pa.list_(pa.string()))
 
     return run(left, right)
 
@@ -182,6 +187,7 @@ def compare_pages(wanted: DataFrame, baseline: DataFrame, candidate: DataFrame,
     df = df.withColumn("changed_dimensions", F.when(lost, F.array(F.lit("availability"))).otherwise(differ)).withColumn("changed", F.size("changed_dimensions") > 0)
     df = df.withColumn("review_status", F.when(F.col("changed"), "pending").otherwise("not_required"))
     if diff:
+        wanted.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(DIFF_BYTES))
         df = df.withColumn("text_diff", F.when(lost, F.array().cast("array<string>")).otherwise(unified_diff(left["text"], right["text"])))
     return df.drop("b", "c")
 

@@ -71,3 +71,22 @@ def test_snapshot_paths_beyond_four_digits(spark, tmp_path):
     check(spark, QUERIES["snapshot_paths"], ORACLES["snapshot_paths"], str(tmp_path))
     own = manifest.unique_paths(t.selectExpr("doc_id AS pos", "'s' AS snapshot_id", "'x/a.md' AS path")).collect()
     assert sorted(r["snapshot_path"] for r in own) == sorted(["a.md", *(f"{n:04d}-a.md" for n in range(9_901, 9_900 + len(own)))])
+
+
+def test_text_diffs_hold_few_texts_at_once(spark):
+    """What comes to a Python worker at once is bounded in bytes, not by ten thousand pairs of texts of any length."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from pagelathe.operators import evaluate
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    QUERIES["page_text_diffs"](spark, DATA)
+
+    @F.arrow_udf("long")
+    def held(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([x.nbytes + y.nbytes] * len(x), pa.int64())
+
+    text = F.repeat(F.lit("0123456789"), F.lit(2_000))
+    most = spark.range(0, 2_000, 1, 1).select(held(F.concat(text, F.col("id").cast("string")), text).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 2 * evaluate.DIFF_BYTES
