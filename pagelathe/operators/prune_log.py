@@ -21,7 +21,7 @@ STATES = ("planned", "staged", "purged", "rolling", "rolled_back")
 
 
 class PruneLog:
-    """Operations over tables of runs (id), pages and artifacts (id, run_id)."""
+    """Operations over tables of runs (id), pages and artifacts (id, run_id). Pages and artifacts may be tables near run_id."""
 
     def __init__(self, spark: SparkSession, root: str, runs: VersionedTable, pages: VersionedTable, artifacts: VersionedTable) -> None:
         self.spark, self.root, self.runs, self.pages, self.artifacts = spark, root.rstrip("/"), runs, pages, artifacts
@@ -68,14 +68,18 @@ class PruneLog:
     def _targets(self, operation_id: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._place(operation_id)}/{self.record(operation_id, 'planned')['targets']}").select("id")
 
+    def _backup_path(self, operation_id: str, table: str) -> str:
+        return f"{self._place(operation_id)}/{self.record(operation_id, 'staged')['backup']}/{table}"
+
     def _backup(self, operation_id: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._place(operation_id)}/{self.record(operation_id, 'staged')['backup']}/{table}")
+        return getattr(self, table).got(self._backup_path(operation_id, table))
 
     def _stage(self, operation_id: str) -> None:
         ids, backup = self._targets(operation_id), f"backup-{uuid.uuid4().hex}"
-        _, gone_pages, gone_artifacts = maintenance.stage_prune(ids, self.runs.read(), self.pages.read(), self.artifacts.read())
-        for name, df in (("pages", gone_pages), ("artifacts", gone_artifacts), ("runs", self.runs.read().join(ids, "id", "left_semi"))):
-            df.write.parquet(f"{self._place(operation_id)}/{backup}/{name}")
+        place = f"{self._place(operation_id)}/{backup}"
+        self.pages.put(ids, f"{place}/pages")
+        self.artifacts.put(ids, f"{place}/artifacts")
+        self.runs.read().join(ids, "id", "left_semi").write.parquet(f"{place}/runs")
         self._tell(operation_id, "staged", backup=backup)
 
     def _purge(self, operation_id: str) -> None:
@@ -84,22 +88,21 @@ class PruneLog:
         # The backup has what the tombstones tell, whether or not the tables still do.
         tombs = lambda runs: maintenance.stage_prune(ids, runs, pages, artifacts)[0].join(ids, "id", "left_semi")
         self.runs.commit_once(f"purge {operation_id}", True, lambda held: (tombs(held), None))
-        self.pages.commit_once(f"purge {operation_id}", True, lambda held: (None, pages.select("id")))
-        self.artifacts.commit_once(f"purge {operation_id}", True, lambda held: (None, artifacts.select("id")))
+        self.pages.commit_once(f"purge {operation_id}", True, lambda held: (None, pages), dealt=True)
+        self.artifacts.commit_once(f"purge {operation_id}", True, lambda held: (None, artifacts), dealt=True)
         self._tell(operation_id, "purged")
 
     def _restore(self, operation_id: str) -> None:
         """What was taken away comes back; what has been written anew in the meantime stays."""
         if self.record(operation_id, "staged"):
-            back = lambda name: lambda held: (self._backup(operation_id, name).join(held.select("id"), "id", "left_anti"), None)
             was = self._backup(operation_id, "runs")
 
             def runs(held: DataFrame) -> tuple[DataFrame, None]:
                 mine = held.filter("artifact_state = 'pruned'").join(was.select("id"), "id", "left_semi")
                 return maintenance.roll_back(mine, was.select("id"), mine, mine)[0], None
 
-            self.pages.commit_once(f"restore {operation_id}", True, back("pages"))
-            self.artifacts.commit_once(f"restore {operation_id}", True, back("artifacts"))
+            for name in ("pages", "artifacts"):
+                getattr(self, name).put_back_once(f"restore {operation_id}", True, self._backup_path(operation_id, name))
             self.runs.commit_once(f"restore {operation_id}", True, runs)
         self._tell(operation_id, "rolled_back")
 

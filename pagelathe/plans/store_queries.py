@@ -104,10 +104,11 @@ def logged_prune(spark, d):
     root = storage.shared_path(spark, "prune")
     o = table(spark, d, "orders", "o_orderkey AS id", "o_custkey AS document_id", "'parsed' AS status", "'available' AS artifact_state", "CAST(NULL AS STRING) AS prune_summary", "o_orderstatus AS state")
     lines = table(spark, d, "lineitem", "concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey, '/', l_extendedprice, '/', l_shipdate) AS id", "l_orderkey AS run_id", "'needs_review' AS review_status", "CAST(l_linenumber AS INT) AS page_no", "'page' AS kind", "'h' AS content_hash", "1L AS size_bytes")
-    runs, pages, parts = (VersionedTable(spark, f"{root}/{n}", s) for n, s in (("runs", RUN), ("pages", PART), ("artifacts", PART)))
+    runs, pages, parts = (VersionedTable(spark, f"{root}/{n}", s, near=by) for n, s, by in (("runs", RUN, None), ("pages", PART, "run_id"), ("artifacts", PART, "run_id")))
     runs.commit(-1, o)
     pages.commit(-1, lines)
-    parts.commit(-1, lines)
+    # The same rows, which lie dealt by now.
+    parts.commit(-1, pages.read(), dealt=True)
     log = PruneLog(spark, f"{root}/log", runs, pages, parts)
     plan = lambda s: o.filter(F.col("state") == s).select("id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("refusal"), F.lit(1).cast("long").alias("reclaimable_bytes"))
     ended = {}
@@ -115,7 +116,7 @@ def logged_prune(spark, d):
         log.plan(s, plan(s), "h", "none")
         ended[s] = log.run(s, "h", "none")
     ended["O"] = log.roll_back("O", "h", "none")
-    n = pages.read().groupBy(F.col("run_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = pages.count_near(f"{root}/counts").withColumnRenamed("run_id", "id")
     out = runs.read().join(n, "id", "left").join(o.select("id", "state"), "id")
     return out.select("id", "artifact_state", F.col("prune_summary").isNotNull().alias("told"), F.coalesce("n", F.lit(0)).cast("long").alias("pages"), F.when(F.col("state") == "O", ended["O"]).otherwise(ended["F"]).alias("operation"))
 

@@ -60,6 +60,43 @@ def test_versions_by_brute_force(spark, tmp_path, monkeypatch):
     assert rows_of(t) == sorted(want.items())
 
 
+def test_rows_in_buckets_by_brute_force(spark, tmp_path, monkeypatch):
+    """As without buckets, from another session's catalog too; what is put aside, put back and counted is not moved."""
+    monkeypatch.setattr(VersionedTable, "FOLDERS", 4)
+    schema, rng, want = "id long, run long, v string", random.Random(5), {}
+    t = VersionedTable(spark, str(tmp_path / "t"), schema, near="run")
+    for version in range(-1, 8):
+        new = {k: f"{version}-{k}" for k in rng.sample(range(60), 25)}
+        gone = [k for k in range(60) if k not in new and rng.random() < 0.2]
+        t.commit(version, spark.createDataFrame([(k, k % 7, v) for k, v in new.items()], schema), spark.createDataFrame([(k, k % 7) for k in gone], "id long, run long"))
+        want = {k: v for k, v in (want | new).items() if k not in gone}
+        assert rows_of(t) == sorted(want.items())
+        counts = {r["run"]: r["n"] for r in t.count_near(str(tmp_path / f"n{version}")).collect()}
+        assert counts == {r: n for r in range(7) if (n := sum(k % 7 == r for k in want))}
+    aside = str(tmp_path / "aside")
+    t.put(spark.createDataFrame([(2,), (5,), (5,), (99,)], "id long"), aside)
+    held = {k: v for k, v in want.items() if k % 7 in (2, 5)}
+    assert sorted((r["id"], r["v"]) for r in t.got(aside).collect()) == sorted(held.items())
+    for r in spark.catalog.listTables():
+        if r.name.startswith("lying_"):
+            spark.sql(f"DROP TABLE {r.name}")
+    t = VersionedTable(spark, t.root, schema, near="run")
+    t.commit_once("purge", True, lambda _: (None, t.got(aside)), dealt=True)
+    assert rows_of(t) == sorted((want.items() - held.items()))
+    anew = min(held)
+    t.commit(t.latest()[0], spark.createDataFrame([(anew, anew % 7, "anew")], schema))
+    plan = t._absent(aside, t.latest()[1])
+    with t._by_near():
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert t.put_back_once("back", True, aside) and not t.put_back_once("back", True, aside)
+    assert rows_of(t) == sorted((want | {anew: "anew"}).items())
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_of_two_writers_both_count(spark, tmp_path, monkeypatch):
     """Both read the same version; the one whose commit comes second makes it again."""
     t = VersionedTable(spark, str(tmp_path / "t"), ROW)
@@ -189,12 +226,12 @@ def test_job_fold_by_brute_force(spark):
 # --------------------------------------------------------------------- pruning
 
 
-def at(spark, root):
-    return PruneLog(spark, f"{root}/log", *(VersionedTable(spark, f"{root}/{n}", s) for n, s in (("runs", RUN), ("pages", PART), ("artifacts", PART))))
+def at(spark, root, near=None):
+    return PruneLog(spark, f"{root}/log", *(VersionedTable(spark, f"{root}/{n}", s, near=by) for n, s, by in (("runs", RUN, None), ("pages", PART, near), ("artifacts", PART, near))))
 
 
-def tables(spark, root):
-    log = at(spark, root)
+def tables(spark, root, near=None):
+    log = at(spark, root, near)
     runs, pages, parts = log.runs, log.pages, log.artifacts
     runs.commit(-1, spark.createDataFrame([(i, 1, "parsed", "available", None) for i in range(4)], RUN))
     each = [(f"{i}-{p}", i, "needs_review", p, "page", "h", 10 + p) for i in range(4) for p in range(3)]
@@ -242,6 +279,25 @@ def test_prune_and_roll_back(spark, tmp_path):
     assert log.roll_back("op2", "doc", "0") == "rolled_back" and look(log) == before
 
 
+def test_prune_and_roll_back_in_buckets(spark, tmp_path):
+    """As without them, with pages that come between the backup and the purge, and others behind it."""
+    looks = []
+    for near in (None, "run_id"):
+        log = tables(spark, str(tmp_path / str(near)), near)
+        before = look(log)
+        log.plan("op1", plan(spark), "doc", "0")
+        log._stage("op1")
+        extra = lambda name: spark.createDataFrame([(name, 1, "needs_review", 9, "page", "h", 1)], PART)  # noqa: E731, B023
+        log.pages.commit(log.pages.latest()[0], extra("between"))
+        assert log.run("op1", "doc", "0") == "purged"
+        log.pages.commit(log.pages.latest()[0], extra("1-2"))
+        looks.append(look(log))
+        assert log.roll_back("op1", "doc", "0") == "rolled_back"
+        looks.append(look(log))
+        assert looks[-1][0] == before[0] and looks[-1][1] == sorted([*before[1], "between"]) and looks[-1][2] == before[2]
+    assert looks[:2] == looks[2:]
+
+
 def test_a_stop_after_every_step_recovers(spark, tmp_path, monkeypatch):
     """Stopped ahead of, and right behind, the k-th thing that is published (records and versions of tables alike)."""
     pub = prune_log.publish
