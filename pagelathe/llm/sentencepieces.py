@@ -7,9 +7,10 @@ no N-best list, so the best path here is another segmentation than its own. Forw
 places are the exact heuristic of a backward A* search from the end, which so pops segmentations best first.
 
 Where no piece of the model reaches over a blank or a line end (or from a letter to a mark), a text's lattice is a chain of
-independent units (a blank and the word behind it); else a text is one unit. Units are solved once and kept; new ones are solved together, in arrays. The N best of a text change none
-but the N - 1 units whose second-best segmentations cost least: those gaps come exactly from forward and backward scores,
-and only those units are searched by A*. Scores are kept as whole numbers of 2 ** -shift, so nothing is lost to rounding.
+independent units (a blank and the word behind it); else a text is one unit. Texts are cut together, in arrays; each
+distinct unit of them is looked up once, solved once (new ones together) and kept, with whether its ids spell it. The N best
+of a text change none but the N - 1 units whose second-best segmentations cost least: those gaps come exactly from forward
+and backward scores, and only those units are searched by A*. Scores are kept as whole numbers of 2 ** -shift, so nothing is lost to rounding.
 
 Defined results: a null or empty text has no tokens, one segmentation with score 0; among equal scores the Viterbi path
 (longest last pieces) comes first; a text with fewer segmentations than asked for gives fewer; repeated rows are encoded
@@ -23,10 +24,11 @@ import heapq
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,9 @@ WHOLE = re.compile("(?s).+")
 #: character of that kind scores like one without a piece.
 UNUSED = -1e8
 NONE = -(1 << 60)
-BASE = np.uint64(0x100000001B3 * 2 + 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: By bytes of UTF-8: marks, letters of one byte.
+MARKS, LETTERS = (np.array([bool(re.match(x, chr(b))) for b in range(128)] + [False] * 128) for x in (MARK, LETTER))
 WIDEST, SLOT_BITS = 24, 18
 
 
@@ -80,46 +83,55 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.unknown = int((min(used) - 10) * 2**self.shift)
         self.scores = {x: s if type(s) is int else self.unknown for x, s in self.scores.items()}
-        # Pieces by their hashes in a table of slots; a full slot passes a piece on to the next.
-        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
-        self.hashes = np.array([self._hash(x) for x in self.ids], np.uint64)
-        self.hash_ids, self.hash_scores = (np.array(list(x.values())) for x in (self.ids, {x: self.scores[x] for x in self.ids}))
+        # A trie of the pieces: (node, character) to a node, as keys in a table of slots; a full slot passes a key on to the next.
+        steps: dict[int, int] = {}
+        ends = {}
+        for piece in self.ids:
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+            ends[node] = piece
+        self.node_score, self.node_id = np.full(len(steps) + 1, NONE, np.int64), np.zeros(len(steps) + 1, np.uint16)
+        for node, piece in ends.items():
+            self.node_score[node], self.node_id[node] = self.scores[piece], self.ids[piece]
+        bits = max(SLOT_BITS, (4 * len(steps)).bit_length())
+        self.slot_shift = np.uint64(64 - bits)
+        self.slot_key, self.slot_node = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         self.probes = 1
-        for i, h in enumerate(self.hashes):
-            at, n = int(h >> np.uint64(64 - SLOT_BITS)), 1
-            while self.slots[at] >= 0:
-                at, n = (at + 1) % len(self.slots), n + 1
-            self.slots[at], self.probes = i, max(self.probes, n)
+        for at, (key, node) in zip(self._slots(np.array(list(steps), np.int64)).tolist(), steps.items(), strict=True):
+            n = 1
+            while self.slot_key[at] >= 0:
+                at, n = (at + 1) % len(self.slot_key), n + 1
+            self.slot_key[at], self.slot_node[at], self.probes = key, node, max(self.probes, n)
+        self.surface_size = np.array([len(x) for x in self.surface], np.int64)
         self.clear()
 
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(BASE) + ord(c) * int(SPREAD)) & (1 << 64) - 1
-        return h
-
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces', and the places of those pieces."""
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        at = self.slots[slot]
-        found = (at >= 0) & (self.hashes[at] == h)
-        open_ = np.flatnonzero((at >= 0) & ~found)
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * SPREAD >> self.slot_shift).view(np.int64)
+
+    def _next(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that the characters lead to from those nodes; 0: none."""
+        keys = nodes << 21 | codes
+        slot = self._slots(keys)
+        here = self.slot_key[slot]
+        out = np.where(here == keys, self.slot_node[slot], 0)
+        open_ = np.flatnonzero((here != keys) & (here >= 0))
         for n in range(1, self.probes):
             if not len(open_):
                 break
-            here = self.slots[(slot[open_] + n) % len(self.slots)]
-            hit = (here >= 0) & (self.hashes[here] == h[open_])
-            at[open_[hit]], found[open_[hit]] = here[hit], True
-            open_ = open_[(here >= 0) & ~hit]
-        rows = np.flatnonzero(found)
-        return rows, at[rows]
+            at = (slot[open_] + n) % len(self.slot_key)
+            here = self.slot_key[at]
+            hit = here == keys[open_]
+            out[open_[hit]] = self.slot_node[at[hit]]
+            open_ = open_[~hit & (here >= 0)]
+        return out
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.best: list[bytes] = []
-        self.score = np.zeros(0, np.int64)
-        self.gap = np.zeros(0, np.int64)
+        # Of each unit held: where its best ids begin and how many they are, their score, the gap to the second best, whether they spell it.
+        self.flat = np.zeros(0, "<u2")
+        self.first, self.size, self.score, self.gap = (np.zeros(0, np.int64) for _ in range(4))
+        self.spells = np.zeros(0, bool)
         self.searched: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
     # -------------------------------------------------- one unit, plainly
@@ -168,7 +180,7 @@ class Pieces:
 
     # -------------------------------------------------- many units at once
 
-    def _solve_plain(self, unit: str) -> tuple[bytes, int, int]:
+    def _solve_plain(self, unit: str) -> tuple[np.ndarray, int, int]:
         """As _solve_many, for long units and those with characters without a piece: linear in the unit's length."""
         ahead = self.forward(unit)
         ids: list[tuple[int, ...]] = []
@@ -187,52 +199,63 @@ class Pieces:
             for start, score, _ in self.edges(unit, end):
                 if (start, end) not in on:
                     second = max(second, ahead[start] + score + back[end])
-        return np.array([i for x in reversed(ids) for i in x], "<u2").tobytes(), ahead[-1], ahead[-1] - second
+        return np.array([i for x in reversed(ids) for i in x], "<u2"), ahead[-1], ahead[-1] - second
 
-    def _solve_many(self, units: list[str], width: int) -> list[tuple[bytes, int, int]]:
-        """Best ids, score, and gap to the second best (huge if there is none), for units of one length."""
+    def _solve_many(self, units: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For units of one length: all their best ids, how many each has, scores, and gaps to the second best (huge if there is none)."""
         m = len(units)
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, width).astype(np.uint64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, width).T.astype(np.int64).ravel()
         reach = min(self.longest, width)
         score = np.full((reach + 1, width, m), NONE, np.int64)
         ids = np.zeros((reach + 1, width, m), np.uint16)
-        for start in range(width):
-            h = np.zeros(m, np.uint64)
-            for n in range(1, min(reach, width - start) + 1):
-                h = h * BASE + codes[:, start + n - 1] * SPREAD
-                rows, at = self._find(h)
-                score[n, start, rows] = self.hash_scores[at]
-                ids[n, start, rows] = self.hash_ids[at]
+        # From all places at once, a character a step; what is no piece's beginning goes.
+        live, nodes, some = np.arange(width * m), np.zeros(width * m, np.int64), np.zeros((reach + 1, width), bool)
+        for n in range(1, reach + 1):
+            inside = np.searchsorted(live, (width - n + 1) * m)
+            live, nodes = live[:inside], nodes[:inside]
+            nodes = self._next(nodes, codes[live + (n - 1) * m])
+            on = np.flatnonzero(nodes)
+            live, nodes = live[on], nodes[on]
+            if not len(live):
+                break
+            found = self.node_score[nodes]
+            end = np.flatnonzero(found > NONE)
+            score[n].ravel()[live[end]] = found[end]
+            ids[n].ravel()[live[end]] = self.node_id[nodes[end]]
+            some[n] = np.bincount(live[end] // m, minlength=width) > 0
+        steps = [[n for n in range(1, min(reach, width - start) + 1) if some[n, start]] for start in range(width)]
         ahead = np.full((width + 1, m), NONE, np.int64)
         step = np.zeros((width + 1, m), np.int64)
         ahead[0] = 0
         for end in range(1, width + 1):
             for n in range(1, min(reach, end) + 1):
-                x = ahead[end - n] + score[n, end - n]
-                better = x >= ahead[end]
-                ahead[end][better], step[end][better] = x[better], n
-        back = np.full((width + 1, m), NONE, np.int64)
-        back[width] = 0
-        for start in range(width - 1, -1, -1):
-            for n in range(1, min(reach, width - start) + 1):
-                np.maximum(back[start], score[n, start] + back[start + n], out=back[start])
+                if some[n, end - n]:
+                    x = ahead[end - n] + score[n, end - n]
+                    np.copyto(step[end], n, where=x >= ahead[end])
+                    np.maximum(ahead[end], x, out=ahead[end])
         rows, place = np.arange(m), np.full(m, width)
         path, size = np.zeros((m, width), "<u2"), np.zeros(m, np.int64)
+        taken = np.zeros((width, m), np.int64)
         live = rows
         while len(live):
             n = step[place[live], live]
             place[live] -= n
             size[live] += 1
             path[live, width - size[live]] = ids[n, place[live], live]
-            score[n, place[live], live] = NONE
+            taken[place[live], live] = n
             live = live[place[live] > 0]
-        # What is left of the scores is off the best path: the second best uses one such piece at least.
+        # The second best uses one piece off the best path at least.
+        back = np.full((width + 1, m), NONE, np.int64)
+        back[width] = 0
         second = np.full(m, NONE, np.int64)
-        for start in range(width):
-            for n in range(1, min(reach, width - start) + 1):
-                np.maximum(second, ahead[start] + score[n, start] + back[start + n], out=second)
-        gap = ahead[width] - np.maximum(second, NONE)
-        return [(path[r, width - size[r] :].tobytes(), int(ahead[width, r]), int(gap[r])) for r in range(m)]
+        for start in range(width - 1, -1, -1):
+            for n in steps[start]:
+                x = score[n, start] + back[start + n]
+                np.maximum(back[start], x, out=back[start])
+                x += ahead[start]
+                np.copyto(x, NONE, where=taken[start] == n)
+                np.maximum(second, x, out=second)
+        return path[np.arange(width) >= (width - size)[:, None]], size, ahead[width], ahead[width] - second
 
     def places(self, texts: list[list[str]]) -> list[list[int]]:
         """Where the units of texts are held, solving those that aren't yet."""
@@ -248,31 +271,73 @@ class Pieces:
         return out
 
     def learn(self, units: set[str]) -> None:
-        """Solve those units that aren't held."""
+        """Solve units, none of which is held."""
         by: dict[int, list[str]] = {}
-        for u in units - self.at.keys():
+        for u in units:
             plain = len(u) > WIDEST or not self.known.issuperset(u)
             by.setdefault(0 if plain else len(u), []).append(u)
-        new: list[tuple[bytes, int, int]] = []
+        names: list[str] = []
+        new: list[tuple[np.ndarray, ...]] = []
         for width, own in sorted(by.items()):
             for i in range(0, len(own), 4096):
                 part = own[i : i + 4096]
-                new += self._solve_many(part, width) if width else map(self._solve_plain, part)
-                self.at.update(zip(part, range(len(self.best) + len(new) - len(part), len(self.best) + len(new)), strict=True))
+                if width:
+                    ids, size, score, gap = self._solve_many(part, width)
+                else:
+                    solved = [self._solve_plain(u) for u in part]
+                    ids, (size, score, gap) = np.concatenate([x for x, _, _ in solved]), np.array([(len(x), s, g) for x, s, g in solved], np.int64).T
+                names += part
+                new.append((ids, size, score, gap, self.spelled(part, ids, size)))
         if new:
-            self.best += [x[0] for x in new]
-            self.score = np.r_[self.score, np.array([x[1] for x in new], np.int64)]
-            self.gap = np.r_[self.gap, np.array([x[2] for x in new], np.int64)]
+            self.at.update(zip(names, range(len(self.size), len(self.size) + len(names)), strict=True))
+            self.flat, self.size, self.score, self.gap, self.spells = (np.concatenate([held, *more]) for held, more in zip((self.flat, self.size, self.score, self.gap, self.spells), zip(*new, strict=True), strict=True))
+            self.first = np.cumsum(self.size) - self.size
+
+    def spelled(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which of the units come back when their ids are decoded."""
+        raw = b"".join([self.surface[i] for i in ids.tolist()])
+        ends = np.cumsum(self.surface_size[ids])[np.cumsum(size) - 1].tolist()
+        return np.array([raw[a:b] == u.replace(BLANK, " ").encode() for a, b, u in zip([0, *ends[:-1]], ends, units, strict=True)], bool)
 
     # ------------------------------------------------------------ texts
 
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct units of texts, the units of all texts as places in that list, and where each text's units end.
+
+        Of bytes, what ``unit.findall`` finds in each text, with a blank before it.
+        """
+        rows = [f" {t.replace(BLANK, ' ')}".encode() if t else b"" for t in texts]
+        raw, ends = b"".join(rows), np.cumsum([len(x) for x in rows], dtype=np.int64)
+        codes = np.frombuffer(raw, np.uint8)
+        if self.unit is WHOLE:
+            starts = np.unique(np.r_[0, ends])[:-1]
+        else:
+            begins = (codes == 32) | (codes == 10)
+            begins[1:] |= codes[:-1] == 10
+            starts = np.flatnonzero(begins)
+            if self.unit is FINER:
+                # A word's first mark begins a unit if a letter (of one byte, or of two from U+00C0 to U+024F) stands before it.
+                marks = np.flatnonzero(MARKS[codes])
+                word = np.searchsorted(starts, marks, "right")
+                marks = marks[(np.diff(word, prepend=0) > 0) & (marks > starts[word - 1])]
+                last, lead = codes[marks - 1], codes[marks - 2]
+                begins[marks[LETTERS[last] | (last >= 0x80) & (lead >= 0xC3) & ((lead < 0xC9) | (lead == 0xC9) & (last < 0x90))]] = True
+                starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(raw)).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        words = pc.replace_substring(found.dictionary, " ", BLANK).to_numpy(zero_copy_only=False)
+        return words, found.indices.to_numpy(), np.searchsorted(starts, ends)
+
     def units(self, text: str | None) -> list[str]:
-        return self.unit.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        words, at, _ = self.cut([text])
+        return words[at].tolist()
 
-    def nbest(self, units: list[str], places: list[int], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+    def nbest(self, units: Sequence[str], places: Sequence[int], n: int) -> tuple[bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Best ids as two-byte numbers; then for each of the n best: score and changes (at token, tokens dropped, ids put)."""
-        at = np.array(places, np.int64)
-        ids = [self.best[i] for i in places]
+        at = np.asarray(places, np.int64)
+        first, size = self.first[at], self.size[at]
+        begins = np.cumsum(size) - size
+        raw = self.flat[np.arange(size.sum()) + np.repeat(first - begins, size)]
         total = int(self.score[at].sum())
         gaps = self.gap[at]
         least = np.argsort(gaps, kind="stable") if len(gaps) <= n else np.argpartition(gaps, n - 1)[: n - 1]
@@ -280,12 +345,11 @@ class Pieces:
         for u in sorted(int(x) for x in least[: max(0, n - 1)]):
             if gaps[u] < -NONE // 2:
                 own = self.search(units[u], n)
-                other = [x for x in own if np.array(x[1], "<u2").tobytes() != ids[u]][: n - 1]
+                best = tuple(raw[begins[u] : begins[u] + size[u]].tolist())
+                other = [x for x in own if x[1] != best][: n - 1]
                 choices = [(0, None), *((own[0][0] - score, seq) for score, seq in other)]
                 tops = heapq.nsmallest(n, ((cost + more, [*changes, (u, seq)] if seq else changes) for cost, changes in tops for more, seq in choices), key=lambda x: x[0])
-        changed = {u for _, changes in tops for u, _ in changes}
-        place = {u: len(b"".join(ids[:u])) // 2 for u in changed}
-        return b"".join(ids), [(total - cost, [(place[u], len(ids[u]) // 2, seq) for u, seq in changes]) for cost, changes in tops]
+        return raw.tobytes(), [(total - cost, [(int(begins[u]), int(size[u]), seq) for u, seq in changes]) for cost, changes in tops]
 
     def decode(self, ids) -> str:
         raw = b"".join([self.surface[i] for i in ids])
@@ -309,26 +373,31 @@ ENCODED_DDL = "struct<ids: array<int>, n_tokens: bigint, ids_crc32: bigint, nbes
 
 def _encode_texts(texts: list[str | None], p: Pieces, n: int, ids_out: bool) -> pa.Array:
     flat, sizes, crcs, nbests, trips = [], [], [], [], []
-    part: list[list[str]] = []
+    part: list[str | None] = []
 
     def flush() -> None:
-        for units, places in zip(part, p.places(part), strict=True):
-            raw, best = p.nbest(units, places, n)
+        words, at, ends = p.cut(part)
+        places, names = np.array(p.places([words.tolist()])[0], np.int64)[at], words[at]
+        begin = 0
+        for text, end in zip(part, ends.tolist(), strict=True):
+            own = places[begin:end]
+            raw, best = p.nbest(names[begin:end], own, n)
+            begin = end
             ids = np.frombuffer(raw, "<u2")
             sizes.append(len(ids))
             crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
             nbests.append([{"score": s, "changes": [{"at": a, "drop": d, "put": list(q)} for a, d, q in c]} for s, c in best])
-            whole = "".join(units).replace(BLANK, " ")
-            trips.append(p.decode(ids.tolist()) == whole[1:])
+            # A text comes back if all of its units do.
+            trips.append(bool(p.spells[own].all()) or p.decode(ids.tolist()) == (text or "").replace(BLANK, " "))
             if ids_out:
                 flat.append(ids)
         part.clear()
 
     held = 0
     for text in texts:
-        part.append(p.units(text))
+        part.append(text)
         held += len(text or "")
-        if held > 1 << 21:
+        if held > 1 << 22:
             flush()
             held = 0
     flush()

@@ -397,6 +397,38 @@ def test_cache_may_be_small(pieces):
         assert small.nbest(u, small.places([u])[0], 2)[0] == pieces.nbest(u, pieces.places([u])[0], 2)[0]
 
 
+def test_units_are_cut_together(pieces):
+    rng = random.Random(7)
+    parts = ["a", "Z", "é", "ɏ", "ɐ", "¿", "×", "1", "[", "日", "😀", "ß.", "\n", " ", "▁", "\t", "\x00", *".,!?;:|", "foo.com,x", "the ing"]
+    texts = [None, "", " ", ".", "▁", "\n"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    words, at, ends = pieces.cut(texts)
+    assert len(set(words)) == len(words)
+    for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+        want = pieces.unit.findall(sentencepieces.BLANK + text.replace(" ", sentencepieces.BLANK)) if text else []
+        assert words[at[a:b]].tolist() == want == pieces.units(text)
+    assert [len(x) for x in pieces.cut([])] == [0, 0, 0]
+
+
+def test_units_are_looked_up_once(pieces, monkeypatch):
+    """A batch's units are looked up and solved by their distinct values, however often they occur."""
+    asked, places = [], pieces.places
+    monkeypatch.setattr(pieces, "places", lambda texts: asked.extend(u for x in texts for u in x) or places(texts))
+    out = sentencepieces._encode_texts(["one two one.", None, "two one", ""] * 50, pieces, 4, True)
+    assert sorted(asked) == sorted({*pieces.units("one two one."), *pieces.units("two one")})
+    assert out.slice(4, 4).equals(out.slice(0, 4)) and all(out.field("round_trip").to_pylist())
+
+
+def test_units_that_do_not_come_back(pieces):
+    """A text whose ids spell something else is found by decoding, as its units are when they are solved."""
+    own = sentencepieces.Pieces(PIECES)
+    used = [set(np.frombuffer(own.nbest([u], own.places([[u]])[0], 1)[0], "<u2").tolist()) for u in ("▁two", "▁one")]
+    bad = min(used[0] - used[1])
+    own.surface[bad], own.surface_size[bad] = b"?!", 2
+    own.clear()
+    assert sentencepieces._encode_texts(["one two", "one"], own, 2, False).field("round_trip").to_pylist() == [False, True]
+    assert own.spells[own.places([["▁two", "▁one"]])[0]].tolist() == [False, True]
+
+
 # ---------------------------------------------------------- binary records
 
 
